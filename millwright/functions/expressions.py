@@ -99,3 +99,9 @@ def any_of(conds: list[Column]) -> Column:
 
 def round4(c: str | Column) -> Column:
     return F.round(col(c), 4)
+
+
+def literal_table(spark, rows: list[tuple], names: list[str]):
+    """A small constant table built JVM-side (``inline`` of literal structs), no Python worker."""
+    structs = [F.struct(*[F.lit(v).alias(n) for v, n in zip(r, names)]) for r in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))

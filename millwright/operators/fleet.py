@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millwright import schema as S
+from millwright.functions.expressions import literal_table
 
 MODES = ["TWF", "HDF", "PWF", "OSF", "RNF"]
 
@@ -112,16 +113,28 @@ def operating_limits(df: DataFrame) -> DataFrame:
     return wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*").where(F.col("lo").isNotNull())
 
 
-def maintenance_thresholds(df: DataFrame) -> DataFrame:
+def wear_histogram(df: DataFrame) -> DataFrame:
+    """Readings per distinct tool-wear value (NULL wear left out).
+
+    Partial aggregation collapses the readings map-side, so the shuffle and the
+    result hold one row per distinct wear value (wear is in minutes), not one
+    per reading. Thresholds and tier counts are both computed from it.
+    """
+    return df.where(F.col(S.WEAR).isNotNull()).groupBy(S.WEAR).agg(F.count(F.lit(1)).alias("cnt"))
+
+
+def maintenance_thresholds(df: DataFrame, hist: DataFrame | None = None) -> DataFrame:
     """Q80 'high' and Q95 'urgent' tool-wear thresholds (linear interpolation, exact).
 
     ``urgent <= high`` becomes ``high + 1``; both rounded to 2 decimals. Without
     any wear value the fallback 150 / 200 is used and ``method`` says so.
-    ``percentile`` is an exact distributed aggregate (per-value counts, merged
-    map-side); for a continuous column with billions of distinct values use
+    Exact ``percentile`` over the wear histogram, weighted by its counts; for a
+    continuous wear column with billions of distinct values use
     :func:`maintenance_thresholds_approx`.
     """
-    q = df.agg(F.percentile(S.WEAR, F.array(F.lit(S.HIGH_QUANTILE), F.lit(S.URGENT_QUANTILE))).alias("q"))
+    h = hist if hist is not None else wear_histogram(df)
+    q = h.agg(F.percentile(F.col(S.WEAR), F.array(F.lit(S.HIGH_QUANTILE), F.lit(S.URGENT_QUANTILE)),
+                           F.col("cnt")).alias("q"))
     return _thresholds_from(q)
 
 
@@ -149,45 +162,49 @@ def tier_expr(wear: Column, high: Column, urgent: Column) -> Column:
             .when(wear < high, "ROUTINE"))
 
 
-def _scalars(th: DataFrame, *names: str) -> list[Column]:
-    """One-row table columns as scalar subqueries (evaluated once, no join)."""
-    return [th.select(n).scalar() for n in names]
+def thresholds_row(df: DataFrame) -> dict:
+    """The fitted thresholds as plain values (one aggregate row; the reference fixes them once at start)."""
+    return maintenance_thresholds(df).first().asDict()
+
 
+def _as_row(df: DataFrame, thresholds) -> dict:
+    if thresholds is None:
+        return thresholds_row(df)
+    if isinstance(thresholds, DataFrame):
+        return thresholds.first().asDict()
+    return dict(thresholds)
 
-def maintenance_tier(df: DataFrame, thresholds: DataFrame | None = None) -> DataFrame:
-    """Tier per reading against the one-row thresholds table."""
-    th = thresholds if thresholds is not None else maintenance_thresholds(df)
-    high, urgent = _scalars(th, "high", "urgent")
-    return df.select("*", tier_expr(F.col(S.WEAR), high, urgent).alias("tier"))
 
+def maintenance_tier(df: DataFrame, thresholds=None) -> DataFrame:
+    """Tier per reading (row-wise) for fitted thresholds (dict, one-row table, or fitted from ``df``)."""
+    th = _as_row(df, thresholds)
+    return df.select("*", tier_expr(F.col(S.WEAR), F.lit(th["high"]), F.lit(th["urgent"])).alias("tier"))
 
-def maintenance_schedule(df: DataFrame, thresholds: DataFrame | None = None) -> DataFrame:
-    """Units per tier, with condition and action text; empty tiers show 0."""
-    th = thresholds if thresholds is not None else maintenance_thresholds(df)
-    high, urgent, method = _scalars(th, "high", "urgent", "method")
+
+def maintenance_schedule(df: DataFrame, thresholds=None) -> DataFrame:
+    """Units per tier, with condition and action text; empty tiers show 0.
+
+    The tier counts are one scan with a three-group partial aggregate.
+    """
+    th = _as_row(df, thresholds)
+    high, urgent, method = th["high"], th["urgent"], th["method"]
+    quantile = method == "quantile"
     spark = df.sparkSession
-    tiers = spark.createDataFrame(
-        [(0, "URGENT", S.TIER_ACTIONS["URGENT"]), (1, "HIGH", S.TIER_ACTIONS["HIGH"]),
-         (2, "ROUTINE", S.TIER_ACTIONS["ROUTINE"])],
-        "pos int, tier string, action string",
-    )
+    tiers = literal_table(spark, [
+        (0, "URGENT", f"Tool wear >= {urgent:.2f} min ({'Q95' if quantile else 'fallback'})", S.TIER_ACTIONS["URGENT"]),
+        (1, "HIGH", f"Tool wear >= {high:.2f} and < {urgent:.2f} min ({'Q80-Q95' if quantile else 'fallback range'})",
+         S.TIER_ACTIONS["HIGH"]),
+        (2, "ROUTINE", f"Tool wear < {high:.2f} min", S.TIER_ACTIONS["ROUTINE"])],
+        ["pos", "tier", "condition", "action"])
     counts = (
-        df.select(tier_expr(F.col(S.WEAR), high, urgent).alias("tier"))
-        .where(F.col("tier").isNotNull())
+        df.select(tier_expr(F.col(S.WEAR), F.lit(high), F.lit(urgent)).alias("tier"))
         .groupBy("tier").agg(F.count(F.lit(1)).alias("units"))
     )
-    q = method == "quantile"
-    cond = (F.when(F.col("tier") == "URGENT",
-                   F.format_string("Tool wear >= %.2f min (%s)", urgent, F.when(q, "Q95").otherwise("fallback")))
-            .when(F.col("tier") == "HIGH",
-                  F.format_string("Tool wear >= %.2f and < %.2f min (%s)", high, urgent,
-                                  F.when(q, "Q80-Q95").otherwise("fallback range")))
-            .otherwise(F.format_string("Tool wear < %.2f min", high)))
     return (
         tiers.join(F.broadcast(counts), "tier", "left")
         .select("pos", "tier", F.coalesce("units", F.lit(0).cast("bigint")).alias("units"),
-                high.alias("high"), urgent.alias("urgent"), method.alias("method"),
-                cond.alias("condition"), "action")
+                F.lit(float(high)).alias("high"), F.lit(float(urgent)).alias("urgent"), F.lit(method).alias("method"),
+                "condition", "action")
         .orderBy("pos")
     )
 

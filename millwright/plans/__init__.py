@@ -7,6 +7,7 @@ def load_all():
     """Import every query module and return ``(QUERIES, ORACLES)``."""
     from millwright.plans import fleet_queries  # noqa: F401
     from millwright.plans import risk_queries  # noqa: F401
+    from millwright.plans import request_queries  # noqa: F401
     from millwright.plans.registry import ORACLES, QUERIES
 
     return QUERIES, ORACLES

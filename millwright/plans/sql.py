@@ -49,3 +49,57 @@ def with_readings(body: str, source: str = "lineitem") -> str:
 
 # Split bucket of a reading: first 32 bits of md5(udi) in [0, 100) < 20 -> test.
 SPLIT_BUCKET = "CAST('0x' || substr(md5(CAST(udi AS VARCHAR)), 1, 8) AS BIGINT) % 100"
+
+
+def requests_sql() -> str:
+    """The request fixture (``request_id, user_id, ts, question, payload``) from the event readings."""
+    from millwright.sources.requests import payload_sql, question_sql
+
+    return (f"SELECT udi AS request_id, product_id AS user_id, ts, {question_sql()} AS question, "
+            f"{payload_sql()} AS payload FROM ({READINGS_EVENTS_TS}) r")
+
+
+def _has(keys: str, alias: str) -> str:
+    return f"coalesce(list_contains({keys}, '{alias}'), false)"
+
+
+def _path(alias: str) -> str:
+    return "'$.\"" + alias + "\"'"
+
+
+def validated_sql() -> str:
+    """Parsed and validated requests, one row per request (same columns as ``validate_requests``)."""
+    from millwright import schema as S
+
+    fields = []
+    for field, aliases in S.FIELD_ALIASES.items():
+        whens = " ".join(f"WHEN {_has('keys', a)} THEN json_extract_string(j, {_path(a)})" for a in aliases)
+        fields.append(f"CASE {whens} END AS raw_{field.lower()}")
+        fields.append("(" + " OR ".join(_has("keys", a) for a in aliases) + f") AS has_{field.lower()}")
+    target = {"AirTemp": S.AIR, "ProcessTemp": S.PROCESS, "RPM": S.RPM, "Torque": S.TORQUE, "Wear": S.WEAR}
+    nums = ", ".join(
+        f"CASE WHEN isnan(TRY_CAST(raw_{f.lower()} AS DOUBLE)) THEN NULL ELSE TRY_CAST(raw_{f.lower()} AS DOUBLE) END "
+        f"AS {target[f]}" for f in S.NUMERIC_FIELD_ORDER)
+    missing = "concat_ws(', ', " + ", ".join(
+        f"CASE WHEN NOT has_{f.lower()} THEN '{f}' END" for f in ["RPM", "Torque", "Wear", "AirTemp", "ProcessTemp", "Type"]) + ")"
+    invalid = "concat_ws(', ', " + ", ".join(
+        f"CASE WHEN {target[f]} IS NULL THEN '{S.SENSOR_LONG_NAMES[target[f]]}' END" for f in S.NUMERIC_FIELD_ORDER) + ")"
+    tokens = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in S.TYPE_TOKENS.items())
+    norm = (f"coalesce(CASE upper(replace(replace(regexp_replace(raw_type, '^\\s+|\\s+$', '', 'g'), '-', ''), '_', '')) "
+            f"{tokens} ELSE '' END, '')")
+    return f"""
+SELECT request_id, user_id, ts, question, payload, status, missing, invalid, type,
+  {S.AIR}, {S.PROCESS}, {S.RPM}, {S.TORQUE}, {S.WEAR}, raw_type, malformed,
+  has_rpm, has_torque, has_wear, has_airtemp, has_processtemp, has_type FROM (
+ SELECT *, CASE WHEN malformed THEN 'malformed' WHEN missing_l <> '' THEN 'missing'
+     WHEN invalid_l <> '' THEN 'invalid_numeric' WHEN type = '' THEN 'invalid_type' ELSE 'scored' END AS status,
+   CASE WHEN NOT malformed THEN missing_l END AS missing,
+   CASE WHEN NOT malformed AND missing_l = '' THEN invalid_l END AS invalid
+ FROM (
+  SELECT *, {missing} AS missing_l, {invalid} AS invalid_l, {norm} AS type FROM (
+   SELECT *, {nums} FROM (
+    SELECT request_id, user_id, ts, question, payload, NOT ok AS malformed, {", ".join(fields)} FROM (
+     SELECT *, CASE WHEN keys IS NOT NULL THEN t END AS j FROM (
+      SELECT *, CASE WHEN ok AND json_type(t) = 'OBJECT' THEN json_keys(t) END AS keys FROM (
+       SELECT *, json_valid(t) AS ok FROM (
+        SELECT *, replace(payload, '''', '"') AS t FROM ({requests_sql()}) q0) q1) q2) q3) q4) q5) q6) q7) q8"""
