@@ -8,6 +8,7 @@ def load_all():
     from millwright.plans import fleet_queries  # noqa: F401
     from millwright.plans import risk_queries  # noqa: F401
     from millwright.plans import request_queries  # noqa: F401
+    from millwright.plans import ml_queries  # noqa: F401
     from millwright.plans.registry import ORACLES, QUERIES
 
     return QUERIES, ORACLES
