@@ -18,7 +18,7 @@ from millwright.plans.registry import register, round_doubles
 from millwright.plans.risk_queries import fitted_model
 from millwright.plans.sql import SPLIT_BUCKET, with_readings
 from millwright.sources.readings import readings_from_events, readings_from_lineitem
-from millwright.sources.requests import requests_from_events
+from millwright.sources.requests import requests_from_events, validated_requests
 
 _SUITES: dict[tuple, ml.Suite] = {}
 
@@ -101,7 +101,7 @@ def q_summary_stats(spark, sf_dir):
 
 
 def _scored_requests(spark, sf_dir):
-    return RQ.scored_readings(requests_from_events(spark, sf_dir))
+    return validated_requests(spark, sf_dir).where(F.col("status") == "scored")
 
 
 @register("predict")

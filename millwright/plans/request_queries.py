@@ -10,7 +10,7 @@ from millwright.operators import requests as RQ
 from millwright.plans.registry import register, round_doubles
 from millwright.plans.sql import READINGS_LINEITEM, requests_sql, validated_sql, with_readings
 from millwright.sources.readings import readings_from_lineitem
-from millwright.sources.requests import requests_from_events
+from millwright.sources.requests import requests_from_events, validated_requests
 
 _SENSORS = ", ".join(S.SENSORS)
 _R4 = ", ".join(f"round({c}, 4) AS {c}" for c in S.SENSORS)
@@ -115,7 +115,7 @@ WITH hist AS ({READINGS_LINEITEM}), prof AS (SELECT {_profile_sql()}),
 
 def _quality(spark, sf_dir):
     prof = quality.fit_profile(readings_from_lineitem(spark, sf_dir))
-    scored = RQ.scored_readings(requests_from_events(spark, sf_dir))
+    scored = validated_requests(spark, sf_dir).where(F.col("status") == "scored")
     return quality.assess_quality(scored, prof)
 
 

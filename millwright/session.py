@@ -28,6 +28,11 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, app: str = "millw
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "16g")
+        # Constraint inference grows combinatorially on the wide as-of plans
+        # (a struct of every column carried through union + window + join);
+        # with it on, planning a failure-mode lookup of an in-memory table
+        # does not finish. Recommended for any session running this library.
+        .config("spark.sql.constraintPropagation.enabled", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
