@@ -127,10 +127,9 @@ def failure_modes(readings: DataFrame, model: RiskModel, exact: bool = False) ->
     )
     cols = readings.columns
     x = readings.select("*", F.explode(modes).alias("_m")).select(*cols, "_m.*")
+    # second lookup only matters for HDF; other rows carry a NULL key and pass through
     a = lookup(x, model, "_pa", "_ta", "_va", "_ra", exact)
-    hdf = a.where(F.col("_pb").isNotNull())
-    rest = a.where(F.col("_pb").isNull()).withColumn("_rb", F.lit(None).cast("double"))
-    b = lookup(hdf, model, "_pb", "_ta", "_vb", "_rb", exact).unionByName(rest)
+    b = lookup(a, model, "_pb", "_ta", "_vb", "_rb", exact)
     risk = F.when(F.col("_pb").isNotNull(), (F.col("_ra") + F.col("_rb")) / F.lit(2.0)).otherwise(F.col("_ra"))
     return b.select(*cols, "mode", "mode_pos", "mode_name", risk.alias("risk"), "trigger")
 
