@@ -26,9 +26,10 @@ from pyspark.sql import functions as F
 from millwright.llm.common import Ragged
 
 SCHEMA = "doc_id long, ids array<int>, decoded binary"
-#: Splitting before a single space and a plain character never cuts a match of the
-#: pattern: such a space can only begin one.
+#: Splitting before a space and a plain character never cuts a match of the pattern:
+#: such a space can only begin one.  Texts with any other space are split with care.
 CHUNK = re.compile("(?= [!-~¡-ᙿ])")
+ODD_SPACE = re.compile(" (?![!-~¡-ᙿ])")
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -39,7 +40,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class ByteBpe:
     """Encoder and decoder over a table of ranks (token bytes -> rank)."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, remembered: int = 500_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, remembered: int = 400_000):
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         sizes: dict[bytes, set[int]] = {}
         for token in ranks:
@@ -53,7 +54,7 @@ class ByteBpe:
         self.pieces: dict[str, list[int]] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
         self.alone: dict[int, bool] = {}
-        self.chunks = Ragged(lambda new: [self._chunk(c) for c in new], 500_000)
+        self.chunks = Ragged(lambda new: [self._chunk(c) for c in new], 700_000)
 
     def merge(self, piece: bytes) -> list[int]:
         """The plain way: merge the neighbours of lowest rank until none is left."""
@@ -120,6 +121,8 @@ class ByteBpe:
         raise ValueError(f"no token ends the prefix of {end} bytes")
 
     def _chunk(self, chunk: str) -> list[int]:
+        """A chunk is what follows a space; one marked by a zero has no space before it."""
+        chunk = chunk[1:] if chunk[:1] == "\0" else " " + chunk
         out, pieces = [], self.pieces
         for p in self.pattern.findall(chunk):
             if (ids := pieces.get(p)) is None:
@@ -132,7 +135,13 @@ class ByteBpe:
         return out
 
     def encode(self, text: str) -> np.ndarray:
-        return self.chunks.ids(CHUNK.split(text)) if text else np.empty(0, np.uint32)
+        if not text:
+            return np.empty(0, np.uint32)
+        if ODD_SPACE.search(text):
+            return self.chunks.ids(["\0" + c for c in CHUNK.split(text)])
+        chunks = text.split(" ")
+        chunks[0] = "\0" + chunks[0]
+        return self.chunks.ids(chunks)
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))

@@ -8,6 +8,7 @@ text with A-Z lower-cased: ``bytes.lower`` and ``bytes.split`` mean exactly that
 
 from __future__ import annotations
 
+import os
 import uuid
 from array import array
 from itertools import repeat
@@ -24,6 +25,9 @@ MIX2 = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table to work on; from now on Python workers look for this package where the driver found it."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    spark.sparkContext.environment.setdefault("PYTHONPATH", root)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -107,6 +111,11 @@ class Ragged:
         self.flat.extend(ids)
         return len(self.lens) - 1
 
+    def known(self, chunk) -> list[int] | None:
+        if (i := self.index.get(chunk)) is None:
+            return None
+        return self.flat[self.starts[i] : self.starts[i] + self.lens[i]].tolist()
+
     def ids(self, chunks: list) -> np.ndarray:
         """The ids of all chunks in order, as one uint32 array."""
         if not chunks:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from millwright.llm import bpe_bytes, line_dedup, token_files
+from millwright.llm import bpe_bytes, line_dedup, minhash_dedup, token_files, topk
 from millwright.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -21,6 +21,11 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_near_dedup", minhash_dedup.ORACLE)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.op1_near_dedup(table(spark, sf_dir, "documents"))
+
+
 @query("op3_token_files")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.op3_token_files(
@@ -37,3 +42,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_line_dedup", line_dedup.ORACLE)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.op9_line_dedup(table(spark, sf_dir, "documents"))
+
+
+@query("op10_topk", topk.ORACLE)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.op10_topk(table(spark, sf_dir, "embeddings"))

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millwright.llm.common import Ragged, discard, store
+from millwright.llm.common import Ragged, discard, store, words
 from millwright.session import ensure_checkpoint_dir
 
 SIZES = np.array([[(c >> 2 * i & 3) + 1 for i in range(4)] for c in range(256)], np.int64)
@@ -56,14 +56,51 @@ def decode_values(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
+class WordEncoder:
+    """Asks the library for each new word once.
+
+    A mark after a letter begins a token of its own, so a word and the mark that ends
+    it are asked for apart.  New words of ASCII letters go in one text, whose tokens are
+    dealt back by the ends of words in it.
+    """
+
+    def __init__(self, tok, limit: int = 900_000):
+        self.tok = tok
+        self.ends = np.zeros(tok.get_vocab_size(), bool)
+        self.ends[[i for t, i in tok.get_vocab().items() if t.endswith("</w>")]] = True
+        self.words = Ragged(self.many, limit)
+
+    def plain(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def letters(self, new: list[bytes]) -> list[list[int]]:
+        ids = self.plain([b" ".join(new).decode()])[0]
+        cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+        if len(cuts) != len(new) or (cuts and cuts[-1] != len(ids)):
+            return self.plain([w.decode() for w in new])
+        return [ids[a:b] for a, b in zip([0, *cuts], cuts)]
+
+    def many(self, chunks: list[bytes]) -> list[list[int]]:
+        marked = {c for c in chunks if c[-1:] in b".,;:!?" and len(c) > 1 and c.decode()[-2].isalpha()}
+        stems = {c[:-1] if c in marked else c for c in chunks}
+        out = {w: ids for w in stems if (ids := self.words.known(w)) is not None}
+        new = [w for w in stems if w not in out]
+        easy, hard = [w for w in new if w.isalpha()], [w for w in new if not w.isalpha()]
+        out.update(zip(easy, self.letters(easy) if easy else ()))
+        marks = [bytes([m]) for m in b".,;:!?"]
+        hard = [*hard, *marks]
+        out.update(zip(hard, self.plain([w.decode() for w in hard])))
+        return [[*out[c[:-1]], *out[c[-1:]]] if c in marked else out[c] for c in chunks]
+
+
 _LOADED: dict = {}
 
 
 def word_encoder(path: str) -> Ragged:
     """Encodes runs of bytes between ASCII blanks, each on its own.
 
-    Only for tokenizers whose normaliser drops white space and whose rules never
-    look across it, as those of vocabularies with word ends.
+    Only for tokenizers that lower-case, drop white space and never look across it,
+    as those of vocabularies with word ends ("</w>").
     """
     if path not in _LOADED:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -71,10 +108,7 @@ def word_encoder(path: str) -> Ragged:
 
         tok = Tokenizer.from_file(path)
 
-        def many(chunks):
-            return [e.ids for e in tok.encode_batch([c.decode() for c in chunks], add_special_tokens=False)]
-
-        _LOADED[path] = Ragged(many, 400_000)
+        _LOADED[path] = WordEncoder(tok).words
     return _LOADED[path]
 
 
@@ -88,7 +122,7 @@ def tokenize(docs: DataFrame, path: str, end_id: int, rows: int = 256) -> DataFr
             for lo in range(0, batch.num_rows, rows):
                 part = batch.slice(lo, rows)
                 ids = [
-                    np.concatenate([enc.ids(t.encode().split()) if t else tail[:0], tail]).astype("<u4").tobytes()
+                    np.concatenate([enc.ids(words(t)) if t else tail[:0], tail]).astype("<u4").tobytes()
                     for t in part["text"].to_pylist()
                 ]
                 yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(ids, pa.binary())], names=["doc_id", "ids"])
