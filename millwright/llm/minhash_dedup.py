@@ -9,14 +9,17 @@ Only prefixes are merged: a document's coordinates are ordered by the length of
 their lists, and its ``MATCHES - 1`` longest are skipped.  Two documents that share
 ``MATCHES`` coordinates then still meet in one of the others.  The skipped lists are
 probed instead: each posting carries a byte of every coordinate, and the collisions
-of a pair are counted from these bytes (a byte can only add collisions).  Pairs
-above the threshold are confirmed on their full sets.
-
-A group of near copies never becomes all its pairs.  Equal sets are one node.
-Each list is first linked as a star around one of its members; the links found
-join most of a group.  Then only members outside a list's largest component are
-held against the list, and only across components: pairs inside one cannot change it.
-Every pair left out is thus either under the threshold or already connected.
+of a pair are counted from these bytes (a byte can only add collisions).  It also
+carries an odd sketch of the set, a bit for the parity of the shingles hashed to it: two
+sketches differ in no more bits than their sets in shingles, which rules out most pairs
+that are only rather alike.  Pairs above the threshold are confirmed on their full sets.
+
+A group of near copies never becomes all its pairs.  Equal sets are one node.  In a few
+rounds each list is linked as a star: the members outside its largest component so far
+are held against one member of that, another one each time.  This joins nearly all of a
+group.  At the end the members still outside are held against the whole list, and only
+across components: pairs inside one cannot change it.  Every pair left out is thus
+either under the threshold or already connected.
 
 Defined cases: a null, empty or blank text has an empty set, no link, and itself as
 component; sets under four shingles can only link with equal ones; repeated rows of
@@ -35,6 +38,7 @@ from pyspark.sql import functions as F
 from millwright.llm.common import MIX, MIX2, WordHash, discard, store, words
 
 COORDS, MATCHES = 32, 14
+SKETCH = 1024
 _rng = np.random.default_rng(20240607)
 SEEDS = _rng.integers(1, 2**63, COORDS).astype(np.uint64)
 FACTORS = _rng.integers(1, 2**63, COORDS).astype(np.uint64) | np.uint64(1)
@@ -63,8 +67,14 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+def odd_sketch(hashes: np.ndarray) -> np.ndarray:
+    """Bit i: the parity of the number of hashes whose highest bits are i."""
+    at = (hashes >> np.uint64(64 - SKETCH.bit_length() + 1)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=SKETCH).astype(np.uint8) & 1).view("<i8")
+
+
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, set_key (128-bit hash of the set, null if empty), sig."""
+    """doc_id, n_shingles, set_key (128-bit hash of the set, null if empty), sig, odd (the sketch)."""
 
     def run(batches):
         for batch in batches:
@@ -72,19 +82,24 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
             for lo in range(0, len(ids), 512):
                 sets = [shingles(words(t), size) for t in batch["text"].slice(lo, 512).to_pylist()]
                 sigs = [signature(s).astype(np.int64) if len(s) > 3 else np.empty(0, np.int64) for s in sets]
-                ends = np.cumsum([0, *map(len, sigs)])
+                odds = [odd_sketch(s) if len(s) > 3 else np.empty(0, np.int64) for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(ids[lo : lo + 512], pa.int64()),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
-                        pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sigs))),
+                        *(
+                            pa.ListArray.from_arrays(
+                                pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), pa.array(np.concatenate(x))
+                            )
+                            for x in (sigs, odds)
+                        ),
                     ],
-                    names=["doc_id", "n_shingles", "set_key", "sig"],
+                    names=["doc_id", "n_shingles", "set_key", "sig", "odd"],
                 )
 
     rows = docs.select(F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, sig array<long>")
+    return rows.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, sig array<long>, odd array<long>")
 
 
 #: Seven coordinates' lowest bytes to a long: with the top byte free, sums stay in range.
@@ -110,17 +125,36 @@ def _collisions(a: str, b: str) -> Column:
     return total
 
 
+ODD = [f"o{i}" for i in range(SKETCH // 64)]
+BODY = ["node", "n", *PARTS, *ODD]
+
+
 def _alike(a: str, b: str, share: int) -> Column:
-    """Pairs that can qualify: enough collisions, and sizes near enough."""
+    """Pairs that can qualify: sizes near enough, enough collisions, sketches near enough.
+
+    At a similarity of ``share`` percent the sets differ in at most d shingles, and their
+    sketches in at most d bits; where many shingles fall on one bit, in about
+    (bits / 2) * (1 - exp(-2 d / bits)), six standard deviations being allowed.
+    """
     small, large = F.least(f"{a}.n", f"{b}.n"), F.greatest(f"{a}.n", f"{b}.n")
-    return (F.lit(100) * small >= F.lit(share) * large) & (_collisions(a, b) >= MATCHES)
+    differ = F.lit(0)
+    for o in ODD:
+        differ = differ + F.bit_count(F.col(f"{a}.{o}").bitwiseXOR(F.col(f"{b}.{o}")))
+    most = (small + large) * ((100 - share) / (100 + share))
+    mean = SKETCH / 2 * (1 - F.exp(most * (-2 / SKETCH)))
+    return (
+        (F.lit(100) * small >= F.lit(share) * large)
+        & (_collisions(a, b) >= MATCHES)
+        & (differ <= F.least(most, mean + 6 * F.sqrt(mean)) + 1e-6)
+    )
 
 
 def postings(sigs: DataFrame) -> DataFrame:
-    """coord, value, node, n, s0..s4: each node under its prefix of lists that have company."""
+    """coord, value, and the body: each node under its prefix of lists that have company."""
     parts = [_packed("sig", i).alias(p) for i, p in enumerate(PARTS)]
+    parts += [F.col("odd")[i].alias(o) for i, o in enumerate(ODD)]
     nodes = sigs.where(F.size("sig") > 0).groupBy("set_key").agg(
-        F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")
+        F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("odd").alias("odd")
     )
     nodes = store(nodes.drop("set_key"), "minhash-nodes")
     posted = nodes.select("node", F.posexplode("sig").alias("coord", "value"))
@@ -139,7 +173,6 @@ def postings(sigs: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """node, component (smallest node reachable), from the links (a, b); stars are swapped until stable."""
     links = store(links.select("a", "b").where("a <> b").distinct(), "links")
-    seen = None
     while True:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
@@ -148,15 +181,14 @@ def components(links: DataFrame) -> DataFrame:
         # now each node points down; join each node's lower neighbours to the least of them
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        after = small.unionByName(low.withColumnRenamed("m", "b")).distinct()
-        after = store(after, "links")
-        state = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        after = store(small.unionByName(low.withColumnRenamed("m", "b")).distinct(), "links")
         discard(links)
         links = after
-        if state == seen:
-            break
-        seen = state
-    return links.select(F.col("a").alias("node"), F.col("b").alias("component"))
+        # done when each node has one root and no root points on
+        tops = links.groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("b"))
+        onward = links.join(links.select(F.col("a").alias("b")).distinct(), "b", "left_semi").limit(1)
+        if not tops.where("n > 1").limit(1).count() and not onward.count():
+            return links.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, size: int, share: int, spread: int = 256) -> DataFrame:
@@ -208,46 +240,63 @@ def confirm(pairs: DataFrame, docs: DataFrame, size: int, share: int, spread: in
     )
 
 
-def link_near(sigs: DataFrame, docs: DataFrame, size: int, share: int) -> DataFrame:
+def link_near(sigs: DataFrame, docs: DataFrame, size: int, share: int, rounds: int = 3) -> DataFrame:
     """node, component for the nodes (smallest doc_id of a set) that have a link to another set."""
     posted = postings(sigs)
     key = ["coord", "value"]
-    body = ["node", "n", *PARTS]
+    nodes = posted.select("node").distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(nodes, "node", "left_semi")
+    texts = store(texts, "candidate-texts").withColumnRenamed("node", "doc_id")
+    joined, rest = None, posted.withColumn("component", F.col("node"))
 
     def against(left: DataFrame, right: DataFrame, extra: Column | None = None) -> DataFrame:
         met = (F.col("l.coord") == F.col("r.coord")) & (F.col("l.value") == F.col("r.value"))
         met = met & (F.col("l.node") != F.col("r.node")) & _alike("l", "r", share)
         return left.alias("l").join(right.alias("r"), met if extra is None else met & extra)
 
-    centre = posted.groupBy(*key).agg(
-        F.count("*").alias("length"), F.min(F.struct(F.xxhash64("node", "coord"), *body)).alias("c")
-    )
-    centre = centre.where("length > 1").select(*key, "c.*")
-    stars = against(posted, centre).groupBy(F.col("l.node").alias("a")).agg(
-        F.max(F.struct(_collisions("l", "r").alias("hits"), F.col("r.node").alias("b"))).alias("best")
-    )
-    pairs = store(stars.select("a", "best.b"), "star-pairs")
-    links = store(confirm(pairs, docs, size, share), "star-links")
-    joined = components(links)
+    def open_lists(step: int) -> DataFrame:
+        """Postings of the lists with several components, with the largest one as ``main``."""
+        named = rest
+        if joined is not None:
+            named = rest.drop("component").join(joined, "node", "left")
+            named = named.withColumn("component", F.coalesce("component", "node"))
+        named = store(named, "named-postings")
+        counted = named.groupBy(*key, "component").agg(F.count("*").alias("members"))
+        turn = F.xxhash64("component", "coord", F.lit(step))
+        main = counted.groupBy(*key).agg(
+            F.max(F.struct("members", turn, "component")).alias("top"), F.count("*").alias("parts")
+        )
+        main = main.where("parts > 1").select(*key, F.col("top.component").alias("main"))
+        out = store(named.join(main, key), "open-postings")
+        discard(named)
+        return out
+
+    def with_links(pairs: DataFrame) -> DataFrame:
+        links = store(confirm(pairs, texts, size, share), "near-links")
+        if joined is not None:
+            links = links.unionByName(joined.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        return components(links)
+
+    for step in range(rounds):
+        lists = open_lists(step)
+        hub = lists.where("component = main").groupBy(*key).agg(
+            F.min(F.struct(F.xxhash64("node", "coord", F.lit(step)), *BODY)).alias("c")
+        )
+        stars = against(lists.where("component <> main"), hub.select(*key, "c.*")).groupBy(F.col("l.node").alias("a"))
+        best = F.max(F.struct(_collisions("l", "r").alias("hits"), F.col("r.node").alias("b"))).alias("best")
+        pairs = store(stars.agg(best).select("a", "best.b"), "star-pairs")
+        joined = with_links(pairs)
+        rest = lists.drop("main")
 
     # what is left: members outside the largest component of a list, against the whole list
-    named = posted.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    named = store(named, "named-postings")
-    counted = named.groupBy(*key, "component").agg(F.count("*").alias("members"))
-    main = counted.groupBy(*key).agg(
-        F.max(F.struct("members", "component")).alias("top"), F.count("*").alias("components")
-    )
-    main = main.where("components > 1").select(*key, F.col("top.component").alias("main"))
-    open_lists = store(named.join(main, key), "open-postings")
+    lists = open_lists(rounds)
     across = (F.col("l.component") != F.col("r.component")) & (
         (F.col("r.component") == F.col("r.main")) | (F.col("l.node") < F.col("r.node"))
     )
-    rest = against(open_lists.where("component <> main"), open_lists, across)
-    rest = store(rest.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct(), "cross-pairs")
-    more = store(confirm(rest.join(pairs, ["a", "b"], "left_anti"), docs, size, share), "cross-links")
-    parts = joined.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    out = components(parts.unionByName(more))
-    discard(posted, named, open_lists, rest, pairs)
+    pairs = against(lists.where("component <> main"), lists, across)
+    pairs = store(pairs.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct(), "cross-pairs")
+    out = with_links(pairs)
+    discard(posted, lists, pairs, texts)
     return out
 
 
