@@ -5,7 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from millwright.llm import bpe_bytes, line_dedup, minhash_dedup, token_files, topk
+from millwright.llm import (
+    bpe_bytes,
+    class_lm,
+    decontaminate,
+    line_dedup,
+    minhash_dedup,
+    secrets,
+    token_files,
+    topk,
+    toxicity,
+)
 from millwright.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -33,12 +43,32 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op4_class_lm")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_lm.op4_class_lm(table(spark, sf_dir, "documents"))
+
+
+@query("op5_toxicity")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.op5_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op6_decontaminate")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.op6_decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op7_byte_bpe")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe_bytes.op7_byte_bpe(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+@query("op8_secrets")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.op8_secrets(table(spark, sf_dir, "documents"))
+
+
 @query("op9_line_dedup", line_dedup.ORACLE)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.op9_line_dedup(table(spark, sf_dir, "documents"))

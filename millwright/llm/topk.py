@@ -30,42 +30,57 @@ from pyspark.sql import functions as F
 from millwright.llm.common import store
 
 
+#: Shares of each list read before the bounds are looked at again.
+STOPS = (0.5, 0.75, 0.875, 1.0)
+
+
 class Lists:
-    """The sorted lists of a block of candidates."""
+    """The sorted lists of a block of candidates, read for many queries at once.
+
+    After ``depth`` entries of a list are read from its large end, a candidate's component is
+    known if it is at least the entry last read (the frontier); if not, it lies between the
+    list's other end and the frontier.  The same holds from the small end, where queries
+    with a negative component read.
+    """
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray):
-        self.ids, self.rows = ids, rows
-        n, dims = rows.shape
-        self.order = np.argsort(rows, axis=0, kind="stable").T  # dims x n, ascending
-        self.sorted = np.take_along_axis(rows.T, self.order, axis=1)
-        self.rank = np.empty((n, dims), np.int32)
-        self.rank[self.order.T, np.arange(dims)] = np.arange(n)[:, None]
-
-    def top(self, query: np.ndarray, own_id: int, k: int, stretch: int) -> list[tuple[int, int]]:
-        """(score, id) of the k best, the query's own row left out."""
-        n, dims = self.rows.shape
-        up = query > 0  # read from the large end
-        order = np.where(up[:, None], self.order[:, ::-1], self.order)
-        products = np.where(up[:, None], self.sorted[:, ::-1], self.sorted) * query[:, None]
-        worst = products[:, -1]
-        seen_sum = np.zeros(n)
-        left = np.flatnonzero(self.ids != own_id)
-        depth = 0
-        while len(left) > 8 * k and depth < n:
-            end = min(n, depth + stretch)
-            seen_sum += np.bincount(
-                order[:, depth:end].ravel(), weights=products[:, depth:end].ravel(), minlength=n
-            )
-            depth = end
-            rank = self.rank[left]
-            unread = (np.where(up, n - 1 - rank, rank) >= depth).astype(np.float64)
-            lower = seen_sum[left] + unread @ worst
-            upper = seen_sum[left] + unread @ products[:, depth - 1]
-            if len(left) > k:
-                bar = np.partition(lower, len(lower) - k)[len(lower) - k]
-                left = left[upper >= bar]
-        scores = self.rows[left].astype(np.int64) @ query.astype(np.int64)
-        return sorted(zip((-scores).tolist(), self.ids[left].tolist()))[:k]
+        reach = np.abs(rows).max(initial=0.0)
+        kind = np.float32 if reach * reach * rows.shape[1] < 2**24 else np.float64  # sums stay exact
+        self.ids, self.rows = ids, rows.astype(kind)
+        self.lists = np.sort(self.rows, axis=0)
+
+    def bounds(self, queries: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        v, first, last = self.rows, self.lists[0], self.lists[-1]
+        high, low = self.lists[len(v) - depth], self.lists[depth - 1]
+        plus, minus = np.maximum(queries, 0), np.minimum(queries, 0)
+        upper = plus @ np.maximum(v, high).T + minus @ np.minimum(v, low).T
+        lower = plus @ np.where(v >= high, v, first).T + minus @ np.where(v <= low, v, last).T
+        return lower, upper
+
+    def top(self, query_ids: np.ndarray, queries: np.ndarray, k: int):
+        """(query place, id, score) of the k best for each query, its own row left out."""
+        n = len(self.ids)
+        asked = queries.astype(self.rows.dtype)
+        alive = self.ids[None, :] != query_ids[:, None]
+        for share in STOPS:
+            lower, upper = self.bounds(asked, max(1, int(share * n)))
+            lower[~alive] = -np.inf
+            if n > k:
+                alive &= upper >= np.partition(lower, n - k, axis=1)[:, n - k, None]
+            if alive.sum() <= 8 * k * len(queries):
+                break
+        at, who = np.nonzero(alive)
+        scores = np.concatenate(
+            [
+                (self.rows[who[i : i + 65536]].astype(np.int64) * queries[at[i : i + 65536]].astype(np.int64)).sum(axis=1)
+                for i in range(0, max(1, len(at)), 65536)
+            ]
+        )
+        order = np.lexsort((self.ids[who], -scores, at))
+        at, who, scores = at[order], who[order], scores[order]
+        place = np.arange(len(at)) - np.searchsorted(at, at)
+        best = place < k
+        return at[best], self.ids[who[best]], scores[best]
 
 
 def _blocks(rows: DataFrame, size: int, name: str) -> DataFrame:
@@ -94,7 +109,7 @@ def whole_vectors(vectors: DataFrame) -> DataFrame:
 
 
 def top_k(
-    vectors: DataFrame, every: int, k: int, block: int = 8192, query_block: int = 512, stretch_share: int = 8
+    vectors: DataFrame, every: int, k: int, block: int = 4096, query_block: int = 256
 ) -> DataFrame:
     """query_id, rank, vec_id, score for the rows whose id is divisible by ``every``."""
     rows = store(whole_vectors(vectors), "vectors")
@@ -106,9 +121,11 @@ def top_k(
     dealt = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks or 0)))).select(
         "block", F.col("ids").alias("query_ids"), F.col("flat").alias("query_flat")
     )
-    pairs = dealt.join(candidates, "block").repartition("block", F.col("query_ids")[0])
+    n_pairs = (n_blocks or 0) + 1
+    pairs = dealt.join(candidates, "block").repartition(n_pairs, "block").sortWithinPartitions("block")
 
     def run(batches):
+        cached = None
         for batch in batches:
             for i in range(batch.num_rows):
                 part = batch.slice(i, 1)
@@ -117,20 +134,16 @@ def top_k(
                 )
                 if not len(ids) or not len(own):
                     continue
-                lists = Lists(ids, flat.reshape(len(ids), -1))
-                stretch = max(64, -(-len(ids) // stretch_share))
-                found = [
-                    (int(q), v, -s)
-                    for q, x in zip(own, asked.reshape(len(own), -1))
-                    for s, v in lists.top(x, q, k, stretch)
-                ]
-                q, v, s = zip(*found) if found else ((), (), ())
+                if cached is None or cached[0] != batch["block"][i].as_py():
+                    cached = (batch["block"][i].as_py(), Lists(ids, flat.reshape(len(ids), -1)))
+                at, v, s = cached[1].top(own, asked.reshape(len(own), -1), k)
+                q = own[at]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.int64())],
                     names=["query_id", "vec_id", "score"],
                 )
 
-    best = pairs.select("ids", "flat", "query_ids", "query_flat").mapInArrow(
+    best = pairs.select("block", "ids", "flat", "query_ids", "query_flat").mapInArrow(
         run, "query_id long, vec_id long, score long"
     )
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
