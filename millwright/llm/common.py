@@ -133,3 +133,54 @@ class Ragged:
         ends = np.cumsum(lens)
         where = np.repeat(starts - (ends - lens), lens) + np.arange(ends[-1])
         return np.frombuffer(self.flat, np.uint32)[where] if len(where) else np.empty(0, np.uint32)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+class RunHash:
+    """64-bit hashes of all runs of word bytes of a text, without a loop over them.
+
+    With prefix sums P of byte * B**place (mod 2**64), a run's hash is (P[end] - P[start]) *
+    B**-start.  Word bytes: ASCII letters and digits, and all bytes over 127; with ``marks``
+    all but space and 0x09-0x0D.
+    """
+
+    SEGMENT = 1 << 20
+    BASE = 0x9E3779B97F4A7C15
+
+    def __init__(self, marks: bool = False):
+        blank = b" \t\n\x0b\x0c\r"
+        self.inside = np.array([c not in blank if marks else c > 127 or chr(c).isalnum() for c in range(256)])
+        self.up = _powers(self.BASE, self.SEGMENT)
+        self.down = _powers(pow(self.BASE, -1, 2**64), self.SEGMENT)
+
+    def of(self, text: str | None) -> np.ndarray:
+        raw = text.encode().lower() if text else b""
+        if len(raw) <= self.SEGMENT:
+            return self._segment(raw)
+        out, at = [], 0
+        while at < len(raw):  # cut after a blank; a run longer than a segment is cut anyway
+            end = at + self.SEGMENT
+            if end < len(raw):
+                end = max(raw.rfind(b" ", at, end), raw.rfind(b"\n", at, end)) + 1 or end
+            out.append(self._segment(raw[at:end]))
+            at = end
+        return np.concatenate(out)
+
+    def _segment(self, raw: bytes) -> np.ndarray:
+        if not raw:
+            return np.empty(0, np.uint64)
+        b = np.frombuffer(raw, np.uint8)
+        inside = np.zeros(len(b) + 2, np.int8)
+        inside[1:-1] = self.inside[b]
+        edges = np.flatnonzero(np.diff(inside))
+        starts, ends = edges[::2], edges[1::2]
+        sums = np.zeros(len(b) + 1, np.uint64)
+        np.cumsum(b * self.up[: len(b)], out=sums[1:])
+        h = (sums[ends] - sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64) * MIX
+        h = (h ^ (h >> np.uint64(32))) * MIX2
+        return h ^ (h >> np.uint64(29))

@@ -18,7 +18,7 @@ window without any run of that many words of an item is further away.  This leav
 pair within the distance; which windows and items are compared is decided by the keys.
 
 An item leaks into a document if at most ``share`` of its words (at least one) need edits.
-Words are lower-cased (A-Z) runs without blanks and without marks at their ends.
+Words are runs of ASCII letters and digits and of all other characters past ASCII; A-Z count as a-z.
 
 Defined cases: null and empty texts and items have no words and never match; repeated
 items and documents each give their rows; items and documents without an id take no
@@ -32,24 +32,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millwright.llm.common import MIX, MIX2, store
-from millwright.llm.toxicity import MARKS, _Bare
+from millwright.llm.common import MIX, MIX2, RunHash, store
 
-WALKS, SAMPLES, PICK = 6, 6, 2
+WALKS, SAMPLES, PICK = 6, 6, 3
 STEPS = 2.0  # steps of a walk for each word of an item that are sampled from, at most
-_HASH = _Bare(600_000)
-_rng = np.random.default_rng(61)
+_HASH = RunHash()
 
 
 def word_hashes(text: str | None) -> np.ndarray:
-    """64-bit hashes of the words; runs of marks alone are no words."""
-    if not text:
-        return np.empty(0, np.uint64)
-    h = _HASH.of(text.encode().lower().split())
-    return h[h != _EMPTY]
-
-
-_EMPTY = np.uint64(_HASH[MARKS[:1]])
+    return _HASH.of(text)
 
 
 def allowed(m: int, share: float) -> int:
@@ -85,7 +76,7 @@ def walk(h: np.ndarray, starts: np.ndarray, steps: int, turn: int) -> np.ndarray
 
 
 class Items:
-    """Benchmark items with their keys; ``sizes`` are the classes of item sizes, each a tenth over the last."""
+    """Benchmark items with their keys; ``sizes`` are the classes of item sizes, each a quarter over the last."""
 
     def __init__(self, ids: list, texts: list, share: float):
         self.share = share
@@ -93,7 +84,7 @@ class Items:
         told = [(i, h) for i, h in told if i is not None and len(h)]
         self.ids, self.words = [i for i, _ in told], [h for _, h in told]
         lens = np.array([len(h) for h in self.words], np.int64)
-        self.cls = np.floor(np.log(np.maximum(lens, 1)) / np.log(1.1)).astype(np.int64)
+        self.cls = np.floor(np.log(np.maximum(lens, 1)) / np.log(1.25)).astype(np.int64)
         self.steps = {c: max(PICK, int(STEPS * lens[self.cls == c].min())) for c in set(self.cls.tolist())}
         self.longest = int(lens.max(initial=0))
         r = np.random.default_rng(17)
@@ -129,8 +120,10 @@ class Items:
         for turn in range(WALKS):
             put = walk(h, starts, most, turn)
             for c in classes:
-                for s, (a, b) in enumerate(self.picks[c][turn]):
-                    key = (put[a] ^ (put[a] >> np.uint64(31))) * MIX + put[b]
+                for s, (first, *more) in enumerate(self.picks[c][turn]):
+                    key = put[first]
+                    for step in more:
+                        key = (key ^ (key >> np.uint64(31))) * MIX + put[step]
                     tag = np.full(1, (c * 64 + turn) * 64 + s + 1, np.uint64) * MIX
                     out[c].append((key ^ (key >> np.uint64(29)) ^ tag) * MIX2)
         return [(c, np.stack(k)) for c, k in out.items()]
@@ -142,7 +135,8 @@ class Items:
             r = runs(h, q)
             at = np.flatnonzero(self.maps[q][(r >> np.uint64(42)).astype(np.int64)])
             if len(at):
-                at = at[np.isin(r[at], seeds, assume_unique=False)]
+                found = r[at]
+                at = at[seeds[np.minimum(np.searchsorted(seeds, found), len(seeds) - 1)] == found]
                 lo = np.maximum(0, at - int(self.longest * (1 + self.share)))
                 np.add.at(hit, lo, 1)
                 np.add.at(hit, at + 1, -1)

@@ -55,6 +55,10 @@ def line_keys(docs: DataFrame, shortest: int) -> DataFrame:
     return told.mapInArrow(run, "key binary, doc_id long")
 
 
+#: What decides which lines go, and how the runs are kept.
+LIMITS = {"shortest": 20, "least": 3, "batches": 4, "fan_out": 2}
+
+
 class Runs:
     """Runs by level; ``fan_out`` runs of a level are compacted into one of the next."""
 
@@ -154,6 +158,37 @@ def drop_lines(docs: DataFrame, shortest: int = 20, least: int = 3, batches: int
     )
 
 
+def replace_texts(docs: DataFrame, **limits) -> DataFrame:
+    """The rows and columns of ``docs``, with the lines gone from ``text`` and ``n_chars`` (if there) made to fit.
+
+    Texts that lose nothing, null ones among them, stay as they are.
+    """
+    lost = repeated_keys(docs, *(limits.get(k, v) for k, v in LIMITS.items()))
+    lost = lost.groupBy("doc_id").agg(F.collect_set("key").alias("lost_keys")).withColumnRenamed("doc_id", "lost_id")
+    shortest = limits.get("shortest", LIMITS["shortest"])
+
+    def cut(parts):
+        for batch in parts:
+            out = []
+            for text, keys in zip(batch["text"].to_pylist(), batch["lost_keys"].to_pylist()):
+                if keys and text is not None:
+                    gone = set(keys)
+                    text = "\n".join(x for x in text.split("\n") if line_key(x.encode(), shortest) not in gone)
+                out.append(text)
+            at = batch.schema.get_field_index("text")
+            columns = [pa.array(out, pa.string()) if i == at else c for i, c in enumerate(batch.columns)]
+            names = batch.schema.names
+            yield pa.RecordBatch.from_arrays(columns[:-1], names=names[:-1])
+
+    rows = docs.join(lost, docs["doc_id"] == lost["lost_id"], "left").drop("lost_id")
+    whole = rows.where("lost_keys is null").drop("lost_keys")
+    kept = rows.where("lost_keys is not null").mapInArrow(cut, docs.schema)
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        kept = kept.withColumn("n_chars", F.char_length("text").cast(kind))
+    return whole.unionByName(kept)
+
+
 def op9_line_dedup(docs: DataFrame) -> DataFrame:
     return drop_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 

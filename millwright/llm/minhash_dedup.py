@@ -35,22 +35,22 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millwright.llm.common import MIX, MIX2, WordHash, discard, store, words
+from millwright.llm.common import MIX, MIX2, RunHash, discard, store
 
 COORDS, MATCHES = 32, 14
 SKETCH = 512
 _rng = np.random.default_rng(20240607)
 SEEDS = _rng.integers(1, 2**63, COORDS).astype(np.uint64)
 FACTORS = _rng.integers(1, 2**63, COORDS).astype(np.uint64) | np.uint64(1)
-_HASH = WordHash()
+_HASH = RunHash(marks=True)
 
 
-def shingles(tokens: list[bytes], size: int) -> np.ndarray:
+def shingles(text: str | None, size: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the runs of ``size`` words; of all words, if fewer."""
-    n = len(tokens)
+    h = _HASH.of(text)
+    n = len(h)
     if not n:
-        return np.empty(0, np.uint64)
-    h = _HASH.of(tokens)
+        return h
     width = min(size, n)
     out = h[: n - width + 1].copy()
     for i in range(1, width):
@@ -80,7 +80,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
         for batch in batches:
             ids = batch["doc_id"].to_pylist()
             for lo in range(0, len(ids), 512):
-                sets = [shingles(words(t), size) for t in batch["text"].slice(lo, 512).to_pylist()]
+                sets = [shingles(t, size) for t in batch["text"].slice(lo, 512).to_pylist()]
                 sigs = [signature(s).astype(np.int64) if len(s) > 3 else np.empty(0, np.int64) for s in sets]
                 odds = [odd_sketch(s) if len(s) > 3 else np.empty(0, np.int64) for s in sets]
                 yield pa.RecordBatch.from_arrays(
@@ -217,7 +217,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, size: int, share: int, spread: in
         for batch in batches:
             out = []
             for hub, a, text in zip(*(batch[c].to_pylist() for c in ("hub", "a", "text"))):
-                own = shingles(words(text), size)
+                own = shingles(text, size)
                 if a is None:
                     sets = [*sets, own] if here == hub else [own]
                     here = hub

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,6 +14,7 @@ from millwright.llm import (
     minhash_dedup,
     secrets,
     token_files,
+    tool_calls,
     topk,
     toxicity,
 )
@@ -36,6 +38,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.op1_near_dedup(table(spark, sf_dir, "documents"))
 
 
+@query("op2_tool_calls", tool_calls.ORACLE)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tool_calls.op2_tool_calls(table(spark, sf_dir, "conversations"))
+
+
 @query("op3_token_files")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.op3_token_files(
@@ -77,3 +84,6 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_topk", topk.ORACLE)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.op10_topk(table(spark, sf_dir, "embeddings"))
+
+
+query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
