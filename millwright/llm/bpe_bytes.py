@@ -40,7 +40,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class ByteBpe:
     """Encoder and decoder over a table of ranks (token bytes -> rank)."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, remembered: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, remembered: int = 250_000):
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         sizes: dict[bytes, set[int]] = {}
         for token in ranks:
@@ -54,7 +54,7 @@ class ByteBpe:
         self.pieces: dict[str, list[int]] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
         self.alone: dict[int, bool] = {}
-        self.chunks = Ragged(lambda new: [self._chunk(c) for c in new], 700_000)
+        self.chunks = Ragged(lambda new: [self._chunk(c) for c in new], 400_000)
 
     def merge(self, piece: bytes) -> list[int]:
         """The plain way: merge the neighbours of lowest rank until none is left."""

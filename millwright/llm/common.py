@@ -14,7 +14,6 @@ from array import array
 from itertools import repeat
 
 import numpy as np
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,25 +70,6 @@ def words(text: str | None) -> list[bytes]:
     return text.encode().lower().split() if text else []
 
 
-class WordHash(dict):
-    """word -> 64-bit hash, remembered; forgets everything past ``limit`` words."""
-
-    def __init__(self, limit: int = 300_000):
-        super().__init__()
-        self.limit = limit
-
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= 64:
-            if len(self) >= self.limit:
-                self.clear()
-            self[word] = value
-        return value
-
-    def of(self, tokens: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, tokens), np.uint64, len(tokens))
-
-
 class Ragged:
     """chunk of text -> its token ids, remembered between documents.
 
@@ -158,22 +138,23 @@ class RunHash:
         self.up = _powers(self.BASE, self.SEGMENT)
         self.down = _powers(pow(self.BASE, -1, 2**64), self.SEGMENT)
 
-    def of(self, text: str | None) -> np.ndarray:
+    def of(self, text: str | None, *cuts: int) -> np.ndarray:
+        """The hashes; with ``cuts`` a row for the whole runs and for each cut those of their first bytes."""
         raw = text.encode().lower() if text else b""
         if len(raw) <= self.SEGMENT:
-            return self._segment(raw)
+            return self._segment(raw, cuts)
         out, at = [], 0
         while at < len(raw):  # cut after a blank; a run longer than a segment is cut anyway
             end = at + self.SEGMENT
             if end < len(raw):
                 end = max(raw.rfind(b" ", at, end), raw.rfind(b"\n", at, end)) + 1 or end
-            out.append(self._segment(raw[at:end]))
+            out.append(self._segment(raw[at:end], cuts))
             at = end
-        return np.concatenate(out)
+        return np.concatenate(out, axis=-1)
 
-    def _segment(self, raw: bytes) -> np.ndarray:
+    def _segment(self, raw: bytes, cuts: tuple[int, ...]) -> np.ndarray:
         if not raw:
-            return np.empty(0, np.uint64)
+            return np.empty((1 + len(cuts), 0) if cuts else 0, np.uint64)
         b = np.frombuffer(raw, np.uint8)
         inside = np.zeros(len(b) + 2, np.int8)
         inside[1:-1] = self.inside[b]
@@ -181,6 +162,10 @@ class RunHash:
         starts, ends = edges[::2], edges[1::2]
         sums = np.zeros(len(b) + 1, np.uint64)
         np.cumsum(b * self.up[: len(b)], out=sums[1:])
+        rows = [self._hash(sums, starts, ends), *(self._hash(sums, starts, np.minimum(ends, starts + c)) for c in cuts)]
+        return np.stack(rows) if cuts else rows[0]
+
+    def _hash(self, sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         h = (sums[ends] - sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64) * MIX
         h = (h ^ (h >> np.uint64(32))) * MIX2
         return h ^ (h >> np.uint64(29))

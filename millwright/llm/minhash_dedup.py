@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from millwright.llm.common import MIX, MIX2, RunHash, discard, store
 
 COORDS, MATCHES = 32, 14
-SKETCH = 512
+SKETCH = 1024
 _rng = np.random.default_rng(20240607)
 SEEDS = _rng.integers(1, 2**63, COORDS).astype(np.uint64)
 FACTORS = _rng.integers(1, 2**63, COORDS).astype(np.uint64) | np.uint64(1)
@@ -191,23 +191,24 @@ def components(links: DataFrame) -> DataFrame:
             return links.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, size: int, share: int, spread: int = 256) -> DataFrame:
+def confirm(pairs: DataFrame, docs: DataFrame, size: int, share: int, merge: bool = False, spread: int = 256) -> DataFrame:
     """a, b of the pairs (a, b) whose full sets qualify.
 
     A text travels once for each of its pairs: as member to its hub b, whose text
-    comes first.  The joins with the texts are merge joins at every size.  A hub with more than ``spread`` members is copied to several salts.
+    comes first.  With ``merge`` the joins with the texts are merge joins at every size.  A hub with more than ``spread`` members is copied to several salts.
     """
     hubs = pairs.groupBy(F.col("b").alias("hub")).agg(F.count("*").alias("members"))
     hubs = hubs.withColumn("salts", F.ceil(F.col("members") / spread).cast("int"))
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+    texts = texts.hint("merge") if merge else texts
     members = (
         pairs.join(hubs, pairs["b"] == hubs["hub"])
         .select("a", "hub", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"))
-        .join(texts.hint("merge"), F.col("a") == F.col("id"))
+        .join(texts, F.col("a") == F.col("id"))
         .select("hub", "salt", "a", "text")
     )
     centres = (
-        hubs.join(texts.hint("merge"), F.col("hub") == F.col("id"))
+        hubs.join(texts, F.col("hub") == F.col("id"))
         .select("hub", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "text")
         .select("hub", "salt", F.lit(None).cast("long").alias("a"), "text")
     )
@@ -240,7 +241,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, size: int, share: int, spread: in
     )
 
 
-def link_near(sigs: DataFrame, docs: DataFrame, size: int, share: int, rounds: int = 2) -> DataFrame:
+def link_near(sigs: DataFrame, docs: DataFrame, size: int, share: int, rounds: int = 3) -> DataFrame:
     """node, component for the nodes (smallest doc_id of a set) that have a link to another set."""
     posted = postings(sigs)
     key = ["coord", "value"]
@@ -272,7 +273,7 @@ def link_near(sigs: DataFrame, docs: DataFrame, size: int, share: int, rounds: i
         return out
 
     def with_links(pairs: DataFrame) -> DataFrame:
-        links = store(confirm(pairs, texts, size, share), "near-links")
+        links = store(confirm(pairs, texts, size, share, merge=joined is None), "near-links")
         if joined is not None:
             links = links.unionByName(joined.select(F.col("node").alias("a"), F.col("component").alias("b")))
         return components(links)

@@ -1,8 +1,8 @@
 """Operator 5: toxicity by FTRL-proximal logistic regression over hashed n-grams.
 
 Features of a text are present or absent: its words and their stems (first bytes), pairs
-of neighbouring words and pairs with one word between (skip-grams), lower-cased and
-stripped of punctuation, hashed to 2**BITS places.  FTRL-proximal keeps an adaptive rate for each coordinate
+of neighbouring words and pairs with one word between (skip-grams), of lower-cased
+letters and digits, hashed to 2**BITS places.  FTRL-proximal keeps an adaptive rate for each coordinate
 and an L1 term that leaves most weights exactly zero; what is broadcast is the short
 list of the others, at most 2**BITS.
 
@@ -26,40 +26,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millwright.llm.common import MIX, MIX2, WordHash, held_out, store
+from millwright.llm.common import MIX, MIX2, RunHash, held_out, store
 
 BITS = 20
 SHARDS = 2
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 4.0, 0.1
-MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
-
-
-class _Bare(WordHash):
-    """Hash of a word without the marks at its ends, cut to ``size`` bytes if that is given."""
-
-    def __init__(self, limit: int = 300_000, size: int | None = None):
-        super().__init__(limit)
-        self.size = size
-
-    def __missing__(self, word: bytes) -> int:
-        value = super().__missing__(word.strip(MARKS)[: self.size])
-        if len(word) <= 64:
-            self[word] = value
-        return value
-
-
-_HASH = _Bare()
 #: Compounds of one stem share its first bytes.
-_STEMS = [_Bare(200_000, size) for size in (5, 7)]
+STEMS = (5, 7)
+_HASH = RunHash()
 
 
 def features(text: str | None) -> np.ndarray:
     """Places of the words, pairs and skip-pairs, with repeats."""
-    own = text.encode().lower().split() if text else []
-    h = _HASH.of(own)
+    h, *stems = _HASH.of(text, *STEMS)
     pair = (h[:-1] ^ (h[:-1] >> np.uint64(31))) * MIX + h[1:]
     skip = (h[:-2] ^ (h[:-2] >> np.uint64(29))) * MIX2 + h[2:]
-    stems = [x.of(own) * (MIX ^ np.uint64(2 * i + 2)) for i, x in enumerate(_STEMS)]
+    stems = [x * (MIX ^ np.uint64(2 * i + 2)) for i, x in enumerate(stems)]
     out = np.concatenate([h * MIX2, *stems, pair * MIX2, skip * MIX])
     return (out >> np.uint64(64 - BITS)).astype(np.int64)
 
