@@ -74,7 +74,7 @@ def normalize_type(raw: str | Column) -> Column:
     '-' and '_' before the lookup.
     """
     cleaned = F.translate(
-        F.upper(F.regexp_replace(col(raw).cast("string"), r"^\s+|\s+$", "")), "-_", ""
+        F.upper(F.regexp_replace(col(raw).cast("string"), r"(?U)^\s+|\s+$", "")), "-_", ""
     )
     expr = None
     for token, t in S.TYPE_TOKENS.items():
@@ -82,9 +82,17 @@ def normalize_type(raw: str | Column) -> Column:
     return F.coalesce(expr.otherwise(F.lit("")), F.lit(""))
 
 
+#: Text that counts as a number: decimal digits, or an infinity; no type suffix, no hex.
+NUMBER_TEXT = r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity)\s*$"
+
+
 def to_double(c: str | Column) -> Column:
-    """Numeric coercion: text or number to DOUBLE, unparsable and NaN to NULL."""
-    d = F.expr(f"try_cast({c} AS DOUBLE)") if isinstance(c, str) else c.try_cast("double")
+    """Numeric coercion: text or number to DOUBLE, unparsable and NaN to NULL.
+
+    The cast alone would take ``45d``, ``45f`` and ``0x1p3``, which are no numbers here.
+    """
+    text = col(c).cast("string")
+    d = F.when(text.rlike(NUMBER_TEXT), F.trim(text).try_cast("double"))
     return F.when(F.isnan(d), F.lit(None).cast("double")).otherwise(d)
 
 

@@ -78,7 +78,7 @@ def estimator(name: str, n_train: int):
     """The reference's five classifiers as Spark ML estimators."""
     common = dict(featuresCol="features", labelCol="label")
     if name == "Random Forest":
-        return RandomForestClassifier(numTrees=100, maxDepth=15, maxBins=64, featureSubsetStrategy="sqrt",
+        return RandomForestClassifier(numTrees=100, maxDepth=30, maxBins=64, featureSubsetStrategy="sqrt",
                                       seed=SEED, **common)
     if name == "Gradient Boosting":
         return GBTClassifier(maxIter=100, maxDepth=3, stepSize=0.1, maxBins=64, seed=SEED, **common)

@@ -44,14 +44,17 @@ def assess_quality(df: DataFrame, profile: Profile | None) -> DataFrame:
     """
     feats = [c for c in S.SENSORS if profile and c in profile]
     if not feats:
-        empty = F.array().cast(T.ArrayType(T.StructType([T.StructField("feature", T.StringType())])))
-        return df.select("*", F.lit(0.0).alias("max_abs_z"), empty.alias("out_of_range"), empty.alias("high_z"),
+        kind = lambda *names: "array<struct<feature:string," + ",".join(f"{n}:double" for n in names) + ">>"
+        return df.select("*", *[F.lit(None).cast("double").alias(f"z_{c}") for c in S.SENSORS],
+                         F.lit(0.0).alias("max_abs_z"),
+                         F.array().cast(kind("value", "min", "max")).alias("out_of_range"),
+                         F.array().cast(kind("value", "z_score")).alias("high_z"),
                          F.lit(0.0).alias("anomaly_score"), F.lit(False).alias("anomaly_detected"),
                          F.lit(S.NEUTRAL_COMPONENT).alias("confidence_component"))
     zs = {c: _z(c, profile[c]) for c in feats}
     z_cols = [zs[c].alias(f"z_{c}") for c in feats]
     with_z = df.select("*", *z_cols)
-    max_abs = F.coalesce(F.greatest(*[F.abs(F.col(f"z_{c}")) for c in feats]), F.lit(0.0))
+    max_abs = F.coalesce(F.array_max(F.array(*[F.abs(F.col(f"z_{c}")) for c in feats])), F.lit(0.0))
     oor = X.compact_array(*[_oor(c, profile[c]) for c in feats])
     high = X.compact_array(*[
         F.when(F.abs(F.col(f"z_{c}")) >= F.lit(S.HIGH_Z),

@@ -146,6 +146,19 @@ def q_anomaly_score(spark, sf_dir):
                                   "confidence_component"))
 
 
+@register("neutral_quality", f"""
+SELECT request_id, 0e0 AS max_abs_z, 0e0 AS anomaly_score, false AS anomaly_detected, 0.5e0 AS confidence_component,
+  '' AS range_warnings, '' AS z_warnings
+FROM ({validated_sql()}) v WHERE status = 'scored'""")
+def q_neutral_quality(spark, sf_dir):
+    """Scoring without a feature profile: the neutral result for every scored request, through the warnings."""
+    scored = validated_requests(spark, sf_dir).where(F.col("status") == "scored")
+    a = quality.reliability_warnings(quality.assess_quality(scored, None))
+    return a.select("request_id", "max_abs_z", "anomaly_score", "anomaly_detected", "confidence_component",
+                    F.concat_ws("; ", "range_warnings").alias("range_warnings"),
+                    F.concat_ws("; ", "z_warnings").alias("z_warnings"))
+
+
 @register("reliability_warnings", _QUALITY_BASE + """,
  w AS (""" + "\nUNION ALL\n".join(
     f"SELECT request_id, {i} AS pos, 'r' AS kind, printf('%s=%.2f outside [%.2f, %.2f]', '{S.SENSOR_LONG_NAMES[c]}', "
@@ -157,9 +170,10 @@ SELECT a.request_id,
     AS range_warnings,
   coalesce((SELECT string_agg(txt, '; ' ORDER BY pos) FROM w WHERE w.request_id = a.request_id AND kind = 'z'), '')
     AS z_warnings
-FROM a WHERE n_oor > 0 OR n_high > 0""")
+FROM a""")
 def q_reliability_warnings(spark, sf_dir):
-    a = quality.reliability_warnings(_quality(spark, sf_dir)).where(F.col("anomaly_detected"))
+    """Every scored request; both texts are empty where nothing is to be warned of."""
+    a = quality.reliability_warnings(_quality(spark, sf_dir))
     return a.select("request_id", F.concat_ws("; ", "range_warnings").alias("range_warnings"),
                     F.concat_ws("; ", "z_warnings").alias("z_warnings"))
 
