@@ -66,8 +66,10 @@ def depths(calls: DataFrame) -> DataFrame:
 
 def arguments(text: str) -> Column:
     """The parameters as a map from name to JSON text, the last of a repeated key."""
-    parsed = F.from_json(text, "map<string,string>")
-    return F.coalesce(parsed, F.create_map().cast("map<string,string>"))
+    parsed = F.coalesce(F.from_json(text, "map<string,string>"), F.create_map().cast("map<string,string>"))
+    entries, names = F.map_entries(parsed), F.array_distinct(F.map_keys(parsed))
+    last = lambda k: F.element_at(F.filter(entries, lambda e: e["key"] == k), -1)["value"]
+    return F.map_from_arrays(names, F.transform(names, last))
 
 
 def _kind(value: Column) -> Column:
