@@ -478,7 +478,7 @@ def test_top_k(spark, block, query_block):
     r = np.random.default_rng(10)
     rows = [(i, r.normal(size=6).round(1).tolist()) for i in range(150)]
     rows += [(200 + i, rows[0][1]) for i in range(12)]  # ties
-    rows += [(300, None), (350, [1.0, None, 0, 0, 0, 0]), (400, [float("inf")] * 6), (450, [float("nan")] * 6), (500, [])]
+    rows += [(300, None), (350, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (400, [float("inf")] * 6), (450, [float("nan")] * 6), (500, [])]
     df = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<double>, rank int")
     got = topk.top_k(df, every=10, k=5, block=block, query_block=query_block)
     assert {tuple(x) for x in got.collect()} == brute_top(rows, 10, 5)
