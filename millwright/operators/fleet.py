@@ -24,6 +24,12 @@ def _isum(c: str, df: DataFrame) -> Column:
     return F.lit(0).cast("bigint")
 
 
+def _with_sensors(df: DataFrame) -> DataFrame:
+    """``df`` with every sensor column; absent ones are all NULL."""
+    absent = [c for c in S.SENSORS if c not in df.columns]
+    return df.select("*", *[F.lit(None).cast("double").alias(c) for c in absent]) if absent else df
+
+
 def kpis(df: DataFrame) -> DataFrame:
     """Total operations, failures, failure rate %, MTBF (operations) and availability %."""
     agg = df.agg(F.count(F.lit(1)).alias("total_operations"), _isum(S.LABEL, df).alias("failures"))
@@ -64,8 +70,12 @@ def _unpivot_modes(sums: DataFrame, labels: dict[str, str] | None = None) -> Dat
 
 
 def patterns(df: DataFrame) -> DataFrame:
-    """Count per failure-mode column, sorted by count descending (ties keep TWF..RNF order)."""
-    return _unpivot_modes(_mode_sums(df)).select("mode", "count", "pos").orderBy(F.desc("count"), "pos")
+    """Count per failure-mode column, sorted by count descending (ties keep TWF..RNF order); absent columns are left out."""
+    present = [m for m in MODES if m.lower() in df.columns]
+    counts = _unpivot_modes(_mode_sums(df)).select("mode", "count", "pos")
+    if len(present) < len(MODES):
+        counts = counts.where(F.col("mode").isin(present))
+    return counts.orderBy(F.desc("count"), "pos")
 
 
 def pattern_share(df: DataFrame) -> DataFrame:
@@ -86,8 +96,14 @@ def diagnosis(df: DataFrame) -> DataFrame:
     return _unpivot_modes(_mode_sums(df), S.DIAGNOSIS_LABELS).select("label", "mode", "count", "pos").orderBy("pos")
 
 
-def statistical_summary(df: DataFrame) -> DataFrame:
-    """Mean, sample standard deviation, min and max of the five sensors (one scan)."""
+def statistical_summary(df: DataFrame, decimals: int | None = None) -> DataFrame:
+    """Mean, sample standard deviation, min and max of the sensors that ``df`` has (one scan).
+
+    With ``decimals`` the figures are rounded to as many.
+    """
+    present = [c for c in S.SENSORS if c in df.columns]
+    df = _with_sensors(df)
+    figure = F.col if decimals is None else lambda name: F.round(F.col(name), decimals)
     aggs = []
     for c in S.SENSORS:
         aggs += [F.avg(c).alias(f"{c}__mean"), F.stddev_samp(c).alias(f"{c}__std"),
@@ -95,15 +111,17 @@ def statistical_summary(df: DataFrame) -> DataFrame:
     wide = df.agg(*aggs)
     rows = [
         F.struct(F.lit(i).alias("pos"), F.lit(c).alias("sensor"), F.lit(S.SENSOR_LONG_NAMES[c]).alias("sensor_name"),
-                 F.col(f"{c}__mean").alias("mean"), F.col(f"{c}__std").alias("std"),
-                 F.col(f"{c}__min").alias("min"), F.col(f"{c}__max").alias("max"))
+                 figure(f"{c}__mean").alias("mean"), figure(f"{c}__std").alias("std"),
+                 figure(f"{c}__min").alias("min"), figure(f"{c}__max").alias("max"))
         for i, c in enumerate(S.SENSORS)
     ]
-    return wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    out = wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    return out.where(F.col("sensor").isin(present)) if len(present) < len(S.SENSORS) else out
 
 
 def operating_limits(df: DataFrame) -> DataFrame:
-    """Per sensor: dataset min and max rounded to 2 decimals (the operating limits)."""
+    """Per sensor with values: dataset min and max rounded to 2 decimals (the operating limits)."""
+    df = _with_sensors(df)
     wide = df.agg(*[x for c in S.SENSORS for x in (F.min(c).alias(f"{c}__lo"), F.max(c).alias(f"{c}__hi"))])
     rows = [
         F.struct(F.lit(i).alias("pos"), F.lit(c).alias("sensor"), F.lit(S.SENSOR_LONG_NAMES[c]).alias("sensor_name"),
@@ -132,7 +150,7 @@ def maintenance_thresholds(df: DataFrame, hist: DataFrame | None = None) -> Data
     continuous wear column with billions of distinct values use
     :func:`maintenance_thresholds_approx`.
     """
-    h = hist if hist is not None else wear_histogram(df)
+    h = hist if hist is not None else wear_histogram(_with_sensors(df))
     q = h.agg(F.percentile(F.col(S.WEAR), F.array(F.lit(S.HIGH_QUANTILE), F.lit(S.URGENT_QUANTILE)),
                            F.col("cnt")).alias("q"))
     return _thresholds_from(q)
@@ -178,7 +196,8 @@ def _as_row(df: DataFrame, thresholds) -> dict:
 def maintenance_tier(df: DataFrame, thresholds=None) -> DataFrame:
     """Tier per reading (row-wise) for fitted thresholds (dict, one-row table, or fitted from ``df``)."""
     th = _as_row(df, thresholds)
-    return df.select("*", tier_expr(F.col(S.WEAR), F.lit(th["high"]), F.lit(th["urgent"])).alias("tier"))
+    wear = F.col(S.WEAR) if S.WEAR in df.columns else F.lit(None).cast("double")
+    return df.select("*", tier_expr(wear, F.lit(th["high"]), F.lit(th["urgent"])).alias("tier"))
 
 
 def maintenance_schedule(df: DataFrame, thresholds=None) -> DataFrame:
@@ -197,7 +216,7 @@ def maintenance_schedule(df: DataFrame, thresholds=None) -> DataFrame:
         (2, "ROUTINE", f"Tool wear < {high:.2f} min", S.TIER_ACTIONS["ROUTINE"])],
         ["pos", "tier", "condition", "action"])
     counts = (
-        df.select(tier_expr(F.col(S.WEAR), F.lit(high), F.lit(urgent)).alias("tier"))
+        _with_sensors(df).select(tier_expr(F.col(S.WEAR), F.lit(high), F.lit(urgent)).alias("tier"))
         .groupBy("tier").agg(F.count(F.lit(1)).alias("units"))
     )
     return (
@@ -217,6 +236,7 @@ def limit_violations(df: DataFrame, limits: DataFrame | None = None) -> DataFram
     limits table and every sensor's violations are a conditional sum in the
     same aggregate.
     """
+    df = _with_sensors(df)
     lim = limits if limits is not None else operating_limits(df)
     bounds = {}
     for c in S.SENSORS:
@@ -239,8 +259,9 @@ def dataset_profile(df: DataFrame) -> DataFrame:
     """Dataset 'domain knowledge' in one scan: n, failures, rate (2 dp), mode counts, sensor ranges."""
     aggs = [F.count(F.lit(1)).alias("total_operations"), _isum(S.LABEL, df).alias("total_failures")]
     aggs += [_isum(m.lower(), df).alias(f"{m.lower()}_count") for m in MODES]
-    for c in S.SENSORS:
-        aggs += [F.round(F.min(c), 2).alias(f"{c}_min"), F.round(F.max(c), 2).alias(f"{c}_max")]
+    for c in S.SENSORS:  # the range of an absent sensor is (0, 0)
+        low, high = (F.min(c), F.max(c)) if c in df.columns else (F.lit(0.0), F.lit(0.0))
+        aggs += [F.round(low, 2).alias(f"{c}_min"), F.round(high, 2).alias(f"{c}_max")]
     a = df.agg(*aggs)
     rate = F.when(F.col("total_operations") > 0,
                   F.round(F.col("total_failures").cast("double") / F.col("total_operations").cast("double") * 100.0, 2)
@@ -250,6 +271,7 @@ def dataset_profile(df: DataFrame) -> DataFrame:
 
 def feature_profile(df: DataFrame) -> DataFrame:
     """Per sensor: min, max, mean, sample std (std <= 0 or undefined -> 1e-9); sensors without values are left out."""
+    df = _with_sensors(df)
     aggs = []
     for c in S.SENSORS:
         aggs += [F.min(c).alias(f"{c}__min"), F.max(c).alias(f"{c}__max"), F.avg(c).alias(f"{c}__mean"),

@@ -9,7 +9,7 @@ from millwright.operators import fleet, rules
 from millwright.operators.features import feature_matrix, one_hot_type
 from millwright.plans.registry import register, round_doubles
 from millwright.plans.sql import with_readings
-from millwright.sources.readings import clean_readings, readings_from_lineitem
+from millwright.sources.readings import clean_readings, readings_from_lineitem, type_readings
 
 R = readings_from_lineitem
 
@@ -35,7 +35,9 @@ def _union_modes(template: str) -> str:
 
 @register("load_readings", with_readings("SELECT * FROM readings"))
 def q_load_readings(spark, sf_dir):
-    return R(spark, sf_dir)
+    """The loader's renaming and typing, on the readings as the text columns of a CSV; ids are numbers here."""
+    text = R(spark, sf_dir).select([F.col(c).cast("string").alias(header) for header, c in S.CSV_COLUMNS.items()])
+    return type_readings(text).withColumn(S.PRODUCT_ID, F.col(S.PRODUCT_ID).cast("bigint"))
 
 
 @register("clean_readings", with_readings("""

@@ -24,30 +24,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def load_readings(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     """Read readings with the reference's CSV header (or a Parquet copy) and type them.
 
-    The CSV is read with a fixed all-text schema (no inference pass over the
-    data) and then coerced by :func:`clean_readings`.
+    A CSV's columns are taken by the names in its header, in any order and all as
+    text (no inference pass over the data); files of one folder must agree on them.
+    Absent columns stay absent, others are passed on.
     """
     if fmt == "csv":
-        raw = (
-            spark.read.option("header", True)
-            .option("enforceSchema", False)
-            .schema(_csv_schema())
-            .csv(path)
-        )
-        raw = raw.select([F.col(f"`{src}`").alias(dst) for src, dst in S.CSV_COLUMNS.items()])
+        raw = spark.read.option("header", True).option("enforceSchema", False).csv(path)
     elif fmt == "parquet":
         raw = spark.read.parquet(path)
-        raw = raw.select([F.col(f"`{c}`").alias(S.CSV_COLUMNS.get(c, c)) for c in raw.columns])
     else:
         raise ValueError(f"unknown format {fmt!r}")
-    return clean_readings(raw)
+    return type_readings(raw)
 
 
-def _csv_schema():
-    from pyspark.sql import types as T
+def _quoted(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
 
-    fields = [T.StructField(src, T.StringType()) for src in S.CSV_COLUMNS]
-    return T.StructType(fields)
+
+def type_readings(raw: DataFrame) -> DataFrame:
+    """Canonical names for the header's names, then :func:`clean_readings`."""
+    return clean_readings(raw.select([_quoted(c).alias(S.CSV_COLUMNS.get(c, c)) for c in raw.columns]))
 
 
 def clean_readings(df: DataFrame) -> DataFrame:
@@ -65,7 +61,7 @@ def clean_readings(df: DataFrame) -> DataFrame:
         elif c in S.MODE_COLS or c == S.LABEL:
             out.append(F.expr(f"try_cast(try_cast({c} AS DOUBLE) AS INT)").alias(c))
         else:
-            out.append(F.col(c))
+            out.append(_quoted(c))
     return df.select(out)
 
 
