@@ -8,6 +8,7 @@ text with A-Z lower-cased: ``bytes.lower`` and ``bytes.split`` mean exactly that
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 from array import array
@@ -98,8 +99,13 @@ class Ragged:
 
     def ids(self, chunks: list) -> np.ndarray:
         """The ids of all chunks in order, as one uint32 array."""
+        return self.batch([chunks])[0]
+
+    def batch(self, groups: list[list]) -> list[np.ndarray]:
+        """``ids`` of each list of chunks; the lists are looked up together."""
+        chunks = [c for g in groups for c in g]
         if not chunks:
-            return np.empty(0, np.uint32)
+            return [np.empty(0, np.uint32)] * len(groups)
         if len(self.index) > self.limit or len(self.flat) > 8 * self.limit:
             self.clear()
         at = np.fromiter(map(self.index.get, chunks, repeat(-1)), np.int64, len(chunks))
@@ -112,7 +118,28 @@ class Ragged:
         starts, lens = np.frombuffer(self.starts, np.int64)[at], np.frombuffer(self.lens, np.int64)[at]
         ends = np.cumsum(lens)
         where = np.repeat(starts - (ends - lens), lens) + np.arange(ends[-1])
-        return np.frombuffer(self.flat, np.uint32)[where] if len(where) else np.empty(0, np.uint32)
+        flat = np.frombuffer(self.flat, np.uint32)[where] if len(where) else np.empty(0, np.uint32)
+        cuts = np.concatenate([[0], ends])[np.cumsum([0, *map(len, groups)])].tolist()
+        return [flat[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
+def runs_of(texts: list[str | None], chars: int = 1 << 19):
+    """The texts in runs of some ``chars`` characters; a longer text is a run of its own."""
+    run, size = [], 0
+    for t in texts:
+        run.append(t or "")
+        size += len(run[-1])
+        if size >= chars:
+            yield run
+            run, size = [], 0
+    if run:
+        yield run
+
+
+def rarer_gc() -> None:
+    """Large tables of remembered ids hold no cycles; let the collector walk them less often."""
+    gc.freeze()
+    gc.set_threshold(200_000, 20, 100)
 
 
 def _powers(base: int, n: int) -> np.ndarray:

@@ -19,6 +19,7 @@ a doc_id come first; an empty table gives empty files.
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 
@@ -28,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millwright.llm.common import Ragged, discard, store, words
+from millwright.llm.common import Ragged, discard, rarer_gc, runs_of, store, words
 from millwright.session import ensure_checkpoint_dir
 
 SIZES = np.array([[(c >> 2 * i & 3) + 1 for i in range(4)] for c in range(256)], np.int64)
@@ -56,41 +57,55 @@ def decode_values(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
+#: How the tokenizer cuts lower-cased words of printable ASCII and Latin-1 letters (no "<", which
+#: could begin a special token): the fixed pattern of its pre-tokenizer over these characters.
+PLAIN = re.compile("[!-;=-~ß-öø-ÿ]+")
+PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+#: Byte-level alphabet: bytes without a printable Latin-1 character take the code points from 256 on.
+_SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+ALPHABET = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+
+
 class WordEncoder:
     """Asks the library for each new word once.
 
-    A mark after a letter begins a token of its own, so a word and the mark that ends
-    it are asked for apart.  New words of ASCII letters go in one text, whose tokens are
-    dealt back by the ends of words in it.
+    A word of ``PLAIN`` characters is cut as the tokenizer does, and its BPE model asked for
+    each new piece; every other word goes through the whole tokenizer.
     """
 
     def __init__(self, tok, limit: int = 900_000):
-        self.tok = tok
-        self.ends = np.zeros(tok.get_vocab_size(), bool)
-        self.ends[[i for t, i in tok.get_vocab().items() if t.endswith("</w>")]] = True
+        self.tok, self.model = tok, tok.model
+        self.pieces: dict[str, list[int]] = {}
         self.words = Ragged(self.many, limit)
 
-    def plain(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def letters(self, new: list[bytes]) -> list[list[int]]:
-        ids = self.plain([b" ".join(new).decode()])[0]
-        cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-        if len(cuts) != len(new) or (cuts and cuts[-1] != len(ids)):
-            return self.plain([w.decode() for w in new])
-        return [ids[a:b] for a, b in zip([0, *cuts], cuts)]
+    def piece(self, piece: str) -> list[int]:
+        shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(ALPHABET)
+        ids = [t.id for t in self.model.tokenize(shown)]
+        if len(piece) <= 64:
+            if len(self.pieces) > 300_000:
+                self.pieces.clear()
+            self.pieces[piece] = ids
+        return ids
 
     def many(self, chunks: list[bytes]) -> list[list[int]]:
-        marked = {c for c in chunks if c[-1:] in b".,;:!?" and len(c) > 1 and c.decode()[-2].isalpha()}
-        stems = {c[:-1] if c in marked else c for c in chunks}
-        out = {w: ids for w in stems if (ids := self.words.known(w)) is not None}
-        new = [w for w in stems if w not in out]
-        easy, hard = [w for w in new if w.isalpha()], [w for w in new if not w.isalpha()]
-        out.update(zip(easy, self.letters(easy) if easy else ()))
-        marks = [bytes([m]) for m in b".,;:!?"]
-        hard = [*hard, *marks]
-        out.update(zip(hard, self.plain([w.decode() for w in hard])))
-        return [[*out[c[:-1]], *out[c[-1:]]] if c in marked else out[c] for c in chunks]
+        out, rest, pieces = [], [], self.pieces
+        for chunk in chunks:
+            word = chunk.decode()
+            if not chunk.isascii():
+                word = word.lower()
+            if not PLAIN.fullmatch(word):
+                rest.append((len(out), chunk))
+                out.append([])
+                continue
+            cut = [word] if chunk.isalpha() else PIECES.findall(word)
+            ids = pieces.get(cut[0]) or self.piece(cut[0])
+            for p in cut[1:]:
+                ids = ids + (pieces.get(p) or self.piece(p))
+            out.append(ids)
+        found = self.tok.encode_batch_fast([c.decode() for _, c in rest], add_special_tokens=False)
+        for (i, _), e in zip(rest, found):
+            out[i] = e.ids
+        return out
 
 
 _LOADED: dict = {}
@@ -106,9 +121,8 @@ def word_encoder(path: str) -> Ragged:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tok = Tokenizer.from_file(path)
-
-        _LOADED[path] = WordEncoder(tok).words
+        _LOADED[path] = WordEncoder(Tokenizer.from_file(path)).words
+        rarer_gc()
     return _LOADED[path]
 
 
@@ -122,8 +136,9 @@ def tokenize(docs: DataFrame, path: str, end_id: int, rows: int = 256) -> DataFr
             for lo in range(0, batch.num_rows, rows):
                 part = batch.slice(lo, rows)
                 ids = [
-                    np.concatenate([enc.ids(words(t)) if t else tail[:0], tail]).astype("<u4").tobytes()
-                    for t in part["text"].to_pylist()
+                    np.concatenate([x, tail]).astype("<u4").tobytes()
+                    for run in runs_of(part["text"].to_pylist())
+                    for x in enc.batch([words(t) for t in run])
                 ]
                 yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
@@ -145,7 +160,7 @@ def id_counts(tokens: DataFrame, vocab: int) -> DataFrame:
 
 
 def write_files(tokens: DataFrame, folder: str, vocab: int, files: int) -> None:
-    """Write ``blocks``, ``ranks`` and ``totals`` under ``folder``.
+    """Write ``blocks``, ``ranks`` and ``totals`` under ``folder``; a stored ``tokens`` is deleted once coded.
 
     What goes through the driver is the vocabulary's counts, at most ``vocab`` rows.
     """
@@ -185,7 +200,11 @@ def write_files(tokens: DataFrame, folder: str, vocab: int, files: int) -> None:
                 names=["file", "local_start", *batch.schema.names],
             )
 
-    coded = tokens.mapInArrow(code, "doc_id long, n_tokens long, control binary, data binary")
+    # stored, as a range partitioner reads its input twice
+    coded = store(
+        tokens.mapInArrow(code, "doc_id long, n_tokens long, control binary, data binary"), "token-blocks"
+    )
+    discard(tokens)
     (
         coded.repartitionByRange(files, "doc_id")
         .sortWithinPartitions("doc_id", "n_tokens", "data")
@@ -193,6 +212,7 @@ def write_files(tokens: DataFrame, folder: str, vocab: int, files: int) -> None:
         .write.option("compression", "zstd")
         .parquet(f"{folder}/blocks")
     )
+    discard(coded)
     (
         spark.read.parquet(f"{folder}/blocks")
         .groupBy("file")
@@ -241,7 +261,6 @@ def op3_token_files(docs: DataFrame, path: str, vocab: int, end_id: int = 1, fol
     tokens = store(tokenize(docs, path, end_id), "token-ids")
     files = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     write_files(tokens, folder, vocab, files)
-    discard(tokens)
     return read_files(spark, folder).select(
         "doc_id", "start", "n_tokens", F.crc32("ids").cast("long").alias("ids_crc32")
     )
