@@ -23,12 +23,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millwright.llm.common import Ragged
+from millwright.llm.common import Ragged, rarer_gc, runs_of
 
 SCHEMA = "doc_id long, ids array<int>, decoded binary"
 #: Splitting before a space and a plain character never cuts a match of the pattern:
 #: such a space can only begin one.  Texts with any other space are split with care.
 CHUNK = re.compile("(?= [!-~¡-ᙿ])")
+MARKS = {*".,;:!?"}
 ODD_SPACE = re.compile(" (?![!-~¡-ᙿ])")
 
 
@@ -44,9 +45,16 @@ class ByteBpe:
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         sizes: dict[bytes, set[int]] = {}
         for token in ranks:
-            sizes.setdefault(token[-2:], set()).add(len(token))
-        #: the last two bytes of a token -> sizes of the tokens that end so, longest first
-        self.sizes = {k: sorted(v, reverse=True) for k, v in sizes.items()}
+            sizes.setdefault(token[-4:], set()).add(len(token))
+        #: the last four bytes of a token (all, if fewer) -> sizes over four of the tokens that end so,
+        #: longest first, and (size, rank) of the tokens among these bytes' own tails
+        self.tails = {
+            k: (
+                [n for n in sorted(v, reverse=True) if n > 4],
+                [(n, ranks[k[-n:]]) for n in range(len(k), 0, -1) if k[-n:] in ranks],
+            )
+            for k, v in sizes.items()
+        }
         self.bytes_of = {r: t for t, r in ranks.items()}
         self.remembered = remembered
         self.size_of = {r: len(t) for t, r in ranks.items()}
@@ -58,13 +66,17 @@ class ByteBpe:
 
     def merge(self, piece: bytes) -> list[int]:
         """The plain way: merge the neighbours of lowest rank until none is left."""
+        get, none = self.ranks.get, 1 << 62
         parts = [piece[i : i + 1] for i in range(len(piece))]
-        while len(parts) > 1:
-            found = [(r, i) for i in range(len(parts) - 1) if (r := self.ranks.get(parts[i] + parts[i + 1])) is not None]
-            if not found:
-                break
-            i = min(found)[1]
+        joins = [get(piece[i : i + 2], none) for i in range(len(piece) - 1)]
+        while joins and (lowest := min(joins)) != none:
+            i = joins.index(lowest)
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del joins[i]
+            if i < len(joins):
+                joins[i] = get(parts[i] + parts[i + 1], none)
+            if i:
+                joins[i - 1] = get(parts[i - 1] + parts[i], none)
         return [self.ranks[p] for p in parts]
 
     def reachable(self, token: int) -> bool:
@@ -103,25 +115,35 @@ class ByteBpe:
 
     def last_of(self, piece: bytes, end: int, known: dict[bytes, int] | None, last: list[int] | None = None) -> int:
         """The one token that can end the encoding of piece[:end], from those of the shorter prefixes."""
-        ranks, pairs = self.ranks, self.pairs
-        for tail in (piece[max(0, end - 2) : end], piece[end - 1 : end]):
-            for size in self.sizes.get(tail, ()):
-                at = end - size
-                if at < 0 or (token := ranks.get(piece[at:end])) is None:
-                    continue
-                if not at:
-                    if self.reachable(token):
-                        return token
-                    continue
-                first = known[piece[:at]] if last is None else last[at - 1]
-                if (fits := pairs.get((first, token))) is None:
-                    fits = self.may_follow(first, token)
-                if fits:
+        ranks, pairs, tails = self.ranks, self.pairs, self.tails
+        found = tails.get(piece[end - 4 if end > 4 else 0 : end])
+        if found is None:
+            low = end - 3 if end > 3 else 0
+            found = tails.get(piece[low:end]) or tails.get(piece[end - 2 : end]) or tails[piece[end - 1 : end]]
+        sizes, short = found
+        if sizes:
+            long = [(n, t) for n in sizes if n <= end and (t := ranks.get(piece[end - n : end])) is not None]
+            short = long + short if long else short
+        for size, token in short:
+            at = end - size
+            if not at:
+                if self.reachable(token):
                     return token
+                continue
+            first = known[piece[:at]] if last is None else last[at - 1]
+            if (fits := pairs.get((first, token))) is None:
+                fits = self.may_follow(first, token)
+            if fits:
+                return token
         raise ValueError(f"no token ends the prefix of {end} bytes")
 
     def _chunk(self, chunk: str) -> list[int]:
         """A chunk is what follows a space; one marked by a zero has no space before it."""
+        if chunk.isascii():  # letters, or letters and a mark: the pattern's matches are plain
+            if chunk.isalpha():
+                return self.encode_piece(b" " + chunk.encode())
+            if chunk[-1:] in MARKS and chunk[:-1].isalpha():
+                return [*self.encode_piece(b" " + chunk[:-1].encode()), self.ranks[chunk[-1].encode()]]
         chunk = chunk[1:] if chunk[:1] == "\0" else " " + chunk
         out, pieces = [], self.pieces
         for p in self.pattern.findall(chunk):
@@ -134,14 +156,20 @@ class ByteBpe:
             out += ids
         return out
 
-    def encode(self, text: str) -> np.ndarray:
+    def cut(self, text: str) -> list[str]:
         if not text:
-            return np.empty(0, np.uint32)
+            return []
         if ODD_SPACE.search(text):
-            return self.chunks.ids(["\0" + c for c in CHUNK.split(text)])
+            return ["\0" + c for c in CHUNK.split(text)]
         chunks = text.split(" ")
         chunks[0] = "\0" + chunks[0]
-        return self.chunks.ids(chunks)
+        return chunks
+
+    def encode(self, text: str) -> np.ndarray:
+        return self.chunks.ids(self.cut(text))
+
+    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
+        return [x for run in runs_of(texts) for x in self.chunks.batch([self.cut(t) for t in run])]
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -181,6 +209,7 @@ def encoder(path: str, pattern: str) -> ByteBpe:
     """One encoder for each Python worker and vocabulary."""
     if (path, pattern) not in _LOADED:
         _LOADED[path, pattern] = ByteBpe(load_ranks(path), pattern)
+        rarer_gc()
     return _LOADED[path, pattern]
 
 
@@ -195,7 +224,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, decode: bool = Tr
         for batch in batches:
             for lo in range(0, batch.num_rows, rows):
                 part = batch.slice(lo, rows)
-                ids = [bpe.encode(t) if t else np.empty(0, np.uint32) for t in part["text"].to_pylist()]
+                ids = bpe.encode_all(part["text"].to_pylist())
                 ends = np.cumsum([0, *map(len, ids)])
                 flat = pa.array(np.concatenate(ids).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
