@@ -64,16 +64,41 @@ def _clip(c: Column) -> Column:
     return F.least(F.greatest(c, F.lit(0.0)), F.lit(100.0))
 
 
+#: A knot that holds more than this share of its group's fitting rows is hot: at most its inverse of them a group.
+HOT_SHARE = 1e-4
+#: Rows that need no shuffled lookup are dealt over so many keys.
+SCATTER = 4096
+
+
 def lookup_exact(df: DataFrame, model: RiskModel, part: str, type_: str, value: str, out: str) -> DataFrame:
     """Risk of values that are calibration values of the model (the fitting rows): equi-join.
 
-    The knots side is joined without a hint: the planner (and AQE at run time)
-    broadcasts it only below the broadcast size threshold.
+    Hot knots, at most ``1 / HOT_SHARE`` for each part and type whatever the data's size, are
+    broadcast. Only the rows of the others meet their knots in a shuffled join, so a key there
+    holds at most ``HOT_SHARE`` of a group's rows; rows with a hot or null value take a scattered
+    key instead. The cold side is joined without a hint: the planner decides by size.
+    A value that is no knot has no risk (null): use ``lookup_asof`` for such readings.
     """
     k = model.knots.select(F.col("part").alias("__kp"), F.col("type").alias("__kt"), F.col("value").alias("__kv"),
-                           F.col("risk").alias(out))
-    j = df.join(k, (F.col(part) == F.col("__kp")) & (F.col(type_) == F.col("__kt")) & (F.col(value) == F.col("__kv")), "left")
-    return j.drop("__kp", "__kt", "__kv").withColumn(out, F.when(F.col(value).isNotNull(), _clip(F.coalesce(F.col(out), F.lit(0.0)))))
+                           "risk", (F.col("cnt") > F.col("n") * F.lit(HOT_SHARE)).alias("__hot"))
+    keys = ["__kp", "__kt", "__kv"]
+    hot = k.where("__hot").select(*keys, F.col("risk").alias("__hot_risk"))
+    cold = k.where("not __hot").select(*keys, F.col("risk").alias("__cold_risk"))
+    plain = [F.col(c) for c, t in df.dtypes if "map<" not in t and "variant" not in t]
+    slot = F.concat(F.lit("#"), F.pmod(F.xxhash64(*plain), F.lit(SCATTER)).cast("string"))
+
+    def met(p: Column) -> Column:
+        return (p == F.col("__kp")) & (F.col(type_) == F.col("__kt")) & (F.col(value) == F.col("__kv"))
+
+    j = df.join(F.broadcast(hot), met(F.col(part)), "left").drop(*keys)
+    done = F.col("__hot_risk").isNotNull() | F.col(value).isNull() | F.col(part).isNull() | F.col(type_).isNull()
+    j = j.withColumns({"__part": F.when(done, slot).otherwise(F.col(part)), "__value": F.coalesce(F.col(value), F.lit(0.0))})
+    on = ((F.col("__part") == F.col("__kp")) & (F.coalesce(F.col(type_), F.lit("")) == F.col("__kt"))
+          & (F.col("__value") == F.col("__kv")))
+    j = j.join(cold, on, "left")
+    found = F.coalesce("__hot_risk", "__cold_risk")
+    return j.withColumn(out, F.when(F.col(value).isNotNull() & found.isNotNull(), _clip(found))).drop(
+        *keys, "__part", "__value", "__hot_risk", "__cold_risk")
 
 
 def lookup_asof(df: DataFrame, model: RiskModel, part: str, type_: str, value: str, out: str) -> DataFrame:
@@ -127,7 +152,7 @@ def failure_modes(readings: DataFrame, model: RiskModel, exact: bool = False) ->
     )
     cols = readings.columns
     x = readings.select("*", F.explode(modes).alias("_m")).select(*cols, "_m.*")
-    # second lookup only matters for HDF; other rows carry a NULL key and pass through
+    # second lookup only matters for HDF; other rows carry a NULL key, scattered there, and pass through
     a = lookup(x, model, "_pa", "_ta", "_va", "_ra", exact)
     b = lookup(a, model, "_pb", "_ta", "_vb", "_rb", exact)
     risk = F.when(F.col("_pb").isNotNull(), (F.col("_ra") + F.col("_rb")) / F.lit(2.0)).otherwise(F.col("_ra"))
