@@ -74,8 +74,13 @@ _KEYMAP = "CASE " + " ".join(f"WHEN key = '{k}' THEN '{c}'" for k, c in S.LIMIT_
     f"WHEN key = '{n}' THEN '{c}'" for c, n in S.SENSOR_LONG_NAMES.items()) + " END"
 
 
+_VIOLATIONS_SQL = "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS sensor, count(*) AS violations FROM hist, lim "
+    f"WHERE lim.sensor = '{c}' AND (hist.{c} < lim.lo OR hist.{c} > lim.hi)" for c in S.SENSORS)
+
+
 @register("check_limits", f"""
-WITH hist AS ({READINGS_LINEITEM}), lim AS ({_LIM_SQL}),
+WITH hist AS ({READINGS_LINEITEM}), lim AS ({_LIM_SQL}), viol AS ({_VIOLATIONS_SQL}),
  kv AS (SELECT request_id, key, json_extract_string(j, '$."' || key || '"') AS raw FROM (
    SELECT request_id, j, unnest(json_keys(j)) AS key FROM (
      SELECT request_id, CASE WHEN json_valid(t) AND json_type(t) = 'OBJECT' THEN t END AS j
@@ -85,10 +90,15 @@ WITH hist AS ({READINGS_LINEITEM}), lim AS ({_LIM_SQL}),
 SELECT m.request_id, m.key, m.sensor, lim.sensor_name, m.value, lim.lo, lim.hi,
   CASE WHEN m.value IS NULL THEN 'INVALID' WHEN lim.lo <= m.value AND m.value <= lim.hi THEN 'OK'
        ELSE 'OUT OF RANGE' END AS status
-FROM m JOIN lim ON lim.sensor = m.sensor""")
+FROM m JOIN lim ON lim.sensor = m.sensor
+UNION ALL
+SELECT q.request_id, NULL, lim.sensor, lim.sensor_name, NULL, lim.lo, lim.hi,
+  CASE WHEN viol.violations = 0 THEN 'OK' ELSE viol.violations || ' violations' END
+FROM ({requests_sql()}) q, lim JOIN viol ON viol.sensor = lim.sensor
+WHERE q.request_id NOT IN (SELECT request_id FROM kv)""")
 def q_check_limits(spark, sf_dir):
-    limits = fleet.operating_limits(readings_from_lineitem(spark, sf_dir))
-    return quality.check_limits(requests_from_events(spark, sf_dir), limits)
+    limits = fleet.limit_violations(readings_from_lineitem(spark, sf_dir))
+    return quality.check_limits(requests_from_events(spark, sf_dir), limits).drop("violations")  # told by the status
 
 
 def _profile_sql(src: str = "hist") -> str:
