@@ -4,17 +4,20 @@ Words are put into classes by exchange clustering; the probability of a word aft
 another is that of its class after the other's class, times that of the word in its
 class, both smoothed.
 
-Everything is counted over the whole training texts.  Counts of all words stay a
-distributed table.  Three bounded pieces reach the driver and the tasks: the ``common``
-most frequent words (looked up while texts are read), of these the ``clustered`` most
-frequent, which get classes, and the class by class counts.  Words outside the first
-piece are joined with the table of counts.  All words outside the second form one class
-of rare words, which also holds the unseen; the end of a text is a class of its own.
-
-Exchange: given the classes, a distributed sum over the word bigrams says how often each
-word stands before and after each class.  Each word looks for the class that raises the
-likelihood of the class bigrams most, and half of the words (another half each time)
-move at once.
+Everything is counted over the whole training texts.  Every word that occurs ``least`` times
+gets a class, however many there are; the others form one class of rare words, which also
+holds the unseen; the end of a text is a class of its own.  Counts of all words stay a
+distributed table.  The ``common`` most frequent words are looked up while texts are read,
+all others are joined with the table of counts, once: from then on texts are stored as
+numbers of words.  What is broadcast besides the common words is a byte, the class, for
+each word that has one, and the class by class counts.
+
+Exchange: given the classes, a pass over the numbers says how often each word stands before
+and after each class; these counts go by blocks of words to the tasks that look for the
+class of each word that raises the likelihood of the class bigrams most.  Half of the words
+(another half each time) move at once, until the likelihood stops rising; the classes of
+the highest likelihood count.  The ``clustered`` most frequent words start out in classes, the others
+join them from the rare class in the first two rounds.
 
 Smoothing: a class c follows class b with (N(b, c) + MU * P(c)) / (N(b) + MU), P(c) =
 (N(c) + 1) / (N + classes); a rare word has (n + 0.1) / (N(rare) + 0.1 * (V(rare) + 1)),
@@ -38,6 +41,10 @@ from pyspark.sql import functions as F
 from millwright.llm.common import discard, held_out, store, words
 
 MU = 20.0
+#: Words that occur less often share the rare class.
+LEAST = 10
+#: The exchange ends when the likelihood rises by less than this for a token.
+RISE = 1e-3
 END = 1  # class numbers: 0 rare words, 1 the end of a text, then the clusters
 
 
@@ -62,229 +69,288 @@ def word_counts(texts: DataFrame, flush: int = 400_000) -> DataFrame:
     return texts.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def bigrams(texts: DataFrame, common: list[bytes], flush: int = 1_000_000) -> DataFrame:
-    """v, w, n: places of two clustered words (1 and up), 0 for all rare ones, len + 1 for the end on either side."""
-    shared = texts.sparkSession.sparkContext.broadcast(common)
-    size = len(common) + 2
+class Vocabulary:
+    """Numbers of words: 0 rare or unseen, from 1 the common ones, ``end``, then all others that occur ``least`` times."""
+
+    def __init__(self, texts: DataFrame, common: int, least: int):
+        self.counts = store(word_counts(texts), "word-counts")
+        self.n_texts = texts.count()
+        row = self.counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+        self.tokens, self.types = row["n"] + self.n_texts, row["v"] + (1 if self.n_texts else 0)
+        top = self.counts.orderBy(F.desc("n"), "word").limit(common).collect()  # bounded by ``common``
+        self.common, self.n = [bytes(r["word"]) for r in top], np.array([r["n"] for r in top], float)
+        self.end = len(top) + 1
+        self.often = int((self.n >= least).sum())  # common words that get classes
+        outside = self.counts
+        if top:
+            last, word = top[-1]["n"], F.lit(bytearray(top[-1]["word"]))
+            outside = outside.where((F.col("n") < last) | (F.col("n") == last) & (F.col("word") > word))
+        numbered = outside.where(F.col("n") >= least).withColumn("number", F.monotonically_increasing_id())
+        rest = outside.where(F.col("n") < least).withColumn("number", F.lit(None).cast("long"))
+        self.outside = store(numbered.unionByName(rest), "word-numbers")
+        # a number holds the task (from bit 33) and the place in it; one offset for each task makes them dense
+        sizes = self.outside.where("number is not null").groupBy(F.shiftright("number", 33).alias("task")).count().collect()
+        self.offsets = np.zeros(1 + max((r["task"] for r in sizes), default=0), np.int64)
+        self.size = self.end + 1
+        for task, n in sorted((r["task"], r["count"]) for r in sizes):
+            self.offsets[task], self.size = self.size, self.size + n
+        self.rare_types = max(0, self.types - 1 - self.often - (self.size - self.end - 1)) if self.n_texts else 0
+
+
+def encode(docs: DataFrame, v: Vocabulary) -> DataFrame:
+    """doc_id, ids (32-bit numbers of the words), and of the words that are not common: ``found`` of them in
+    training, ``logs`` (log10 of counts + 0.1) and ``own_logs`` (the same, but log10 of counts for those with a class)."""
+    shared = docs.sparkSession.sparkContext.broadcast((v.common, v.offsets))
+
+    def look(batches):
+        place = {w: i + 1 for i, w in enumerate(shared.value[0])}
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                ids, rest = [], []
+                for text in part["text"].to_pylist():
+                    own = words(text)
+                    p = np.fromiter((place.get(w, 0) for w in own), np.int32, len(own))
+                    ids.append(p.tobytes())
+                    rest.append([own[i] for i in np.flatnonzero(p == 0).tolist()])
+                yield pa.RecordBatch.from_arrays(
+                    [part["doc_id"], pa.array(ids, pa.binary()), pa.array(rest, pa.list_(pa.binary()))],
+                    names=["doc_id", "ids", "rest"],
+                )
 
-    def run(batches):
-        place = {w: i + 1 for i, w in enumerate(shared.value)}
-        known, seen = place.get, []
-        total = 0
-
-        def sent():
-            code, n = np.unique(np.concatenate(seen), return_counts=True)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(code // size), pa.array(code % size), pa.array(n.astype(np.int64))], names=["v", "w", "n"]
+    def fill(batches):
+        offsets = shared.value[1]
+        for batch in batches:
+            ids = []
+            for own, at, number in zip(*(batch[c].to_pylist() for c in ("ids", "at", "number"))):
+                if at:
+                    p, m = np.frombuffer(own, np.int32).copy(), np.array(number, np.int64)
+                    p[np.flatnonzero(p == 0)[at]] = offsets[m >> 33] + (m & (1 << 33) - 1)
+                    own = p.tobytes()
+                ids.append(own)
+            yield pa.RecordBatch.from_arrays(
+                [batch["doc_id"], pa.array(ids, pa.binary()), batch["found"], batch["logs"], batch["own_logs"]],
+                names=["doc_id", "ids", "found", "logs", "own_logs"],
             )
 
-        for batch in batches:
-            for text in batch["text"].to_pylist():
-                own = words(text)
-                p = np.full(len(own) + 2, size - 1, np.int64)
-                p[1:-1] = [known(w, 0) for w in own]
-                seen.append(p[:-1] * size + p[1:])
-                total += len(own) + 1
-                if total > 4 * flush:
-                    yield sent()
-                    seen, total = [], 0
-        if seen:
-            yield sent()
+    looked = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(look, "doc_id long, ids binary, rest array<binary>")
+    parts = store(looked.withColumn("row_id", F.monotonically_increasing_id()), "lm-parts")
+    asked = parts.select("row_id", F.posexplode("rest").alias("at", "word"))
+    log = F.log10(F.coalesce("n", F.lit(0)) + 0.1)
+    known = F.collect_list(F.when(F.col("number").isNotNull(), F.struct("at", "number")))
+    joined = (
+        asked.join(v.outside, "word", "left")
+        .groupBy(F.col("row_id").alias("joined_id"))
+        .agg(
+            F.count("n").alias("found"),
+            F.sum(log).alias("logs"),
+            F.sum(F.when(F.col("number").isNull(), log).otherwise(F.log10("n"))).alias("own_logs"),
+            known.alias("known"),
+        )
+    )
+    whole = parts.drop("rest").join(joined, F.col("row_id") == F.col("joined_id"), "left").select(
+        "doc_id",
+        "ids",
+        F.coalesce("found", F.lit(0)).alias("found"),
+        F.coalesce("logs", F.lit(0.0)).alias("logs"),
+        F.coalesce("own_logs", F.lit(0.0)).alias("own_logs"),
+        F.col("known.at").alias("at"),
+        F.col("known.number").alias("number"),
+    )
+    coded = store(whole.mapInArrow(fill, "doc_id long, ids binary, found long, logs double, own_logs double"), "lm-ids")
+    discard(parts)
+    return coded
 
-    pairs = texts.select("text").mapInArrow(run, "v long, w long, n long")
-    return pairs.groupBy("v", "w").agg(F.sum("n").alias("n"))
+
+def stream(ids: list[bytes], end: int) -> np.ndarray:
+    """The texts one after another, with the end before, between and after them."""
+    cut = np.int32(end).tobytes()
+    return np.frombuffer(cut + b"".join(x + cut for x in ids), np.int32).astype(np.int64)
 
 
 def _log(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1.0))
 
 
-def exchange(pairs: DataFrame, n_words: int, classes: int, rounds: int) -> np.ndarray:
-    """Class of each place; rare words and the end keep theirs.
+def contexts(coded: DataFrame, of: np.ndarray, end: int, total: int, blocks: int) -> DataFrame:
+    """block, codes, n: for each block of words (number mod ``blocks``) and task, what stands beside its words.
 
-    A round reads the bigrams once and brings back, for each word, its counts with each
-    class: at most ``n_words * classes`` numbers either way.
+    A code is (place in the block * 2 + side) * total + class of the neighbour; block -1 has the class by class counts.
     """
-    size = n_words + 2
-    of = np.zeros(size, np.int64)
-    of[1 : n_words + 1] = 2 + np.arange(n_words) % classes
-    of[n_words + 1] = END
-    total = classes + 2
-    sc = pairs.sparkSession.sparkContext
-    for step in range(rounds):
-        shared = sc.broadcast(of)
-
-        def run(batches, shared=shared):
-            cls = shared.value
-            after, before = np.zeros((size, total)), np.zeros((size, total))
-            for b in batches:
-                v, w, n = (b[c].to_numpy() for c in ("v", "w", "n"))
-                np.add.at(after, (v, cls[w]), n)
-                np.add.at(before, (w, cls[v]), n)
-            for side, m in enumerate((after, before)):
-                r, c = np.nonzero(m)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(r), side)), pa.array(r), pa.array(c), pa.array(m[r, c])],
-                    names=["side", "word", "cls", "n"],
-                )
+    shared, width = coded.sparkSession.sparkContext.broadcast(of), 2 * total
+
+    def run(batches):
+        cls = shared.value
+        grid, dense, others = np.zeros(total * total, np.int64), np.zeros((end + 1) * width, np.int64), []
+        for batch in batches:
+            p = stream(batch["ids"].to_pylist(), end)
+            c = cls[p].astype(np.int64)
+            grid += np.bincount(c[:-1] * total + c[1:], minlength=len(grid))
+            for side, word, beside in ((0, p[:-1], c[1:]), (1, p[1:], c[:-1])):
+                code, common = word * width + side * total + beside, word <= end
+                dense += np.bincount(code[common], minlength=len(dense))
+                others.append(code[~common])
+        code = np.flatnonzero(dense)
+        more, n = np.unique(np.concatenate([np.empty(0, np.int64), *others]), return_counts=True)
+        code, n = np.concatenate([code, more]), np.concatenate([dense[code], n])
+        block = code // width % blocks
+        order = np.argsort(block, kind="stable")
+        code, n, block = code[order], n[order], block[order]
+        code = code // width // blocks * width + code % width
+        cuts = np.searchsorted(block, np.arange(blocks + 1)).tolist()
+        full = [b for b in range(blocks) if cuts[b] < cuts[b + 1]]
+        cut = lambda x: [x[cuts[b] : cuts[b + 1]].tobytes() for b in full]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([-1, *full]), pa.array([b"", *cut(code)]), pa.array([grid.tobytes(), *cut(n)])],
+            names=["block", "codes", "n"],
+        )
 
-        table = pairs.mapInArrow(run, "side long, word long, cls long, n double")
-        got = table.groupBy("side", "word", "cls").agg(F.sum("n").alias("n")).toPandas()
-        m = np.zeros((2, size, total))
-        m[got["side"], got["word"], got["cls"]] = got["n"]
-        of = _moved(of, m[0], m[1], n_words, step)
+    return coded.select("ids").mapInArrow(run, "block long, codes binary, n binary")
+
+
+def exchange(coded: DataFrame, v: Vocabulary, clustered: int, classes: int, rounds: int, block: int = 4096):
+    """(class of each number, class by class counts); rare words and the end keep theirs."""
+    total, sc = classes + 2, coded.sparkSession.sparkContext
+    of = np.zeros(v.size, np.uint8 if total <= 256 else np.int32)
+    k = min(clustered, v.often)
+    of[1 : k + 1] = 2 + np.arange(k) % classes
+    of[v.end] = END
+    blocks = 2 * (v.size // block) + 1  # odd, so that each has words of both halves
+    end, often, best = v.end, v.often, None
+    for step in range(rounds + 1):
+        found = store(contexts(coded, of, end, total, blocks), "class-contexts")
+        counts = np.zeros((total, total))
+        for r in found.where("block = -1").select("n").collect():
+            counts += np.frombuffer(r["n"], np.int64).reshape(total, total)
+        likely = float(_log(counts).sum() - _log(counts.sum(0)).sum() - _log(counts.sum(1)).sum())
+        rise = math.inf if best is None else likely - best[0]
+        if rise > 0 or step < 3:  # all words have had their first move after two rounds
+            best = likely, of.copy(), counts
+        if step == rounds or step > 2 and rise <= RISE * counts.sum():
+            discard(found)
+            return best[1:]
+        shared = sc.broadcast((of, counts, blocks, often, end, step))
+        new = found.where("block >= 0").groupBy("block").applyInArrow(_mover(shared), "block long, cls binary")
+        of = of.copy()
+        for r in new.collect():
+            of[r["block"] :: blocks] = np.frombuffer(r["cls"], of.dtype)
+        discard(found)
         shared.unpersist()
-    return of
-
-
-def _moved(of: np.ndarray, after: np.ndarray, before: np.ndarray, n_words: int, step: int) -> np.ndarray:
-    """One round of moves against fixed counts: classes by class, what a word takes away and brings along."""
-    total = after.shape[1]
-    counts = np.zeros((total, total))
-    np.add.at(counts, of, after)  # counts[c, d]: class c before class d
-    out, into = counts.sum(1), counts.sum(0)
-    new = of.copy()
-    for w in range(1 + step % 2, n_words + 1, 2):
-        a, own_out, own_in = of[w], after[w], before[w]
-        n_out, n_in = own_out.sum(), own_in.sum()
-        # take the word out of its class
-        left = counts.copy()
-        left[a] -= own_out
-        left[:, a] -= own_in
-        left_out, left_in = out.copy(), into.copy()
-        left_out[a] -= n_out
-        left_in[a] -= n_in
-        # bringing it to c changes row c and column c; the corner is counted with the row
-        rows = _log(left + own_out) - _log(left)
-        cols = _log(left + own_in[:, None]) - _log(left)
-        gain = rows.sum(1) + cols.sum(0)
-        gain -= _log(left_out + n_out) - _log(left_out) + _log(left_in + n_in) - _log(left_in)
-        gain[:2] = -np.inf
-        best = int(gain.argmax())
-        if gain[best] > gain[a] + 1e-9:
-            new[w] = best
-    return new
+
+
+def _mover(shared):
+    """Sums up what ``contexts`` says of a block and moves half of its words."""
+
+    def move(table: pa.Table) -> pa.Table:
+        of, counts, blocks, often, end, step = shared.value
+        at = table["block"][0].as_py()
+        own = of[at::blocks]
+        m = np.zeros(len(own) * 2 * len(counts))
+        for code, n in zip(table["codes"].to_pylist(), table["n"].to_pylist()):
+            m[np.frombuffer(code, np.int64)] += np.frombuffer(n, np.int64)  # a code comes once
+        m = m.reshape(len(own), 2, len(counts))
+        number = at + blocks * np.arange(len(own))
+        free = (number % 2 != step % 2) & (number > 0) & ((number <= often) | (number > end))
+        new = own.copy()
+        for i in np.array_split(np.flatnonzero(free), -(-len(own) // 256)):
+            new[i] = _moved(own[i].astype(np.int64), m[i, 0], m[i, 1], counts)
+        return pa.table({"block": pa.array([at]), "cls": pa.array([new.tobytes()], pa.binary())})
+
+    return move
+
+
+def _moved(a: np.ndarray, after: np.ndarray, before: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The best classes of words against fixed counts; ``a``: their classes, ``after``, ``before``: counts with each class."""
+    i = np.arange(len(a))
+    # take each word out of its class
+    left = np.repeat(counts[None], len(a), 0)
+    left[i, a] -= after
+    left[i, :, a] -= before
+    out, into = np.repeat(counts.sum(1)[None], len(a), 0), np.repeat(counts.sum(0)[None], len(a), 0)
+    n_out, n_in = after.sum(1), before.sum(1)
+    out[i, a] -= n_out
+    into[i, a] -= n_in
+    # bringing it to c changes row c and column c; the corner is counted with the row
+    was = _log(left)
+    gain = (_log(left + after[:, None, :]) - was).sum(2) + (_log(left + before[:, :, None]) - was).sum(1)
+    gain -= _log(out + n_out[:, None]) - _log(out) + _log(into + n_in[:, None]) - _log(into)
+    gain[:, :2] = -np.inf
+    best = gain.argmax(1)
+    return np.where(gain[i, best] > gain[i, a] + 1e-9, best, a)
 
 
 class Model:
-    """What scoring needs; bounded by the numbers of common words and classes."""
+    """What scoring needs; bounded by the number of classes but for the common words and a byte for each word with a class."""
 
-    def __init__(self, common, counts, n_clustered, of, class_pairs, tokens, types):
-        self.tokens, self.types = tokens, types  # N and V of the training tokens, the end included
-        self.common = common
+    def __init__(self, v: Vocabulary, of: np.ndarray, class_pairs: np.ndarray):
+        self.tokens, self.ends = v.tokens, v.n_texts
+        self.common, self.end, self.cls = v.common, v.end, of
         total = class_pairs.shape[0]
-        self.cls = np.zeros(len(common) + 2, np.int64)  # 0: not common
-        self.cls[1 : n_clustered + 1] = of[1 : n_clustered + 1]
-        self.cls[-1] = END
         size = class_pairs.sum(0)  # how often each class occurs
         share = (size + 1) / (size.sum() + total)
         self.step = np.log10((class_pairs + MU * share) / (class_pairs.sum(1, keepdims=True) + MU))
-        n = np.zeros(len(common) + 2)
-        n[1:-1] = counts
-        self.base_size = math.log10(tokens + 0.1 * (types + 1))
-        self.base = np.log10(n + 0.1)  # of the end, set below
-        rare_types = max(0, types - 1 - n_clustered) if tokens else 0
-        self.rare_size = math.log10(size[0] + 0.1 * (rare_types + 1))
+        self.base_size = math.log10(v.tokens + 0.1 * (v.types + 1))
+        self.rare_size = math.log10(size[0] + 0.1 * (v.rare_types + 1))
+        self.sizes = np.log10(np.maximum(size, 1))
+        n = np.concatenate([[0], v.n, [v.n_texts]])
+        self.base = np.log10(n + 0.1)
+        cls = of[: v.end + 1]
         with np.errstate(divide="ignore"):
-            self.emit = np.where(self.cls > 1, np.log10(n) - np.log10(np.maximum(size[self.cls], 1)), 0.0)
-        common_rare = (self.cls == 0) & (np.arange(len(n)) > 0)
-        self.emit[common_rare] = self.base[common_rare]  # less rare_size, for all of the class at once
-        self.emit[0] = self.base[0] = 0.0  # joined later
+            self.emit = np.where(cls > 1, np.log10(n) - self.sizes[cls], self.base)
+        self.emit[0] = self.base[0] = 0.0  # joined
         self.emit[-1] = 0.0
-        self.ends = 0
 
-    def of_text(self, own: list[bytes], place: dict) -> tuple:
-        """(known tokens but for joined ones, base and score without joined words, the words to join)."""
-        p = np.empty(len(own) + 1, np.int64)
-        p[:-1] = [place.get(w, 0) for w in own]
-        p[-1] = len(self.common) + 1
+    def of_text(self, ids: bytes) -> tuple:
+        """(tokens, common tokens, base and score without what is joined)."""
+        p = np.append(np.frombuffer(ids, np.int32), np.int32(self.end))
         cls = self.cls[p]
-        before = np.concatenate([[END], cls[:-1]])
-        base = float(self.base[p].sum()) - len(p) * self.base_size
-        score = float(self.step[before, cls].sum() + self.emit[p].sum()) - int((cls == 0).sum()) * self.rare_size
-        known = int((p > 0).sum()) - (0 if self.ends else 1)
-        return known, base, score, [own[i] for i in np.flatnonzero(p[:-1] == 0).tolist()]
-
-
-def train(texts: DataFrame, common: int = 100_000, clustered: int = 2_000, classes: int = 32, rounds: int = 4):
-    """(model, word counts) from the column ``text`` of the training rows."""
-    counts = store(word_counts(texts), "word-counts")
-    n_texts = texts.count()
-    row = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    tokens, types = row["n"] + n_texts, row["v"] + (1 if n_texts else 0)
-    top = counts.orderBy(F.desc("n"), "word").limit(common).collect()  # bounded by ``common``
-    names, n = [bytes(r["word"]) for r in top], np.array([r["n"] for r in top], float)
-    k = min(clustered, len(names))
-    pairs = store(bigrams(texts, names[:k]), "word-bigrams")
-    of = exchange(pairs, k, classes, rounds)
-    named = texts.sparkSession.sparkContext.broadcast(of)
+        before = np.concatenate([cls[-1:], cls[:-1]])
+        base, common = -len(p) * self.base_size, p <= self.end
+        base += float(self.base[p[common]].sum())
+        score = float(self.step[before, cls].sum() + self.emit[p[common]].sum() - self.sizes[cls[~common]].sum())
+        known = int((common & (p > 0)).sum()) - (0 if self.ends else 1)
+        return len(p), known, base, score - int((cls == 0).sum()) * self.rare_size
 
-    def run(batches):
-        m = np.zeros((classes + 2, classes + 2))
-        for b in batches:
-            np.add.at(m, (named.value[b["v"].to_numpy()], named.value[b["w"].to_numpy()]), b["n"].to_numpy())
-        r, c = np.nonzero(m)
-        yield pa.RecordBatch.from_arrays([pa.array(r), pa.array(c), pa.array(m[r, c])], names=["b", "c", "n"])
-
-    grid = pairs.mapInArrow(run, "b long, c long, n double").groupBy("b", "c").agg(F.sum("n").alias("n")).toPandas()
-    class_pairs = np.zeros((classes + 2, classes + 2))
-    class_pairs[grid["b"], grid["c"]] = grid["n"]
-    discard(pairs)
-    model = Model(names, n, k, of, class_pairs, tokens, types)
-    model.ends = n_texts
-    model.base[-1] = math.log10(n_texts + 0.1)
-    return model, counts
-
-
-def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, n_known, base_score, score of every row of ``docs`` (doc_id, text)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+def learn(coded: DataFrame, v: Vocabulary, clustered: int = 2_000, classes: int = 32, rounds: int = 20) -> Model:
+    """The model of training rows that ``encode`` gave."""
+    return Model(v, *exchange(coded, v, clustered, classes, rounds))
+
+
+def train(texts: DataFrame, common: int = 100_000, clustered: int = 2_000, classes: int = 32, rounds: int = 20, least: int = LEAST):
+    """(model, word counts) from the columns ``doc_id`` and ``text`` of the training rows."""
+    v = Vocabulary(texts, common, least)
+    return learn(encode(texts, v), v, clustered, classes, rounds), v.counts
+
+
+def score(coded: DataFrame, model: Model) -> DataFrame:
+    """doc_id, n_tokens, n_known, base_score, score of every row that ``encode`` gave."""
+    shared = coded.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         m = shared.value
-        place = {w: i + 1 for i, w in enumerate(m.common)}
         for batch in batches:
-            n, out = [], []
-            for text in batch["text"].to_pylist():
-                own = words(text)
-                n.append(len(own) + 1)
-                out.append(m.of_text(own, place))
-            known, base, total, rest = zip(*out) if out else ((), (), (), ())
+            n, known, base, total = zip(*map(m.of_text, batch["ids"].to_pylist())) if batch.num_rows else ((),) * 4
+            logs, own = batch["logs"].to_numpy(), batch["own_logs"].to_numpy()
             yield pa.RecordBatch.from_arrays(
                 [
                     batch["doc_id"],
                     pa.array(n, pa.int64()),
-                    pa.array(known, pa.int64()),
-                    pa.array(base, pa.float64()),
-                    pa.array(total, pa.float64()),
-                    pa.array(rest, pa.list_(pa.binary())),
+                    pa.array(np.array(known, np.int64) + batch["found"].to_numpy()),
+                    pa.array(np.array(base, float) + logs),
+                    pa.array(np.array(total, float) + own),
                 ],
-                names=["doc_id", "n_tokens", "n_known", "base_score", "score", "rest"],
+                names=["doc_id", "n_tokens", "n_known", "base_score", "score"],
             )
 
-    kind = "doc_id long, n_tokens long, n_known long, base_score double, score double, rest array<binary>"
-    parts = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, kind)
-    parts = store(parts.withColumn("row_id", F.monotonically_increasing_id()), "lm-parts")
-    asked = parts.select("row_id", F.explode("rest").alias("word"))
-    joined = (
-        asked.join(counts, "word", "left")
-        .groupBy("row_id")
-        .agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.1)).alias("logs"), F.count("n").alias("found"))
-        .withColumnRenamed("row_id", "joined_id")
-    )
-    none = F.coalesce("logs", F.lit(0.0))
-    return parts.drop("rest").join(joined, F.col("row_id") == F.col("joined_id"), "left").select(
-        "doc_id",
-        "n_tokens",
-        (F.col("n_known") + F.coalesce("found", F.lit(0))).alias("n_known"),
-        (F.col("base_score") + none).alias("base_score"),
-        (F.col("score") + none).alias("score"),
-    )
+    return coded.mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
 
 
-def op4_class_lm(docs: DataFrame, folds: int = 10) -> DataFrame:
-    model, counts = train(docs.where(~held_out(folds)))
-    return score(docs, model, counts).select(
+def op4_class_lm(docs: DataFrame, folds: int = 10, common: int = 100_000, least: int = LEAST) -> DataFrame:
+    v = Vocabulary(docs.where(~held_out(folds)), common, least)
+    coded = encode(docs, v)
+    model = learn(coded.where(~held_out(folds)), v)
+    return score(coded, model).select(
         "doc_id",
         held_out(folds).alias("held_out"),
         "n_tokens",

@@ -26,7 +26,7 @@ from millwright.llm import (
     toxicity,
 )
 from millwright.llm import queries as Q
-from millwright.llm.common import RunHash, words
+from millwright.llm.common import RunHash, held_out, words
 
 SMALL = "/root/testdata/sf0.001"
 BPE = P.path("byte_bpe_multi_50k.tiktoken")
@@ -263,6 +263,27 @@ def test_class_probabilities_sum_to_one(spark):
         assert sum(10 ** model.emit[i] for i in range(1, 4) if model.cls[i] == k) == pytest.approx(1)
 
 
+def test_class_lm_words_past_the_common_ones_get_classes(spark):
+    r = random.Random(4)
+    sides = [[f"{s}{i}" for i in range(150)] for s in "xy"]  # x and y take turns
+    texts = [" ".join(r.choice(sides[j % 2]) for j in range(40)) + f" once{i}" for i in range(200)]
+    docs, got = docs_of(spark, texts), []
+    told = ~held_out(10)
+    for common in (5, 1000):  # nearly all words joined; all looked up
+        v = class_lm.Vocabulary(docs.where(told), common, 10)
+        coded = class_lm.encode(docs, v)
+        model = class_lm.learn(coded.where(told), v, clustered=4, classes=2)
+        often = v.counts.where("n >= 10").count()
+        assert int((model.cls > 1).sum()) == often > 250  # a class for each word, not for four
+        got.append(class_lm.score(coded, model).orderBy("doc_id").collect())
+    for a, b in zip(*got):
+        assert (a["doc_id"], a["n_tokens"], a["n_known"]) == (b["doc_id"], b["n_tokens"], b["n_known"])
+        assert a["base_score"] == pytest.approx(b["base_score"])
+    held = [x for x in got[0] if zlib.crc32(str(x["doc_id"]).encode()) % 10 == 0]
+    # knowing whose turn it is halves the choice: 0.3 of a decimal for each word
+    assert sum(x["score"] - x["base_score"] for x in held) / sum(x["n_tokens"] for x in held) > 0.25
+
+
 # --- 5 ---------------------------------------------------------------------------------------------
 
 
