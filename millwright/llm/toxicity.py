@@ -9,7 +9,8 @@ list of the others, at most 2**BITS.
 The fit takes a bounded sample of labelled rows: the ``sample`` texts of each label with
 the smallest hash of their id, outside the held-out fold.  They are dealt to ``SHARDS``
 tasks; after each round the shards' weights are averaged (iterative parameter mixing)
-and start the next.  Scoring reads every whole text once, map-only.
+and start the next.  Where the sample leaves out labels, the bias is moved by what that changed
+in the log-odds of the labels.  Scoring reads every whole text once, map-only.
 
 Defined cases: a null or empty text has no feature and gets the bias alone; without
 labelled rows of both labels every score is the share of label 1 seen (0 without any);
@@ -69,9 +70,9 @@ class Ftrl:
         self.n[at] = n + g * g
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, sample: int, folds: int) -> DataFrame:
-    """shard, place in it, label, text of the sample; the same rows on every run."""
-    told = (
+def training_labels(labels: DataFrame, folds: int) -> DataFrame:
+    """label_id, label, place: one row for each labelled doc_id outside the held-out fold."""
+    return (
         labels.select(F.col("doc_id").cast("long").alias("label_id"), F.col("toxic").cast("int").alias("label"))
         .where("label_id is not null and label in (0, 1)")
         .where(~held_out(folds, "label_id"))
@@ -79,16 +80,29 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int, folds: int) -
         .agg(F.max("label").alias("label"))
         .withColumn("place", F.xxhash64("label_id"))
     )
+
+
+def training_rows(docs: DataFrame, told: DataFrame, sample: int) -> DataFrame:
+    """shard, place in it, label, text of the sample; the same rows on every run."""
     pick = lambda y: told.where(F.col("label") == y).orderBy("place", "label_id").limit(sample)
     texts = docs.select(F.col("doc_id").cast("long"), "text")
     rows = texts.join(pick(0).unionByName(pick(1)), F.col("doc_id") == F.col("label_id"))
-    return rows.select(F.pmod("place", F.lit(SHARDS)).cast("int").alias("shard"), "place", "label", "text")
+    # learned in another order than picked, else the label with the longer reach comes last
+    order = F.xxhash64("label_id", F.lit(1)).alias("place")
+    return rows.select(F.pmod("place", F.lit(SHARDS)).cast("int").alias("shard"), order, "label", "text")
+
+
+def prior_shift(told: DataFrame, sample: int) -> float:
+    """Log-odds of label 1 among all training labels less those among the sampled ones; 0 where all are sampled."""
+    n = {r["label"]: r["count"] for r in told.groupBy("label").count().collect()}
+    return math.log(n[1] / n[0]) - math.log(min(n[1], sample) / min(n[0], sample))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, folds: int = 5, rounds: int = 2, epochs: int = 2):
     """(places, weights, bias): the weights that are not zero, from ``2 * sample`` rows at most."""
     spark = docs.sparkSession
-    rows = store(training_rows(docs, labels, sample, folds), "toxic-sample")
+    told = training_labels(labels, folds)
+    rows = store(training_rows(docs, told, sample), "toxic-sample")
     counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     if len(counts) < 2:
         share = 1e-6 if 1 not in counts else 1 - 1e-6
@@ -98,23 +112,23 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, folds: int = 5,
         start = spark.sparkContext.broadcast((z, n))
 
         def run(batches, start=start):
-            model, told = Ftrl(start.value[0].copy(), start.value[1].copy()), []
+            model, dealt = Ftrl(start.value[0].copy(), start.value[1].copy()), []
             for batch in batches:
                 for place, label, text in zip(*(batch[c].to_pylist() for c in ("place", "label", "text"))):
-                    told.append((place, label, np.unique(features(text)).astype(np.int32)))
-            if not told:
+                    dealt.append((place, label, np.unique(features(text)).astype(np.int32)))
+            if not dealt:
                 return
-            told.sort(key=lambda x: (x[0], x[1], len(x[2])))
+            dealt.sort(key=lambda x: (x[0], x[1], len(x[2])))
             for _ in range(epochs):
-                for _, label, at in told:
+                for _, label, at in dealt:
                     model.learn(at, label)
             at = np.flatnonzero(model.n)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(at), pa.array(model.z[at]), pa.array(model.n[at])], names=["at", "z", "n"]
             )
 
-        dealt = rows.repartition(SHARDS, "shard").select("place", "label", "text")
-        mixed = dealt.mapInArrow(run, "at long, z double, n double").groupBy("at").agg(
+        shards = rows.repartition(SHARDS, "shard").select("place", "label", "text")
+        mixed = shards.mapInArrow(run, "at long, z double, n double").groupBy("at").agg(
             F.avg("z").alias("z"), F.avg("n").alias("n")
         )
         # only places whose weight can be other than zero come to the driver, at most 2**BITS + 1
@@ -124,7 +138,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, folds: int = 5,
         start.unpersist()
     w = Ftrl(z, n).weights(np.arange(2**BITS + 1))
     at = np.flatnonzero(w[:-1])
-    return at, w[at], float(w[-1])
+    return at, w[at], float(w[-1]) + prior_shift(told, sample)
 
 
 def scores(docs: DataFrame, model) -> DataFrame:

@@ -309,6 +309,15 @@ def test_toxicity(spark, none, odd):
     assert toxicity.op5_toxicity(odd, told).where("score is null").count() == 0
 
 
+def test_toxicity_keeps_the_share_of_all_labels(spark):
+    docs = docs_of(spark, [""] * 1200)  # nothing but the bias to learn
+    told = spark.createDataFrame([(i, int(i % 9 == 0)) for i in range(1200)], "doc_id long, toxic int")
+    _, _, bias = toxicity.fit(docs, told, sample=60)  # as many of either label
+    assert 0.04 < 1 / (1 + math.exp(-bias)) < 0.25
+    labels = toxicity.training_labels(told, 5)
+    assert toxicity.prior_shift(labels, 5000) == 0
+
+
 # --- 6 ---------------------------------------------------------------------------------------------
 
 
