@@ -17,7 +17,8 @@ words with d edits keeps an unbroken run of at least ceil((m - d) / (d + 1)) wor
 window without any run of that many words of an item is further away.  This leaves out no
 pair within the distance; which windows and items are compared is decided by the keys.
 
-An item leaks into a document if at most ``share`` of its words (at least one) need edits.
+An item leaks into a document if at most ``share`` of its words need edits, so that the shortest
+items must be there word for word.
 Words are runs of ASCII letters and digits and of all other characters past ASCII; A-Z count as a-z.
 
 Defined cases: null and empty texts and items have no words and never match; repeated
@@ -44,7 +45,7 @@ def word_hashes(text: str | None) -> np.ndarray:
 
 
 def allowed(m: int, share: float) -> int:
-    return max(1, int(m * share)) if m > 1 else 0
+    return int(m * share)
 
 
 def run_length(m: int, share: float) -> int:

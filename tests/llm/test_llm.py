@@ -361,6 +361,13 @@ def test_decontaminate_recall(spark, none, odd):
     assert decontaminate.op6_decontaminate(odd, bench).count() == 0
 
 
+def test_short_items_leak_word_for_word(spark):
+    bench = spark.createDataFrame([(0, "alpha beta"), (1, "alpha beta gamma delta")], "item_id long, text string")
+    docs = docs_of(spark, ["so alpha it is", "so alpha beta it is", "alpha beta new delta", "so alpha beta gamma delta"])
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.op6_decontaminate(docs, bench).collect()}
+    assert got == {(1, 0), (2, 0), (3, 0), (3, 1)}
+
+
 # --- 7 ---------------------------------------------------------------------------------------------
 
 
