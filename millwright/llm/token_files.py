@@ -126,6 +126,13 @@ def word_encoder(path: str) -> Ragged:
     return _LOADED[path]
 
 
+def chunks(text: str | None) -> list[bytes]:
+    """``words``, but what could hold a special token keeps its case, in which the tokenizer looks for those."""
+    if not text or "<|" not in text:
+        return words(text)
+    return [w if b"<|" in w else w.lower() for w in text.encode().split()]
+
+
 def tokenize(docs: DataFrame, path: str, end_id: int, rows: int = 256) -> DataFrame:
     """doc_id, and the ids with the end id as little-endian 32-bit integers."""
 
@@ -138,7 +145,7 @@ def tokenize(docs: DataFrame, path: str, end_id: int, rows: int = 256) -> DataFr
                 ids = [
                     np.concatenate([x, tail]).astype("<u4").tobytes()
                     for run in runs_of(part["text"].to_pylist())
-                    for x in enc.batch([words(t) for t in run])
+                    for x in enc.batch([chunks(t) for t in run])
                 ]
                 yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 

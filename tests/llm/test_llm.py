@@ -222,6 +222,18 @@ def test_words_encode_as_whole_texts(text):
     assert token_files.word_encoder(WORDS).ids(words(text)).tolist() == _TOK.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from(["<|ENDOFTEXT|>", "<|endoftext|>", "<|StartOfText|>", "<|", "|>", "A", "b", " ", "\n", "é"]), max_size=8))
+def test_special_tokens_keep_their_case(parts):
+    from tokenizers import Tokenizer
+
+    global _TOK
+    _TOK = globals().get("_TOK") or Tokenizer.from_file(WORDS)
+    text = "".join(parts)
+    got = token_files.word_encoder(WORDS).ids(token_files.chunks(text)).tolist()
+    assert got == _TOK.encode(text, add_special_tokens=False).ids
+
+
 # --- 4 ---------------------------------------------------------------------------------------------
 
 
