@@ -171,14 +171,25 @@ class RunHash:
         if len(raw) <= self.SEGMENT:
             return self._segment(raw, cuts)
         out, at = [], 0
-        while at < len(raw):  # cut after a blank; a run longer than a segment is cut anyway
-            end = at + self.SEGMENT
-            if end < len(raw):
-                end = max(raw.rfind(b" ", at, end), raw.rfind(b"\n", at, end)) + 1 or end
+        while at < len(raw):
+            end = self._cut(raw, at)
             out.append(self._segment(raw[at:end], cuts))
             at = end
         return np.concatenate(out, axis=-1)
 
+    def _cut(self, raw: bytes, at: int) -> int:
+        """Where the segment from ``at`` ends: after its last byte outside a run; it grows to the next one if it has none."""
+        if at + self.SEGMENT >= len(raw):
+            return len(raw)
+        gaps = np.flatnonzero(~self.inside[np.frombuffer(raw, np.uint8, self.SEGMENT, at)])
+        if len(gaps):
+            return at + int(gaps[-1]) + 1
+        for lo in range(at + self.SEGMENT, len(raw), self.SEGMENT):
+            gaps = np.flatnonzero(~self.inside[np.frombuffer(raw[lo : lo + self.SEGMENT], np.uint8)])
+            if len(gaps):
+                return lo + int(gaps[0]) + 1
+        return len(raw)
+
     def _segment(self, raw: bytes, cuts: tuple[int, ...]) -> np.ndarray:
         if not raw:
             return np.empty((1 + len(cuts), 0) if cuts else 0, np.uint64)
@@ -188,11 +199,16 @@ class RunHash:
         edges = np.flatnonzero(np.diff(inside))
         starts, ends = edges[::2], edges[1::2]
         sums = np.zeros(len(b) + 1, np.uint64)
-        np.cumsum(b * self.up[: len(b)], out=sums[1:])
-        rows = [self._hash(sums, starts, ends), *(self._hash(sums, starts, np.minimum(ends, starts + c)) for c in cuts)]
+        up, down = self.up, self.down
+        if len(b) > self.SEGMENT:
+            up, down = _powers(self.BASE, len(b)), _powers(pow(self.BASE, -1, 2**64), len(b))
+        np.cumsum(b * up[: len(b)], out=sums[1:])
+        back = down[starts]
+        cut = [ends, *(np.minimum(ends, starts + c) for c in cuts)]
+        rows = [self._hash(sums, back, starts, e) for e in cut]
         return np.stack(rows) if cuts else rows[0]
 
-    def _hash(self, sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        h = (sums[ends] - sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64) * MIX
+    def _hash(self, sums: np.ndarray, back: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        h = (sums[ends] - sums[starts]) * back + (ends - starts).astype(np.uint64) * MIX
         h = (h ^ (h >> np.uint64(32))) * MIX2
         return h ^ (h >> np.uint64(29))

@@ -134,6 +134,15 @@ def test_run_hash_cuts_and_repeats():
     assert len(got) == 300_000 and len(set(got.tolist())) == 2 and got[0] == got[2] == got[-1]
 
 
+@pytest.mark.parametrize("marks", [False, True])
+def test_run_hash_never_cuts_a_word(marks):
+    own, long = RunHash(marks), "q" * (5 << 19)
+    for text in ("abc\tdefgh\r" * 200_000, f"ab {long}\tcd", long):
+        got = own.of(text)
+        assert len(got) == len(text.split())
+        assert set(got.tolist()) == {int(own.of(w)[0]) for w in set(text.split())}
+
+
 # --- 2 ---------------------------------------------------------------------------------------------
 
 
