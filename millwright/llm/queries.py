@@ -10,13 +10,16 @@ from millwright.llm import (
     bpe_bytes,
     class_lm,
     decontaminate,
+    filter_audit,
     line_dedup,
+    merkle,
     minhash_dedup,
     secrets,
     token_files,
     tool_calls,
     topk,
     toxicity,
+    url_filter,
 )
 from millwright.llm.common import table
 
@@ -86,4 +89,19 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.op10_topk(table(spark, sf_dir, "embeddings"))
 
 
+@query("op11_url_filter", url_filter.ORACLE)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.op11_url_filter(table(spark, sf_dir, "pages"))
+
+
+@query("op12_merkle", merkle.ORACLE)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.op12_merkle(table(spark, sf_dir, "documents"))
+
+
+@query("op13_filter_audit", filter_audit.ORACLE)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.op13_filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
