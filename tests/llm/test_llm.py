@@ -542,6 +542,49 @@ def test_top_k(spark, block, query_block):
     assert {tuple(x) for x in got.collect()} == brute_top(rows, 10, 5)
 
 
+def test_top_k_repeated_rows(spark):
+    """Every row is a candidate: equal rows of an id are ranked one after another, other vectors of it for themselves."""
+    rows = [(0, [1.0, 0.0])] + [(1, [0.5, 1.0])] * 7 + [(2, [0.75, 0.0]), (2, [0.25, 0.0]), (3, [0.5, 9.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for k, block in ((5, 4096), (12, 1)):
+        got = [tuple(x) for x in topk.top_k(df, every=10, k=k, block=block).orderBy("rank").collect()]
+        scores = sorted(((-int(256 * v[0]) * 256, i) for i, v in rows if i), key=lambda x: x)
+        assert got == [(0, n + 1, i, -s) for n, (s, i) in enumerate(scores[:k])]
+
+
+def test_lists_are_read_in_turn_and_not_to_their_end():
+    """The entries read are counted: few where scores are told apart early, none of a list with a zero."""
+    r = np.random.default_rng(3)
+    rows = np.floor(256 * r.normal(size=(4000, 8)))
+    rows[:20] += 3000
+    lists = topk.Lists(np.arange(4000), rows)
+    query = np.array([300.0, 200, 100, 50, 0, 0, 0, 0])
+    places, scores = lists.top(-1, query, 5)
+    want = np.lexsort((np.arange(4000), -(rows @ query)))[:5]
+    assert places.tolist() == want.tolist() and scores.tolist() == (rows @ query)[want].tolist()
+    assert lists.read == 4 * topk.FIRST < rows.size / 100
+    lists.read = 0
+    lists.top(0, np.floor(256 * r.normal(size=8)), 5)
+    assert topk.FIRST * 8 <= lists.read < rows.size
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(0, 2**32), st.integers(1, 300), st.integers(1, 5), st.integers(1, 6), st.sampled_from([1, 3, 2**26 - 1]))
+def test_lists_brute_force(seed, n, dims, k, reach):
+    r = np.random.default_rng(seed)
+    rows, query = (r.integers(-reach, reach + 1, s).astype(float) for s in ((n, dims), dims))
+    ids = r.permutation(2 * n)[:n]
+    lists = topk.Lists(ids, rows)
+    places, scores = lists.top(int(ids[0]), query, k)
+    exact = [(-sum(int(a) * int(b) for a, b in zip(row, query)), int(i)) for i, row in zip(ids[1:], rows[1:])]
+    assert [(-int(s), int(ids[p])) for p, s in zip(places, scores)] == sorted(exact)[:k]
+
+
+def test_scores_beyond_64_bits_are_refused():
+    with pytest.raises(ValueError):
+        topk.Lists(np.arange(9), np.full((9, 2), 2.0**40)).top(0, np.full(2, 2.0**40), 1)
+
+
 def test_top_k_small(spark):
     kind = "vec_id long, embedding array<float>"
     two = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.0])], kind)
