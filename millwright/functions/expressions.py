@@ -96,6 +96,53 @@ def to_double(c: str | Column) -> Column:
     return F.when(F.isnan(d), F.lit(None).cast("double")).otherwise(d)
 
 
+#: Up to here ``value * 10`` and ``value * 100`` keep their whole part and a rest of at least 10 bits.
+FIXED_LIMIT = 2.0**36
+
+
+def let(value: Column, then) -> Column:
+    """``then(value)`` with ``value`` evaluated once, however often ``then`` uses it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def fixed(value: Column, decimals: int) -> Column:
+    """Text of a double with ``decimals`` (at most 2) places: its exact binary value, ties to the even digit.
+
+    ``format_string`` rounds the shortest decimal text half up, which differs on ties (0.25) and on
+    values whose text only looks like a tie (0.15 is below it). Here ``value * 10**decimals`` is
+    ``product + error`` exactly (the factors split in halves of 26 bits), and what lies over the
+    product's whole part is compared with one half, error included. Values beyond ``FIXED_LIMIT``
+    take ``format_string``.
+    """
+    ten = float(10**decimals)
+
+    def halves(a):
+        return let(a * F.lit(134217729.0), lambda t: F.named_struct(F.lit("a"), a, F.lit("high"), t - (t - a)))
+
+    def exact(s):
+        return let(s["a"] * F.lit(ten), lambda p: F.named_struct(
+            F.lit("product"), p, F.lit("error"), (s["high"] * F.lit(ten) - p) + (s["a"] - s["high"]) * F.lit(ten)))
+
+    def rounded(x):
+        return let(F.floor(x["product"]), lambda w: let(
+            (x["product"] - w - F.lit(0.5)) + x["error"],
+            lambda over: w + F.when((over > 0) | ((over == 0) & (w % 2 == 1)), 1).otherwise(0)))
+
+    def text(n):
+        if not decimals:
+            return n.cast("string")
+        digits = F.when(n < int(ten), F.lpad(n.cast("string"), decimals + 1, "0")).otherwise(n.cast("string"))
+        return let(digits, lambda d: F.concat(F.substring(d, F.lit(1), F.length(d) - decimals), F.lit("."),
+                                              F.substring(d, F.length(d) - (decimals - 1), F.lit(decimals))))
+
+    def signed(v):
+        plain = let(let(let(let(F.abs(v), halves), exact), rounded), text)
+        plain = F.when(v < 0, F.concat(F.lit("-"), plain)).otherwise(plain)
+        return F.when(F.abs(v) < F.lit(FIXED_LIMIT), plain).when(v.isNotNull(), F.format_string(f"%.{decimals}f", v))
+
+    return let(value, signed)
+
+
 def compact_array(*items: Column) -> Column:
     """Array of the non-NULL items, in order."""
     return F.filter(F.array(*items), lambda x: x.isNotNull())

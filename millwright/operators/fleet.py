@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from millwright import schema as S
 from millwright.functions.expressions import literal_table
+from millwright.operators import ordered
 
 MODES = ["TWF", "HDF", "PWF", "OSF", "RNF"]
 
@@ -131,46 +132,25 @@ def operating_limits(df: DataFrame) -> DataFrame:
     return wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*").where(F.col("lo").isNotNull())
 
 
-def wear_histogram(df: DataFrame) -> DataFrame:
-    """Readings per distinct tool-wear value (NULL wear left out).
+def thresholds_row(df: DataFrame, rows_per_bucket: int = ordered.ROWS_PER_BUCKET) -> dict:
+    """``high`` (Q80) and ``urgent`` (Q95) of tool wear and the ``method``, as plain values
+    (the reference fixes them once at start).
 
-    Partial aggregation collapses the readings map-side, so the shuffle and the
-    result hold one row per distinct wear value (wear is in minutes), not one
-    per reading. Thresholds and tier counts are both computed from it.
+    Exact, by rank selection (:func:`ordered.exact_quantiles`). ``urgent <= high`` becomes
+    ``high + 1``; both are rounded to 2 decimals. Without any wear value the fallback 150 / 200
+    is used and ``method`` says so.
     """
-    return df.where(F.col(S.WEAR).isNotNull()).groupBy(S.WEAR).agg(F.count(F.lit(1)).alias("cnt"))
+    q = ordered.exact_quantiles(_with_sensors(df), S.WEAR, [S.HIGH_QUANTILE, S.URGENT_QUANTILE], rows_per_bucket)
+    if q is None:
+        return {"high": S.FALLBACK_HIGH, "urgent": S.FALLBACK_URGENT, "method": "fallback"}
+    high, urgent = q
+    return {"high": round(high, 2), "urgent": round(urgent if urgent > high else high + 1.0, 2), "method": "quantile"}
 
 
-def maintenance_thresholds(df: DataFrame, hist: DataFrame | None = None) -> DataFrame:
-    """Q80 'high' and Q95 'urgent' tool-wear thresholds (linear interpolation, exact).
-
-    ``urgent <= high`` becomes ``high + 1``; both rounded to 2 decimals. Without
-    any wear value the fallback 150 / 200 is used and ``method`` says so.
-    Exact ``percentile`` over the wear histogram, weighted by its counts; for a
-    continuous wear column with billions of distinct values use
-    :func:`maintenance_thresholds_approx`.
-    """
-    h = hist if hist is not None else wear_histogram(_with_sensors(df))
-    q = h.agg(F.percentile(F.col(S.WEAR), F.array(F.lit(S.HIGH_QUANTILE), F.lit(S.URGENT_QUANTILE)),
-                           F.col("cnt")).alias("q"))
-    return _thresholds_from(q)
-
-
-def maintenance_thresholds_approx(df: DataFrame, accuracy: int = 100000) -> DataFrame:
-    q = df.agg(F.percentile_approx(F.col(S.WEAR).cast("double"),
-                                   F.array(F.lit(S.HIGH_QUANTILE), F.lit(S.URGENT_QUANTILE)), accuracy).alias("q"))
-    return _thresholds_from(q)
-
-
-def _thresholds_from(q: DataFrame) -> DataFrame:
-    hi, ur = F.col("q")[0], F.col("q")[1]
-    has = hi.isNotNull()
-    ur_fixed = F.when(ur <= hi, hi + F.lit(1.0)).otherwise(ur)
-    return q.select(
-        F.when(has, F.round(hi, 2)).otherwise(F.lit(S.FALLBACK_HIGH)).alias("high"),
-        F.when(has, F.round(ur_fixed, 2)).otherwise(F.lit(S.FALLBACK_URGENT)).alias("urgent"),
-        F.when(has, F.lit("quantile")).otherwise(F.lit("fallback")).alias("method"),
-    )
+def maintenance_thresholds(df: DataFrame, rows_per_bucket: int = ordered.ROWS_PER_BUCKET) -> DataFrame:
+    """:func:`thresholds_row` as a table of one row."""
+    th = thresholds_row(df, rows_per_bucket)
+    return literal_table(df.sparkSession, [tuple(th.values())], list(th))
 
 
 def tier_expr(wear: Column, high: Column, urgent: Column) -> Column:
@@ -180,11 +160,6 @@ def tier_expr(wear: Column, high: Column, urgent: Column) -> Column:
             .when(wear < high, "ROUTINE"))
 
 
-def thresholds_row(df: DataFrame) -> dict:
-    """The fitted thresholds as plain values (one aggregate row; the reference fixes them once at start)."""
-    return maintenance_thresholds(df).first().asDict()
-
-
 def _as_row(df: DataFrame, thresholds) -> dict:
     if thresholds is None:
         return thresholds_row(df)

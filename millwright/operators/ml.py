@@ -1,19 +1,24 @@
 """Failure classifiers with Spark ML: split, scaling, five models, evaluation, choice, scoring.
 
-* Split: a deterministic hash bucket of the reading id (``md5``), 20 % test.
-  It does not depend on partitioning, so it survives recomputation after an
+* Split: exact and stratified. Each class is ranked by a hash of the reading's id and cut at its
+  share, from counts by hash range; the cut is one (hash, id) per class, so the split itself is a
+  projection. It does not depend on partitioning, so it survives recomputation after an
   executor loss and is reproducible in SQL.
 * Scaling: standardisation with the training split's mean and *population*
   standard deviation (the reference's scaler), as plain column arithmetic
-  after one aggregate; a zero deviation scales by 1.
-* Models: distributed Spark ML estimators with the reference's settings.
-* Evaluation: one conditional aggregate for the confusion counts, and the
-  exact rank AUC of :mod:`metrics` on the positive-class probability.
+  after one aggregate; a zero deviation scales by 1. It can be switched off.
+* Models: distributed Spark ML estimators with the reference's settings. The perceptron stops
+  early: rounds of a few iterations go on from the last weights until a held-out tenth of the
+  training rows is predicted no better for some rounds; the best round's weights stay.
+* Evaluation: the test predictions of all models are one stored table, and
+  :func:`metrics.model_metrics` reads it once for all figures of all models.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
@@ -24,26 +29,73 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millwright import schema as S
 from millwright.operators import metrics
 from millwright.operators.features import feature_matrix
+from millwright.session import stored
 
-TEST_PERCENT = 20
+TEST_SIZE = 0.2
 SEED = 42
+HASH_BITS = 32
+#: Hash ranges that a class is counted by before its cut is looked for inside one of them.
+CUT_RANGES = 4096
 
 
-def split_bucket(udi: str | Column = S.UDI) -> Column:
-    """0..99 from the first 32 bits of ``md5(udi)``."""
+def id_hash(udi: str | Column = S.UDI, salt: str = "") -> Column:
+    """First 32 bits of ``md5(salt + id)``."""
     c = F.col(udi) if isinstance(udi, str) else udi
-    return F.pmod(F.conv(F.substring(F.md5(c.cast("string")), 1, 8), 16, 10).cast("bigint"), F.lit(100))
+    return F.conv(F.substring(F.md5(F.concat(F.lit(salt), c.cast("string"))), 1, 8), 16, 10).cast("bigint")
 
 
-def train_test_split(df: DataFrame, test_percent: int = TEST_PERCENT) -> DataFrame:
-    """Adds ``split`` = 'test' for buckets below ``test_percent``, else 'train'."""
-    return df.select("*", F.when(split_bucket() < test_percent, "test").otherwise("train").alias("split"))
+Cuts = dict[int, tuple[int, object]]
+
+
+def fit_cuts(df: DataFrame, share: float = TEST_SIZE, label: str = "label", salt: str = "") -> Cuts:
+    """The last (hash, id) of each class that belongs to its first ``share``, rounded half up.
+
+    Two small jobs: counts by class and hash range (at most ``CUT_RANGES`` rows a class reach the
+    driver), then the ranks inside the one range that holds the class's cut. A class whose share
+    rounds to no row has no cut. Ids are unique, as in the reference; rows that share the id of the
+    cut all stay on its side.
+    """
+    width = 2**HASH_BITS // CUT_RANGES
+    h = df.select(F.col(label).alias("_y"), id_hash(salt=salt).alias("_h"), F.col(S.UDI).alias("_id"))
+    h = h.withColumn("_r", F.expr(f"_h div {width}"))
+    sizes: dict[int, list[tuple[int, int]]] = {}
+    for y, r, n in sorted(tuple(x) for x in h.groupBy("_y", "_r").count().collect()):
+        sizes.setdefault(y, []).append((r, n))
+    wanted = {}
+    for y, ranges in sizes.items():
+        left = math.floor(sum(n for _, n in ranges) * share + 0.5)
+        for r, n in ranges:
+            if left and n >= left:
+                wanted[y] = (r, left)
+                break
+            left -= n
+    if not wanted:
+        return {}
+    here = reduce(lambda a, b: a | b, [(F.col("_y") == y) & (F.col("_r") == r) for y, (r, _) in wanted.items()])
+    rank = F.row_number().over(Window.partitionBy("_y").orderBy("_h", "_id"))
+    at = reduce(lambda a, b: a | b, [(F.col("_y") == y) & (F.col("_k") == k) for y, (_, k) in wanted.items()])
+    return {x["_y"]: (x["_h"], x["_id"]) for x in h.where(here).withColumn("_k", rank).where(at).collect()}
+
+
+def first_share(cuts: Cuts, label: str = "label", salt: str = "") -> Column:
+    """Whether a row is at or before its class's cut."""
+    h, i = id_hash(salt=salt), F.col(S.UDI)
+    inside = F.lit(False)
+    for y, (ch, ci) in cuts.items():
+        before = (h < F.lit(ch)) | ((h == F.lit(ch)) & (i <= F.lit(ci)))
+        inside = F.when(F.col(label) == y, before).otherwise(inside)
+    return inside
+
+
+def train_test_split(df: DataFrame, test_size: float = TEST_SIZE) -> DataFrame:
+    """Adds ``split``: 'test' for exactly ``test_size`` of each class (to rounding), else 'train'."""
+    return df.select("*", F.when(first_share(fit_cuts(df, test_size)), "test").otherwise("train").alias("split"))
 
 
 def class_distribution(split_df: DataFrame, label: str = "label") -> DataFrame:
@@ -99,25 +151,18 @@ def assemble(df: DataFrame, cols: list[str] = S.FEATURES) -> DataFrame:
 
 @dataclass
 class Suite:
-    """Fitted scaler, models and their test metrics (``metrics``: one row per model)."""
+    """Fitted scaler (None: not scaled), models and their test metrics (``metrics``: one row per model)."""
 
-    scaler: Scaler
+    scaler: Scaler | None
     models: dict[str, object]
     metrics: DataFrame
     best: str | None
     n_train: int
 
 
-def prepared(readings: DataFrame) -> DataFrame:
+def prepared(readings: DataFrame, test_size: float = TEST_SIZE) -> DataFrame:
     """Feature matrix with its split."""
-    return train_test_split(feature_matrix(readings))
-
-
-def evaluate(scored: DataFrame) -> DataFrame:
-    """Metrics of one model's test predictions (``label``, ``prediction``, ``p1``): one row."""
-    cm = metrics.classification_metrics(scored, "label", "prediction")
-    auc = metrics.roc_auc(scored.select("label", F.col("p1").alias("score")), "label", "score")
-    return cm.select("*", auc.select("roc_auc").scalar().alias("roc_auc"))
+    return train_test_split(feature_matrix(readings), test_size)
 
 
 def predictions(model, df: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -128,35 +173,83 @@ def predictions(model, df: DataFrame, keep: list[str] | None = None) -> DataFram
                       vector_to_array("probability")[1].alias("p1"))
 
 
-def train_suite(readings: DataFrame, names: list[str] | None = None) -> Suite:
+def fit_early(train: DataFrame, rest: dict, max_iter: int = 300, step: int = 10, patience: int = 10,
+              held: float = 0.1, tol: float = 1e-4):
+    """A perceptron fitted in rounds of ``step`` iterations, each from the last one's weights.
+
+    After a round the held-out ``held`` of each class is scored; ``patience`` rounds without ``tol``
+    more accuracy end the fit, as do ``max_iter`` iterations. Returns (best model, iterations done).
+    ``train`` has ``udi, label, features``.
+    """
+    inside = first_share(fit_cuts(train, held, salt="held"), salt="held")
+    held_rows = train.where(inside).persist()
+    fit_rows = train.where(~inside).persist()
+    net = MultilayerPerceptronClassifier(maxIter=step, seed=SEED, **rest)
+    best, best_score, stale, done = None, -1.0, 0, 0
+    while done < max_iter and stale < patience:
+        model = net.fit(fit_rows)
+        done += step
+        right = F.avg((F.col("prediction") == F.col("label")).cast("double"))
+        score_now = model.transform(held_rows).agg(right).first()[0]
+        # without a held-out row nothing can be told apart: the last round counts
+        better = score_now is None or score_now > best_score + tol
+        stale = 0 if better else stale + 1
+        if better or best is None:
+            best, best_score = model, score_now if score_now is not None else -1.0
+        net = net.copy().setInitialWeights(model.weights)
+    held_rows.unpersist()
+    fit_rows.unpersist()
+    return best, done
+
+
+def fit_model(name: str, train: DataFrame, n_train: int):
+    """One of the five classifiers, fitted on ``train`` (``udi, label, features``)."""
+    est = estimator(name, n_train)
+    if isinstance(est, MultilayerPerceptronClassifier):
+        return fit_early(train, dict(layers=est.getLayers(), featuresCol="features", labelCol="label"), est.getMaxIter())[0]
+    return est.fit(train)
+
+
+def train_suite(readings: DataFrame, names: list[str] | None = None, test_size: float = TEST_SIZE,
+                scale_features: bool = True) -> Suite:
     """Fit the chosen models on the training split and evaluate them on the test split.
 
-    The assembled training data is persisted for the fits and released after.
+    ``names`` are fitted in the order of ``S.MODEL_NAMES``; other names raise. The assembled
+    training data is persisted for the fits and released after; the test predictions of all models
+    are stored as one narrow table.
     """
-    names = names or list(S.MODEL_NAMES)
-    data = prepared(readings)
-    scaler = fit_scaler(data.where(F.col("split") == "train"))
-    vec = assemble(scaler.transform(data)).select(S.UDI, "split", "label", "features").persist()
+    names = list(S.MODEL_NAMES) if names is None else [n for n in S.MODEL_NAMES if n in names] + [
+        n for n in names if n not in S.MODEL_NAMES]
+    data = prepared(readings, test_size)
+    scaler = fit_scaler(data.where(F.col("split") == "train")) if scale_features else None
+    vec = assemble(scaler.transform(data) if scaler else data).select(S.UDI, "split", "label", "features").persist()
     train = vec.where(F.col("split") == "train")
     test = vec.where(F.col("split") == "test")
     n_train = train.count()
-    models, rows = {}, []
-    for pos, name in enumerate(names):
-        model = estimator(name, n_train).fit(train)
-        models[name] = model
-        m = evaluate(predictions(model, test, ["label"])).first().asDict()
-        rows.append((name, pos, *[float(m[k]) if m[k] is not None else None
-                                  for k in ("accuracy", "precision", "recall", "f1", "roc_auc")],
-                     *[int(m[k]) for k in ("tn", "fp", "fn", "tp")]))
+    models = {name: fit_model(name, train, n_train) for name in names}
+    table = evaluate(models, test)
     vec.unpersist()
-    spark = readings.sparkSession
-    table = spark.createDataFrame(
-        rows, "model string, pos int, accuracy double, precision double, recall double, f1 double, "
-              "roc_auc double, tn bigint, fp bigint, fn bigint, tp bigint")
     best = best_model(table).first()
     return Suite(scaler, models, table, best["model"] if best else None, n_train)
 
 
+METRICS = ("model string, pos int, accuracy double, precision double, recall double, f1 double, roc_auc double, "
+           "tn bigint, fp bigint, fn bigint, tp bigint")
+
+
+def evaluate(models: dict[str, object], test: DataFrame) -> DataFrame:
+    """Test metrics, one row per model, in fitting order (``pos``); a row of figures each reaches the driver."""
+    spark = test.sparkSession
+    if not models:
+        return spark.createDataFrame([], METRICS)
+    scored = [predictions(m, test, [F.lit(i).alias("pos"), F.lit(name).alias("model"), F.col("label")])
+              for i, (name, m) in enumerate(models.items())]
+    table = stored(reduce(DataFrame.unionByName, scored), "predictions")
+    rows = metrics.model_metrics(table, ["model", "pos"], score="p1")
+    columns = [c.split()[0] for c in METRICS.split(", ")]
+    return spark.createDataFrame([tuple(r) for r in rows.select(*columns).collect()], METRICS)
+
+
 def model_comparison(table: DataFrame) -> DataFrame:
     """Models sorted by recall, descending (training order breaks ties)."""
     return table.orderBy(F.desc("recall"), "pos")
@@ -186,16 +279,16 @@ def feature_importance(suite: Suite) -> list[tuple[str, str, float]]:
 def score(suite: Suite, readings: DataFrame, model_name: str | None = None) -> DataFrame:
     """Best (or named) model on new readings (row-wise): adds ``prediction`` and ``p1``.
 
-    Readings need the five sensors and ``type``; a missing value counts 0, as in training.
+    A missing value, or an absent column, counts 0, as in training.
     """
     name = model_name or suite.best
     if name is None:
         raise ValueError("no trained model")
-    t = F.col(S.TYPE)
-    raw = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in S.NUMERIC_FEATURES}
+    t = F.col(S.TYPE) if S.TYPE in readings.columns else F.lit(None).cast("string")
+    raw = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if c in readings.columns else F.lit(0.0) for c in S.NUMERIC_FEATURES}
     raw.update({f"type_{v.lower()}": F.when(t == v, 1.0).otherwise(0.0) for v in ("H", "L", "M")})
-    scaled = readings.select("*", *[((raw[c] - F.lit(suite.scaler.stats[c][0])) / F.lit(suite.scaler.stats[c][1]))
-                                    .alias(f"_s_{c}") for c in S.FEATURES])
+    stats = suite.scaler.stats if suite.scaler else dict.fromkeys(S.FEATURES, (0.0, 1.0))
+    scaled = readings.select("*", *[((raw[c] - F.lit(stats[c][0])) / F.lit(stats[c][1])).alias(f"_s_{c}") for c in S.FEATURES])
     vec = assemble(scaled, [f"_s_{c}" for c in S.FEATURES])
     return predictions(suite.models[name], vec, list(readings.columns))
 

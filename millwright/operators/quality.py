@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from millwright import schema as S
 from millwright.functions import expressions as X
+from millwright.functions import json as J
 from millwright.operators import fleet
 
 Profile = dict[str, dict[str, float]]
@@ -85,31 +85,28 @@ def check_limits(requests: DataFrame, limits: DataFrame, payload: str = "payload
     """Per request and known sensor key: value against the inclusive operating limits.
 
     Keys are short names (RPM, Torque, ToolWear, Wear, AirTemp, ProcessTemp)
-    or the long sensor names; other keys are skipped. Non-numeric values get
-    status ``INVALID``. A request whose payload is null, empty or no object gets
-    one row per sensor instead, with a null key and the dataset's ``violations``
-    (null for keyed rows): pass the rows of :func:`fleet.limit_violations` as
+    or the long sensor names; other keys are skipped. Payloads are read as for
+    scoring (``requests.parse_requests``): the last value of a repeated key counts.
+    Non-numeric values get status ``INVALID``. A request whose payload is null, malformed,
+    empty or no object gets one row per sensor instead, with a null key and the dataset's
+    ``violations`` (null for keyed rows): pass the rows of :func:`fleet.limit_violations` as
     ``limits``. The limits table has one row per sensor, so it is broadcast.
     """
-    text = F.regexp_replace(F.col(payload), "'", '"')
-    given = F.from_json(text, T.MapType(T.StringType(), T.StringType()))
+    known = {**S.LIMIT_KEYS, **{name: c for c, name in S.SENSOR_LONG_NAMES.items()}}
     none = F.lit(None).cast("string")
-    keyed = F.transform(F.map_entries("given"), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("raw"), none.alias("whole")))
-    whole = F.array(*[F.struct(none.alias("key"), none.alias("raw"), F.lit(c).alias("whole")) for c in S.SENSORS])
-    kv = requests.select(id_col, given.alias("given"))
-    kv = kv.select(id_col, F.explode(F.when(F.size("given") > 0, keyed).otherwise(whole)).alias("e")).select(id_col, "e.*")
-    short = None
-    for k, c in S.LIMIT_KEYS.items():
-        short = F.when(F.col("key") == k, F.lit(c)) if short is None else short.when(F.col("key") == k, F.lit(c))
-    longn = None
-    for c, name in S.SENSOR_LONG_NAMES.items():
-        longn = F.when(F.col("key") == name, F.lit(c)) if longn is None else longn.when(F.col("key") == name, F.lit(c))
-    kv = kv.select(id_col, "key", F.coalesce("whole", short, longn).alias("sensor"), "whole", X.to_double(F.col("raw")).alias("value"))
+    read = J.read_objects(requests.select(id_col, payload), F.replace(F.col(payload), F.lit("'"), F.lit('"')))
+    keyed = X.compact_array(*[
+        F.when(J.has_key(k), F.struct(F.lit(k).alias("key"), F.lit(c).alias("sensor"), J.raw_value(k).alias("raw"),
+                                      F.lit(False).alias("whole"))) for k, c in known.items()])
+    whole = F.array(*[F.struct(none.alias("key"), F.lit(c).alias("sensor"), none.alias("raw"), F.lit(True).alias("whole"))
+                      for c in S.SENSORS])
+    kv = read.select(id_col, F.inline(F.when(J.object_size() > 0, keyed).otherwise(whole)))
+    kv = kv.select(id_col, "key", "sensor", "whole", X.to_double(F.col("raw")).alias("value"))
     lim = F.broadcast(limits.select("sensor", "sensor_name", "lo", "hi", F.col("violations").alias("found")))
     j = kv.join(lim, "sensor")
     within = (F.col("lo") <= F.col("value")) & (F.col("value") <= F.col("hi"))
     by_key = F.when(F.col("value").isNull(), "INVALID").when(within, "OK").otherwise("OUT OF RANGE")
     by_sensor = F.when(F.col("found") == 0, "OK").otherwise(F.concat(F.col("found").cast("string"), F.lit(" violations")))
     return j.select(id_col, "key", "sensor", "sensor_name", "value", "lo", "hi",
-                    F.when(F.col("whole").isNotNull(), F.col("found")).alias("violations"),
-                    F.when(F.col("whole").isNotNull(), by_sensor).otherwise(by_key).alias("status"))
+                    F.when(F.col("whole"), F.col("found")).alias("violations"),
+                    F.when(F.col("whole"), by_sensor).otherwise(by_key).alias("status"))

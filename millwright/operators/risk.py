@@ -10,9 +10,12 @@ aggregation is partial (map-side), so a value repeated a billion times is one
 row after the first stage; the running count is a bucketed prefix sum
 (``ordered.running_sum``), never a window over a whole part.
 
-Lookup of the fitting rows themselves is an equi-join on the exact value (each
-of their excesses *is* a knot). Lookup of new readings is a backward as-of
-join (``ordered.asof_backward``).
+Lookups run over *narrow* rows only: a reading's violated parts are exploded to
+(row key, part, type, value) before, and folded back to its modes after, so that
+no shuffle carries a reading and HDF's two parts take one pass, not two. For the
+fitting rows themselves that pass is an equi-join on the exact value (each of
+their excesses *is* a knot); for new readings it is a backward as-of join
+(``ordered.asof_backward``) over the stored narrow rows, so the readings are read once.
 """
 
 from __future__ import annotations
@@ -25,39 +28,30 @@ from pyspark.sql import functions as F
 from millwright import schema as S
 from millwright.functions import expressions as X
 from millwright.operators import ordered, rules
+from millwright.session import stored
 
 GROUP = ["part", "type"]
 
 
 @dataclass
 class RiskModel:
-    """Fitted ECDF: ``knots(part, type, value, cnt, cum, n, risk, _b)`` and the bucket boundaries."""
+    """Fitted ECDF: ``knots(part, type, value, cnt, cum, n, risk, _b)`` (stored) and the bucket boundaries."""
 
     knots: DataFrame
     bounds: ordered.Bounds
 
-    def unpersist(self) -> None:
-        self.knots.unpersist()
 
-
-def fit_risk_model(readings: DataFrame, materialize: bool = True,
-                   rows_per_bucket: int = ordered.ROWS_PER_BUCKET) -> RiskModel:
-    """Knots of every calibration part. ``materialize`` keeps them (they are model state)."""
+def fit_risk_model(readings: DataFrame, rows_per_bucket: int = ordered.ROWS_PER_BUCKET) -> RiskModel:
+    """Knots of every calibration part; the readings are read once."""
     cal = rules.risk_calibration(readings)
-    counts = cal.groupBy(*GROUP, "value").agg(F.count(F.lit(1)).alias("cnt"))
-    if materialize:
-        counts = counts.persist()
+    counts = stored(cal.groupBy(*GROUP, "value").agg(F.count(F.lit(1)).alias("cnt")), "calibration")
     bounds = ordered.range_bounds(counts, GROUP, "value", rows_per_bucket)
     cum = ordered.running_sum(counts, GROUP, "value", "cnt", bounds, out="cum")
     totals = counts.groupBy(*GROUP).agg(F.sum("cnt").alias("n"))  # one row per part and type
     knots = (cum.join(F.broadcast(totals), GROUP)
              .select(*GROUP, "value", "cnt", "cum", "n",
                      (F.col("cum").cast("double") / F.col("n").cast("double") * F.lit(100.0)).alias("risk"), "_b"))
-    if materialize:
-        knots = knots.persist()
-        knots.count()
-        counts.unpersist()
-    return RiskModel(knots, bounds)
+    return RiskModel(stored(knots, "knots"), bounds)
 
 
 def _clip(c: Column) -> Column:
@@ -101,62 +95,98 @@ def lookup_exact(df: DataFrame, model: RiskModel, part: str, type_: str, value:
         *keys, "__part", "__value", "__hot_risk", "__cold_risk")
 
 
-def lookup_asof(df: DataFrame, model: RiskModel, part: str, type_: str, value: str, out: str) -> DataFrame:
+def lookup_asof(df: DataFrame, model: RiskModel, part: str, type_: str, value: str, out: str,
+                null_keys: bool = True) -> DataFrame:
     """Risk of arbitrary values: last knot ``<= value`` in the same part and type; below the first knot -> 0."""
     ref = model.knots.select(F.col("part").alias(part), F.col("type").alias(type_), F.col("value").alias(value),
                              "risk", "_b")
-    bounds = model.bounds
-    res = ordered.asof_backward(df, ref, [part, type_], value, "risk", bounds, out)
+    res = ordered.asof_backward(df, ref, [part, type_], value, "risk", model.bounds, out, null_keys=null_keys)
     return res.withColumn(out, F.when(F.col(value).isNotNull(), _clip(F.coalesce(F.col(out), F.lit(0.0)))))
 
 
-def lookup(df, model, part, type_, value, out, exact: bool):
-    return (lookup_exact if exact else lookup_asof)(df, model, part, type_, value, out)
+def lookup_parts(parts: DataFrame, model: RiskModel, exact: bool) -> DataFrame:
+    """Adds ``risk`` to narrow rows with ``part, type, value`` (never null); the one lookup of every report."""
+    if exact:
+        return lookup_exact(parts, model, "part", "type", "value", "risk")
+    return lookup_asof(stored(parts, "parts"), model, "part", "type", "value", "risk", null_keys=False)
 
 
 def calibration_risk(readings: DataFrame, model: RiskModel, exact: bool = True) -> DataFrame:
     """Every calibration part violated by a reading, with its risk: ``udi, part, type, value, risk``."""
-    parts = readings.select(S.UDI, F.explode(rules.violation_parts(readings)).alias("c")).select(
-        S.UDI, "c.part", "c.type", "c.value")
-    return lookup(parts, model, "part", "type", "value", "risk", exact)
+    parts = rules.with_inputs(readings).select(S.UDI, F.inline(rules.violation_parts(readings)))
+    return lookup_parts(parts, model, exact)
 
 
-def _mode_struct(mode: str, pos: int, pa: Column, va: Column, pb: Column | None = None,
-                 vb: Column | None = None, ta: Column | None = None) -> Column:
+def _part(mode: str, part: Column, value: Column, other: Column | None = None, second: bool = False,
+          type_: Column | None = None) -> Column:
     return F.struct(
-        F.lit(mode).alias("mode"), F.lit(pos).alias("mode_pos"), F.lit(S.MODE_NAMES[mode]).alias("mode_name"),
-        pa.alias("_pa"), (ta if ta is not None else F.lit(rules.ANY_TYPE)).alias("_ta"), va.alias("_va"),
-        (pb if pb is not None else F.lit(None).cast("string")).alias("_pb"),
-        (vb if vb is not None else F.lit(None).cast("double")).alias("_vb"),
-        rules.trigger_text(mode).alias("trigger"),
+        F.lit(list(S.MODE_NAMES).index(mode)).alias("mode_pos"), F.lit(mode).alias("mode"),
+        rules.shown_numbers(mode).alias("shown"), part.alias("part"),
+        (type_ if type_ is not None else F.lit(rules.ANY_TYPE)).alias("type"), value.alias("value"),
+        (other if other is not None else F.lit(None).cast("double")).alias("other"), F.lit(second).alias("second"))
+
+
+def mode_parts(readings: DataFrame, keys: list[str]) -> DataFrame:
+    """Narrow rows, one for each part of each violated mode: ``keys`` and
+    ``mode_pos, mode, shown, part, type, value, other, second`` (``shown``: the trigger's numbers).
+
+    HDF has two parts, which name each other's value in ``other``; all other modes have one.
+    """
+    td, p, o, lim = X.temp_diff(), X.power(), X.overstrain(), X.osf_limit()
+    low, hdf = p < F.lit(S.PWF_POWER_MIN), X.hdf_rule()
+    cold, slow = F.lit(S.HDF_TEMP_DIFF) - td, F.lit(S.HDF_RPM) - F.col(S.RPM)
+    excess = F.when(low, F.lit(S.PWF_POWER_MIN) - p).otherwise(p - F.lit(S.PWF_POWER_MAX))
+    parts = X.compact_array(
+        F.when(X.twf_rule(), _part("TWF", F.lit("twf"), F.col(S.WEAR) - F.lit(S.TWF_WEAR))),
+        F.when(hdf, _part("HDF", F.lit("hdf_temp"), cold, slow)),
+        F.when(hdf, _part("HDF", F.lit("hdf_rpm"), slow, cold, second=True)),
+        F.when(X.pwf_rule(), _part("PWF", F.when(low, "pwf_low").otherwise("pwf_high"), excess)),
+        F.when(o > lim, _part("OSF", F.lit("osf"), o - lim, type_=F.col(S.TYPE))),
     )
+    return rules.with_inputs(readings).select(*keys, F.inline(parts))
+
+
+def fold_parts(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """Parts with their ``risk`` back to a row a mode: ``keys, mode_pos, mode, value, risk, other, other_risk, shown, type``.
+
+    Parts of one reading meet by ``keys``, mode and both values. Rows that repeat all of these
+    have the same risk, so the group counts them and gives as many rows back.
+    """
+    second = F.col("second")
+    first = F.when(second, F.col("other")).otherwise(F.col("value"))
+    last = F.when(second, F.col("value")).otherwise(F.col("other"))
+    met = parts.groupBy(*keys, "mode_pos", "mode", first.alias("_first"), last.alias("_last")).agg(
+        F.max("shown").alias("shown"), F.max("type").alias("type"), F.sum(F.when(second, 0).otherwise(1)).cast("int").alias("_copies"),
+        F.max(F.when(~second, F.col("risk"))).alias("risk"), F.max(F.when(second, F.col("risk"))).alias("other_risk"))
+    return met.select(*keys, "mode_pos", "mode", F.col("_first").alias("value"), "risk", F.col("_last").alias("other"), "other_risk",
+                      "shown", "type", F.explode(F.array_repeat(F.lit(0), F.col("_copies"))).alias("_each")).drop("_each")
+
+
+def mean_risk() -> Column:
+    """A mode's risk over its folded parts."""
+    return F.when(F.col("other").isNotNull(), (F.col("risk") + F.col("other_risk")) / F.lit(2.0)).otherwise(F.col("risk"))
 
 
-def failure_modes(readings: DataFrame, model: RiskModel, exact: bool = False) -> DataFrame:
-    """One row per (reading, violated mode): the reading's columns plus
+def fold_modes(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """Parts with their ``risk`` back to modes with name, mean risk and trigger."""
+    name = F.create_map(*[F.lit(x) for kv in S.MODE_NAMES.items() for x in kv])[F.col("mode")]
+    trigger = rules.trigger_text(F.col("mode"), F.col("shown"), F.col("type"))
+    return fold_parts(parts, keys).select(
+        *keys, "mode", "mode_pos", name.alias("mode_name"), mean_risk().alias("risk"), trigger.alias("trigger"))
+
+
+def failure_modes(readings: DataFrame, model: RiskModel, exact: bool = False, keys: list[str] | None = None) -> DataFrame:
+    """One row per (reading, violated mode): the reading's ``keys`` (default ``udi``) and
     ``mode, mode_pos, mode_name, risk, trigger`` (modes in TWF, HDF, PWF, OSF order).
 
     HDF risk is the mean of its temperature and speed risks; PWF uses the low
     or high distribution by branch; OSF the distribution of the reading's type
     (unknown type: no OSF). ``exact=True`` when ``readings`` is the fitting data.
+    Where a sensor or the type is not a column of ``readings`` there is no mode.
+    For further columns join the result to the readings by the keys.
     """
-    td, p, o, lim = X.temp_diff(), X.power(), X.overstrain(), X.osf_limit()
-    low = p < F.lit(S.PWF_POWER_MIN)
-    modes = X.compact_array(
-        F.when(X.twf_rule(), _mode_struct("TWF", 0, F.lit("twf"), F.col(S.WEAR) - F.lit(S.TWF_WEAR))),
-        F.when(X.hdf_rule(), _mode_struct("HDF", 1, F.lit("hdf_temp"), F.lit(S.HDF_TEMP_DIFF) - td,
-                                          F.lit("hdf_rpm"), F.lit(S.HDF_RPM) - F.col(S.RPM))),
-        F.when(X.pwf_rule(), _mode_struct("PWF", 2, F.when(low, "pwf_low").otherwise("pwf_high"),
-                                          F.when(low, F.lit(S.PWF_POWER_MIN) - p).otherwise(p - F.lit(S.PWF_POWER_MAX)))),
-        F.when(o > lim, _mode_struct("OSF", 3, F.lit("osf"), o - lim, ta=F.col(S.TYPE))),
-    )
-    cols = readings.columns
-    x = readings.select("*", F.explode(modes).alias("_m")).select(*cols, "_m.*")
-    # second lookup only matters for HDF; other rows carry a NULL key, scattered there, and pass through
-    a = lookup(x, model, "_pa", "_ta", "_va", "_ra", exact)
-    b = lookup(a, model, "_pb", "_ta", "_vb", "_rb", exact)
-    risk = F.when(F.col("_pb").isNotNull(), (F.col("_ra") + F.col("_rb")) / F.lit(2.0)).otherwise(F.col("_ra"))
-    return b.select(*cols, "mode", "mode_pos", "mode_name", risk.alias("risk"), "trigger")
+    keys = keys or [S.UDI]
+    return fold_modes(lookup_parts(mode_parts(readings, keys), model, exact), keys)
 
 
 def mode_severity(risk: Column) -> Column:

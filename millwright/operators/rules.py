@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,16 @@ PARTS = ["twf", "hdf_temp", "hdf_rpm", "pwf_low", "pwf_high", "osf"]
 ANY_TYPE = ""  # type key of the parts that do not depend on the machine type
 
 
+def with_inputs(df: DataFrame) -> DataFrame:
+    """``df`` with all columns that the rules read. Where one is absent no rule can be judged:
+    the result has no row, and calibration and modes over it are empty."""
+    absent = [c for c in [*S.SENSORS, S.TYPE] if c not in df.columns]
+    if not absent:
+        return df
+    kinds = {c: "string" if c == S.TYPE else "double" for c in absent}
+    return df.select("*", *[F.lit(None).cast(k).alias(c) for c, k in kinds.items()]).where(F.lit(False))
+
+
 def derived_features(df: DataFrame) -> DataFrame:
     """Add temperature difference, power (W), overstrain (min·Nm) and the type's OSF limit."""
     return df.select(
@@ -86,21 +98,33 @@ def risk_calibration(df: DataFrame) -> DataFrame:
 
     ``part`` is one of :data:`PARTS`; ``type`` is the machine type for ``osf``
     and '' otherwise. Readings with a missing sensor contribute nothing to the
-    part that needs it.
+    part that needs it, and a table without one of the columns has no calibration.
     """
-    return df.select(F.explode(violation_parts(df)).alias("c")).select("c.part", "c.type", "c.value")
-
-
-def trigger_text(mode: str) -> Column:
-    """Human-readable trigger of a mode, from the reading's columns."""
-    if mode == "TWF":
-        return F.format_string("Tool wear %.1f min exceeds 200 min threshold", F.col(S.WEAR))
-    if mode == "HDF":
-        return F.format_string("Temp diff %.1fK < 8.6K AND RPM %.0f < 1380", X.temp_diff(), F.col(S.RPM))
-    if mode == "PWF":
-        return F.format_string("Power %.0fW outside 3500-9000W range", X.power())
-    if mode == "OSF":
-        return F.format_string(
-            "Wear×Torque %.0f minNm exceeds type %s limit %d", X.overstrain(), F.col(S.TYPE), X.osf_limit().cast("int")
-        )
-    raise ValueError(mode)
+    return with_inputs(df).select(F.inline(violation_parts(df)))
+
+
+def shown_numbers(mode: str) -> Column:
+    """The numbers in a mode's trigger text, from the reading's columns."""
+    numbers = {"TWF": [F.col(S.WEAR)], "HDF": [X.temp_diff(), F.col(S.RPM)], "PWF": [X.power()], "OSF": [X.overstrain()]}
+    return F.array(*[n.cast("double") for n in numbers[mode]])
+
+
+def trigger_text(mode: Column, shown: Column, type_: Column) -> Column:
+    """Human-readable trigger of a violated mode, from its :func:`shown_numbers` and the machine type;
+    numbers round as in :func:`X.fixed`."""
+    text = None
+    for name, words in S.TRIGGERS.items():
+        numbers = iter(range(2))
+        parts = []
+        for w in re.split(r"(\{\w+\})", words):
+            if w == "{type}":
+                parts.append(type_)
+            elif w == "{limit}":
+                parts.append(X.osf_limit(type_).cast("int").cast("string"))
+            elif w.startswith("{"):
+                parts.append(X.fixed(F.get(shown, F.lit(next(numbers))), 1 if w in S.ONE_DECIMAL else 0))
+            elif w:
+                parts.append(F.lit(w))
+        here = F.concat(*parts)
+        text = F.when(mode == name, here) if text is None else text.when(mode == name, here)
+    return text

@@ -8,48 +8,55 @@ transparent baseline score: the failure rate of the reading's product).
 
 from __future__ import annotations
 
+from dataclasses import replace
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millwright import schema as S
-from millwright.operators import fleet, ml, quality
-from millwright.operators import requests as RQ
-from millwright.operators import risk as RK
-from millwright.plans.registry import register, round_doubles
+from millwright.operators import fleet, metrics, ml, quality, report
+from millwright.operators.state import FittedState
+from millwright.plans.registry import fitted, register, round_doubles
 from millwright.plans.risk_queries import fitted_model
-from millwright.plans.sql import SPLIT_BUCKET, with_readings
+from millwright.plans.sql import SPLIT_HASH, with_readings
 from millwright.sources.readings import readings_from_events, readings_from_lineitem
-from millwright.sources.requests import requests_from_events, validated_requests
+from millwright.sources.requests import validated_requests
+
+def fitted_state(spark, sf_dir: str) -> FittedState:
+    """Models and feature profile of the event readings, from the session's store."""
+    def fit():
+        r = readings_from_events(spark, sf_dir)
+        return FittedState(suite=ml.train_suite(r), profile=quality.fit_profile(r))
 
-_SUITES: dict[tuple, ml.Suite] = {}
+    return fitted(spark, sf_dir, "events", fit)
 
 
 def fitted_suite(spark, sf_dir: str) -> ml.Suite:
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _SUITES:
-        _SUITES[key] = ml.train_suite(readings_from_events(spark, sf_dir))
-    return _SUITES[key]
+    return fitted_state(spark, sf_dir).suite
 
 
-_FM = ("udi, coalesce(air_temp_k, 0) AS air_temp_k, coalesce(process_temp_k, 0) AS process_temp_k, "
+_FM0 = ("udi, coalesce(air_temp_k, 0) AS air_temp_k, coalesce(process_temp_k, 0) AS process_temp_k, "
        "coalesce(rpm, 0) AS rpm, coalesce(torque_nm, 0) AS torque_nm, coalesce(tool_wear_min, 0) AS tool_wear_min, "
        "CASE WHEN type = 'H' THEN 1e0 ELSE 0e0 END AS type_h, CASE WHEN type = 'L' THEN 1e0 ELSE 0e0 END AS type_l, "
-       "CASE WHEN type = 'M' THEN 1e0 ELSE 0e0 END AS type_m, coalesce(machine_failure, 0) AS label, "
-       f"CASE WHEN {SPLIT_BUCKET} < 20 THEN 'test' ELSE 'train' END AS split")
+       "CASE WHEN type = 'M' THEN 1e0 ELSE 0e0 END AS type_m, coalesce(machine_failure, 0) AS label")
+_FM = (f"* EXCLUDE (rk, nk), CASE WHEN rk <= floor(nk * 2e-1 + 5e-1) THEN 'test' ELSE 'train' END AS split FROM ("
+       f"SELECT *, row_number() OVER (PARTITION BY label ORDER BY {SPLIT_HASH}, udi) AS rk, "
+       f"count(*) OVER (PARTITION BY label) AS nk FROM (SELECT {_FM0} FROM readings) f0) f1")
 
 
-@register("train_test_split", with_readings(f"SELECT udi, label, split FROM (SELECT {_FM} FROM readings) f", "events"))
+@register("train_test_split", with_readings(f"SELECT udi, label, split FROM (SELECT {_FM}) f", "events"))
 def q_train_test_split(spark, sf_dir):
     return ml.prepared(readings_from_events(spark, sf_dir)).select(S.UDI, "label", "split")
 
 
 @register("class_distribution", with_readings(
-    f"SELECT split, label, count(*) AS n FROM (SELECT {_FM} FROM readings) f GROUP BY split, label", "events"))
+    f"SELECT split, label, count(*) AS n FROM (SELECT {_FM}) f GROUP BY split, label", "events"))
 def q_class_distribution(spark, sf_dir):
     return ml.class_distribution(ml.prepared(readings_from_events(spark, sf_dir)))
 
 
 @register("scaled_features", with_readings(
-    f"WITH f AS (SELECT {_FM} FROM readings), st AS (SELECT "
+    f"WITH f AS (SELECT {_FM}), st AS (SELECT "
     + ", ".join(f"avg({c}) AS {c}_m, CASE WHEN stddev_pop({c}) > 0 THEN stddev_pop({c}) ELSE 1e0 END AS {c}_s"
                 for c in S.FEATURES)
     + " FROM f WHERE split = 'train') SELECT f.udi, f.split, "
@@ -73,16 +80,66 @@ for _key, _name in [("train_rf", "Random Forest"), ("train_gbt", "Gradient Boost
     register(_key)(_model_row(_name))
 
 
-@register("model_comparison")
-def q_model_comparison(spark, sf_dir):
+@register("trained_comparison")
+def q_trained_comparison(spark, sf_dir):
     return ml.model_comparison(fitted_suite(spark, sf_dir).metrics)
 
 
-@register("best_model")
-def q_best_model(spark, sf_dir):
+@register("trained_best")
+def q_trained_best(spark, sf_dir):
     return ml.best_model(fitted_suite(spark, sf_dir).metrics)
 
 
+# --- metrics of many models over one prediction table, with exact SQL ---------
+# The predictions are transparent scores of the line-item readings, one "model" each.
+
+_SCORERS = [("wear", "tool_wear_min", 150.0), ("torque", "torque_nm", 50.0), ("speed", "0 - rpm", -1380.0),
+            ("cooling", "air_temp_k - process_temp_k", -8.6), ("load", "tool_wear_min * torque_nm", 9000.0)]
+_PREDICTIONS = "\nUNION ALL\n".join(
+    f"SELECT '{m}' AS model, {i} AS pos, machine_failure AS label, CASE WHEN {e} >= {t:e} THEN 1 ELSE 0 END AS prediction, {e} AS score "
+    "FROM readings" for i, (m, e, t) in enumerate(_SCORERS))
+_BY_MODEL = f"""
+ p AS ({_PREDICTIONS}),
+ c AS (SELECT model, pos, count(*) FILTER (WHERE label = 0 AND prediction = 0) AS tn, count(*) FILTER (WHERE label = 0 AND prediction = 1) AS fp,
+   count(*) FILTER (WHERE label = 1 AND prediction = 0) AS fn, count(*) FILTER (WHERE label = 1 AND prediction = 1) AS tp FROM p GROUP BY model, pos),
+ h AS (SELECT model, score, sum(label) * 1e0 AS y, sum(1 - label) * 1e0 AS n FROM p WHERE score IS NOT NULL GROUP BY model, score),
+ r AS (SELECT *, sum(n) OVER (PARTITION BY model ORDER BY score) - n AS below FROM h),
+ a AS (SELECT model, sum(y * (below + n / 2e0)) / (sum(y) * sum(n)) AS auc FROM r GROUP BY model),
+ m AS (SELECT c.*, (tp + tn) * 1e0 / (tn + fp + fn + tp) AS accuracy, CASE WHEN tp + fp > 0 THEN tp * 1e0 / (tp + fp) ELSE 0e0 END AS precision,
+   CASE WHEN tp + fn > 0 THEN tp * 1e0 / (tp + fn) ELSE 0e0 END AS recall, 2e0 * tp / (2 * tp + fp + fn) AS f1, auc AS roc_auc
+   FROM c JOIN a ON a.model = c.model)
+"""
+_ROUNDED = "model, pos, tn, fp, fn, tp, " + ", ".join(f"round({c}, 4) AS {c}" for c in ("accuracy", "precision", "recall", "f1", "roc_auc"))
+
+
+def _by_model(spark, sf_dir):
+    r = readings_from_lineitem(spark, sf_dir)
+    each = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(i).alias("pos"), F.col(S.LABEL).alias("label"),
+                              F.when(F.expr(e) >= t, 1).otherwise(0).alias("prediction"), F.expr(e).alias("score"))
+                     for i, (m, e, t) in enumerate(_SCORERS)])
+    return metrics.model_metrics(r.select(F.inline(each)), ["model", "pos"])
+
+
+@register("model_metrics", with_readings(f"WITH {_BY_MODEL} SELECT {_ROUNDED}, 0 AS skipped, 0 AS unscored FROM m"))
+def q_model_metrics(spark, sf_dir):
+    return round_doubles(_by_model(spark, sf_dir))
+
+
+@register("model_comparison", with_readings(
+    f"WITH {_BY_MODEL} SELECT row_number() OVER (ORDER BY recall DESC, pos) AS place, {_ROUNDED} FROM m"))
+def q_model_comparison(spark, sf_dir):
+    """The models in order of recall; ``place`` is over a row for each model."""
+    table = _by_model(spark, sf_dir).drop("skipped", "unscored")
+    ranked = ml.model_comparison(table).withColumn("place", F.row_number().over(Window.orderBy(F.desc("recall"), "pos")))
+    return round_doubles(ranked)
+
+
+@register("best_model", with_readings(
+    f"WITH {_BY_MODEL} SELECT {_ROUNDED} FROM m ORDER BY recall DESC, roc_auc DESC NULLS LAST, pos LIMIT 1"))
+def q_best_model(spark, sf_dir):
+    return round_doubles(ml.best_model(_by_model(spark, sf_dir).drop("skipped", "unscored")))
+
+
 @register("feature_importance")
 def q_feature_importance(spark, sf_dir):
     rows = ml.feature_importance(fitted_suite(spark, sf_dir))
@@ -115,25 +172,8 @@ def q_predict(spark, sf_dir):
 @register("score_report")
 def q_score_report(spark, sf_dir):
     """Full report per valid request: risk, tier, outcome, confidence, modes with risk, anomaly, warnings."""
-    suite = fitted_suite(spark, sf_dir)
-    prof = quality.fit_profile(readings_from_events(spark, sf_dir))
-    req = _scored_requests(spark, sf_dir).select("request_id", S.TYPE, *S.SENSORS)
-    q = quality.reliability_warnings(quality.assess_quality(ml.score(suite, req), prof))
-    pct = F.col("p1") * 100.0
-    conf = ml.confidence(F.col("p1"), F.col("prediction"), F.col("confidence_component"))
-    base = q.select("request_id", S.TYPE, *S.SENSORS, "prediction", pct.alias("failure_risk"),
-                    ml.risk_tier(pct).alias("status"), conf.alias("confidence"),
-                    "anomaly_detected", "anomaly_score",
-                    F.concat_ws("; ", "range_warnings").alias("range_warnings"),
-                    F.concat_ws("; ", "z_warnings").alias("z_warnings"))
-    base = base.select("*", ml.confidence_label(F.col("confidence")).alias("confidence_label"))
-    modes = RK.failure_modes(req, fitted_model(spark, sf_dir), exact=False)
-    per = (modes.groupBy("request_id")
-           .agg(F.sort_array(F.collect_list(F.struct("mode_pos", "mode", "risk"))).alias("_m"))
-           .select("request_id", F.concat_ws(", ", F.transform(
-               "_m", lambda m: F.format_string("%s(%.0f%%)", m["mode"], m["risk"]))).alias("failure_modes")))
-    return base.join(per, "request_id", "left").select(
-        *base.columns, F.coalesce("failure_modes", F.lit("")).alias("failure_modes"))
+    state = replace(fitted_state(spark, sf_dir), risk=fitted_model(spark, sf_dir))
+    return report.score_report(_scored_requests(spark, sf_dir), state)
 
 
 # --- tier and confidence formulas over a baseline score ---------------------

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millwright.operators.state import FittedState, exists, load_state, save_state
+from millwright.session import ensure_checkpoint_dir
+
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, QueryFn] = {}
@@ -37,3 +41,11 @@ def round_doubles(df: DataFrame, digits: int = 4) -> DataFrame:
         else:
             out.append(F.col(f"`{f.name}`"))
     return df.select(out)
+
+
+def fitted(spark: SparkSession, sf_dir: str, name: str, fit: Callable[[], FittedState]) -> FittedState:
+    """The state ``name`` of a data folder from the session's store; fitted and saved where it is not there yet."""
+    path = f"{ensure_checkpoint_dir(spark)}/state-{name}-{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
+    if not exists(spark, f"{path}/manifest"):
+        save_state(spark, fit(), path)
+    return load_state(spark, path)

@@ -16,10 +16,6 @@ _SENSORS = ", ".join(S.SENSORS)
 _R4 = ", ".join(f"round({c}, 4) AS {c}" for c in S.SENSORS)
 
 
-def _validated(spark, sf_dir):
-    return RQ.validate_requests(requests_from_events(spark, sf_dir))
-
-
 @register("parse_requests", f"""
 SELECT request_id, malformed, has_rpm, has_torque, has_wear, has_airtemp, has_processtemp, has_type, raw_type
 FROM ({validated_sql()}) v""")
@@ -32,7 +28,7 @@ def q_parse_requests(spark, sf_dir):
 @register("validate_requests", f"""
 SELECT request_id, status, missing, invalid, type, {_R4} FROM ({validated_sql()}) v""")
 def q_validate_requests(spark, sf_dir):
-    v = _validated(spark, sf_dir)
+    v = validated_requests(spark, sf_dir)
     return round_doubles(v.select("request_id", "status", "missing", "invalid", S.TYPE, *S.SENSORS))
 
 
@@ -207,7 +203,7 @@ def _rule_predictions(spark, sf_dir):
 _CM_SQL = f"""SELECT CAST(sum(CASE WHEN y = 0 AND p = 0 THEN 1 ELSE 0 END) AS BIGINT) AS tn,
   CAST(sum(CASE WHEN y = 0 AND p = 1 THEN 1 ELSE 0 END) AS BIGINT) AS fp,
   CAST(sum(CASE WHEN y = 1 AND p = 0 THEN 1 ELSE 0 END) AS BIGINT) AS fn,
-  CAST(sum(CASE WHEN y = 1 AND p = 1 THEN 1 ELSE 0 END) AS BIGINT) AS tp
+  CAST(sum(CASE WHEN y = 1 AND p = 1 THEN 1 ELSE 0 END) AS BIGINT) AS tp, 0 AS skipped
 FROM (SELECT machine_failure AS y, {_RULE_PRED} AS p FROM readings) x"""
 
 
@@ -220,7 +216,7 @@ def q_confusion_matrix(spark, sf_dir):
 SELECT tn, fp, fn, tp, round((tp + tn) * 1e0 / (tn + fp + fn + tp), 4) AS accuracy,
   round(CASE WHEN tp + fp > 0 THEN tp * 1e0 / (tp + fp) ELSE 0e0 END, 4) AS precision,
   round(CASE WHEN tp + fn > 0 THEN tp * 1e0 / (tp + fn) ELSE 0e0 END, 4) AS recall,
-  round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2e0 * tp / (2e0 * tp + fp + fn) ELSE 0e0 END, 4) AS f1
+  round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2e0 * tp / (2e0 * tp + fp + fn) ELSE 0e0 END, 4) AS f1, skipped
 FROM ({_CM_SQL}) c"""))
 def q_classification_metrics(spark, sf_dir):
     return round_doubles(metrics.classification_metrics(_rule_predictions(spark, sf_dir)))

@@ -7,19 +7,14 @@ from pyspark.sql import functions as F
 from millwright import schema as S
 from millwright.operators import risk as RK
 from millwright.operators import rules
-from millwright.plans.registry import register, round_doubles
+from millwright.operators.state import FittedState
+from millwright.plans.registry import fitted, register, round_doubles
 from millwright.plans.sql import READINGS_EVENTS, READINGS_LINEITEM, with_readings
 from millwright.sources.readings import readings_from_events, readings_from_lineitem
 
-_MODELS: dict[tuple, RK.RiskModel] = {}
-
-
 def fitted_model(spark, sf_dir: str) -> RK.RiskModel:
-    """Risk model of the lineitem readings, fitted once per session and data folder."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _MODELS:
-        _MODELS[key] = RK.fit_risk_model(readings_from_lineitem(spark, sf_dir))
-    return _MODELS[key]
+    """Risk model of the lineitem readings, from the session's store."""
+    return fitted(spark, sf_dir, "risk", lambda: FittedState(risk=RK.fit_risk_model(readings_from_lineitem(spark, sf_dir)))).risk
 
 
 # Calibration in SQL: one SELECT per part over the violating readings.
@@ -39,18 +34,22 @@ def _cal_sql(src: str = "readings") -> str:
 
 
 _MODES_SQL = """
- SELECT udi, 'TWF' AS mode, cume_dist() OVER (ORDER BY tool_wear_min - 200e0) * 100e0 AS risk
+ SELECT udi, 'TWF' AS mode, cume_dist() OVER (ORDER BY tool_wear_min - 200e0) * 100e0 AS risk,
+   printf('Tool wear %.1f min exceeds 200 min threshold', tool_wear_min) AS trigger
    FROM readings WHERE tool_wear_min > 200
  UNION ALL
  SELECT udi, 'HDF', (cume_dist() OVER (ORDER BY 86e-1 - (process_temp_k - air_temp_k)) * 100e0
-                    + cume_dist() OVER (ORDER BY 1380e0 - rpm) * 100e0) / 2e0
+                    + cume_dist() OVER (ORDER BY 1380e0 - rpm) * 100e0) / 2e0,
+   printf('Temp diff %.1fK < 8.6K AND RPM %.0f < 1380', process_temp_k - air_temp_k, rpm)
    FROM readings WHERE process_temp_k - air_temp_k < 86e-1 AND rpm < 1380
  UNION ALL
  SELECT udi, 'PWF', cume_dist() OVER (PARTITION BY p < 3500e0
-                    ORDER BY CASE WHEN p < 3500e0 THEN 3500e0 - p ELSE p - 9000e0 END) * 100e0
+                    ORDER BY CASE WHEN p < 3500e0 THEN 3500e0 - p ELSE p - 9000e0 END) * 100e0,
+   printf('Power %.0fW outside 3500-9000W range', p)
    FROM (SELECT udi, torque_nm * rpm * pi() / 30e0 AS p FROM readings) x WHERE p < 3500e0 OR p > 9000e0
  UNION ALL
- SELECT udi, 'OSF', cume_dist() OVER (PARTITION BY type ORDER BY o - lim) * 100e0
+ SELECT udi, 'OSF', cume_dist() OVER (PARTITION BY type ORDER BY o - lim) * 100e0,
+   printf('Wear×Torque %.0f minNm exceeds type %s limit %d', o, type, CAST(lim AS INTEGER))
    FROM (SELECT udi, type, tool_wear_min * torque_nm AS o,
            CASE type WHEN 'L' THEN 11000e0 WHEN 'M' THEN 12000e0 WHEN 'H' THEN 13000e0 END AS lim FROM readings) y
    WHERE o > lim"""
@@ -91,14 +90,11 @@ SELECT udi, round(86e-1 - (process_temp_k - air_temp_k), 4) AS temp_margin, 1380
         + cume_dist() OVER (ORDER BY 1380e0 - rpm) * 100e0) / 2e0, 4) AS risk
 FROM readings WHERE process_temp_k - air_temp_k < 86e-1 AND rpm < 1380"""))
 def q_hdf_risk(spark, sf_dir):
-    m = fitted_model(spark, sf_dir)
-    h = rules.rule_hdf(readings_from_lineitem(spark, sf_dir)).select(
-        S.UDI, "temp_margin", "rpm_margin", F.lit("hdf_temp").alias("_pt"), F.lit("hdf_rpm").alias("_pr"),
-        F.lit(rules.ANY_TYPE).alias("_t"))
-    h = RK.lookup_exact(h, m, "_pt", "_t", "temp_margin", "risk_temp")
-    h = RK.lookup_exact(h, m, "_pr", "_t", "rpm_margin", "risk_rpm")
-    return round_doubles(h.select(S.UDI, "temp_margin", "rpm_margin", "risk_temp", "risk_rpm",
-                                  ((F.col("risk_temp") + F.col("risk_rpm")) / F.lit(2.0)).alias("risk")))
+    """Both parts of each HDF reading, folded back to a row (one lookup)."""
+    parts = RK.mode_parts(readings_from_lineitem(spark, sf_dir), [S.UDI]).where("mode = 'HDF'")
+    h = RK.fold_parts(RK.lookup_parts(parts, fitted_model(spark, sf_dir), exact=True), [S.UDI])
+    return round_doubles(h.select(S.UDI, F.col("value").alias("temp_margin"), F.col("other").alias("rpm_margin"),
+                                  F.col("risk").alias("risk_temp"), F.col("other_risk").alias("risk_rpm"), RK.mean_risk().alias("risk")))
 
 
 @register("pwf_risk", with_readings("""
@@ -130,11 +126,11 @@ def q_osf_risk(spark, sf_dir):
 
 
 @register("failure_modes", with_readings(
-    f"SELECT udi, mode, round(risk, 4) AS risk FROM ({_MODES_SQL}) m"))
+    f"SELECT udi, mode, round(risk, 4) AS risk, trigger FROM ({_MODES_SQL}) m"))
 def q_failure_modes(spark, sf_dir):
     r = readings_from_lineitem(spark, sf_dir)
     fm = RK.failure_modes(r, fitted_model(spark, sf_dir), exact=True)
-    return round_doubles(fm.select(S.UDI, "mode", "risk"))
+    return round_doubles(fm.select(S.UDI, "mode", "risk", "trigger"))
 
 
 @register("failure_mode_summary", with_readings(f"""

@@ -47,8 +47,8 @@ def with_readings(body: str, source: str = "lineitem") -> str:
     return f"WITH readings AS ({r}) {body}"
 
 
-# Split bucket of a reading: first 32 bits of md5(udi) in [0, 100) < 20 -> test.
-SPLIT_BUCKET = "CAST('0x' || substr(md5(CAST(udi AS VARCHAR)), 1, 8) AS BIGINT) % 100"
+# Split order of a reading within its class: first 32 bits of md5(udi), then udi.
+SPLIT_HASH = "CAST('0x' || substr(md5(CAST(udi AS VARCHAR)), 1, 8) AS BIGINT)"
 
 
 def requests_sql() -> str:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
 # Canonical (snake case) column names of the readings table.
 UDI = "udi"
 PRODUCT_ID = "product_id"
@@ -130,6 +128,14 @@ ROUTES = [
     (["statistic", "summary"], "statistical_summary"),
     (["limit", "threshold"], "check_operating_limits"),
 ]
+# Trigger text of a mode; the numbers named here have one decimal, all others none.
+ONE_DECIMAL = ["{wear}", "{temp_diff}"]
+TRIGGERS = {
+    "TWF": "Tool wear {wear} min exceeds 200 min threshold",
+    "HDF": "Temp diff {temp_diff}K < 8.6K AND RPM {rpm} < 1380",
+    "PWF": "Power {power}W outside 3500-9000W range",
+    "OSF": "Wear×Torque {overstrain} minNm exceeds type {type} limit {limit}",
+}
 # Model names, in training order (a full tie goes to the first).
 MODEL_NAMES = [
     "Random Forest",
@@ -140,20 +146,6 @@ MODEL_NAMES = [
 ]
 # ---------------------------------------------------------------------------
 
-READINGS_SCHEMA = T.StructType([
-    T.StructField(UDI, T.LongType()),
-    T.StructField(PRODUCT_ID, T.StringType()),
-    T.StructField(TYPE, T.StringType()),
-    T.StructField(AIR, T.StringType()),
-    T.StructField(PROCESS, T.StringType()),
-    T.StructField(RPM, T.StringType()),
-    T.StructField(TORQUE, T.StringType()),
-    T.StructField(WEAR, T.StringType()),
-    T.StructField(LABEL, T.StringType()),
-    *[T.StructField(m, T.StringType()) for m in MODE_COLS],
-])
-"""Raw CSV schema: everything but the id read as text, typed by ``clean_readings``."""
-
 # Features the classifiers see, in a fixed order (one-hot type in H, L, M order).
 NUMERIC_FEATURES = [AIR, PROCESS, RPM, TORQUE, WEAR]
 ONE_HOT = ["type_h", "type_l", "type_m"]
