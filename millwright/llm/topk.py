@@ -1,23 +1,27 @@
 """Operator 10: exact top-k inner products without random access.
 
-The candidates are dealt into blocks; each block holds one list for each
-dimension, sorted by component.  A query reads every list from the end where its
-own component makes the products large, a stretch at a time.  A candidate's lower
-bound takes the worst end of each list not yet read for it, its upper bound the
-value the reading has come to.  Candidates whose upper bound is under the k-th
-lower bound are out; once few enough are left, reading stops and their scores
-are worked out whole.  The blocks' winners meet in a ranking by query.
-
-Queries come in blocks too, so each task holds one block of either side,
-whatever the size of the tables.
-
-Defined cases: vectors that are null, empty, of another dimension than most
-rows' (the commonest; ties: the larger), or hold a null or non-finite component
-take no part; a query with no other vector gives no row; ties go to the smaller
-vec_id; repeated rows of a vec_id are one candidate (the largest vector by its
-components) and one query; a null vec_id takes no part.  Components are exact up
-to |floor(256 x)| < 2**26 for up to 2**11 dimensions: within that, doubles
-hold every partial sum exactly.
+The candidates are dealt into blocks.  A block holds one list for each dimension, sorted by
+component.  For a query each list is sorted by what it adds to the score: from its large end
+where the query's component is positive, from its small end where it is negative; a zero adds
+nothing and its list is never opened.  The lists are read in turn, in stretches that double:
+
+* an entry read is added to what is seen of its candidate;
+* a candidate's lower bound takes the least entry of each list that it has not been seen in, its
+  upper bound the entry that the list has come to (its frontier);
+* candidates whose upper bound is below the k-th lower bound are out.  Once no more than ``4 * k``
+  are left no outsider can qualify: reading stops, and only their scores are worked out whole.
+
+``Lists.read`` counts the entries.  The blocks' winners meet in a ranking by query.  A candidate
+block travels once, to the task that keeps it; the queries' blocks stream past it, so a task holds
+one candidate block and a batch of query blocks, whatever the size of the tables.
+
+Defined cases: vectors that are null, empty, of another dimension than most rows' (the
+commonest; ties: the larger), or hold a null or non-finite component take no part, nor does a
+null vec_id; a query with no other vector gives no row; ties go to the smaller vec_id.  Every
+row is a candidate, repeated ones too; equal rows are one entry with a count, and are ranked one
+after another.  Rows that share a query's vec_id are none of its candidates; of several vectors
+of one vec_id the largest by its components is the query.  A block whose scores may not fit 64
+bits raises: components under 2**26 in absolute value and up to 2**11 dimensions always fit.
 """
 
 from __future__ import annotations
@@ -27,75 +31,86 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millwright.llm.common import store
+from millwright.llm.common import discard, store
 
-
-#: Shares of each list read before the bounds are looked at again.
-STOPS = (0.5, 0.75, 0.875, 1.0)
+#: Entries of each list in the first stretch.
+FIRST = 64
 
 
 class Lists:
-    """The sorted lists of a block of candidates, read for many queries at once.
-
-    After ``depth`` entries of a list are read from its large end, a candidate's component is
-    known if it is at least the entry last read (the frontier); if not, it lies between the
-    list's other end and the frontier.  The same holds from the small end, where queries
-    with a negative component read.
-    """
+    """The sorted lists of a block of candidates."""
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray):
-        reach = np.abs(rows).max(initial=0.0)
-        kind = np.float32 if reach * reach * rows.shape[1] < 2**24 else np.float64  # sums stay exact
-        self.ids, self.rows = ids, rows.astype(kind)
-        self.lists = np.sort(self.rows, axis=0)
-
-    def bounds(self, queries: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        v, first, last = self.rows, self.lists[0], self.lists[-1]
-        high, low = self.lists[len(v) - depth], self.lists[depth - 1]
-        plus, minus = np.maximum(queries, 0), np.minimum(queries, 0)
-        upper = plus @ np.maximum(v, high).T + minus @ np.minimum(v, low).T
-        lower = plus @ np.where(v >= high, v, first).T + minus @ np.where(v <= low, v, last).T
-        return lower, upper
-
-    def top(self, query_ids: np.ndarray, queries: np.ndarray, k: int):
-        """(query place, id, score) of the k best for each query, its own row left out."""
+        self.ids, self.rows = ids, rows
+        self.order = np.argsort(rows, axis=0, kind="stable").astype(np.int32)
+        self.sorted = np.take_along_axis(rows, self.order, axis=0)
+        self.reach = np.abs(rows).max(axis=0, initial=0.0)
+        self.read = 0
+
+    def stretch(self, q: np.ndarray, up: np.ndarray, start: int, stop: int) -> tuple[np.ndarray, np.ndarray]:
+        """(candidates, what they get) of the entries ``start`` to ``stop`` of each list, a column a list."""
         n = len(self.ids)
-        asked = queries.astype(self.rows.dtype)
-        alive = self.ids[None, :] != query_ids[:, None]
-        for share in STOPS:
-            lower, upper = self.bounds(asked, max(1, int(share * n)))
-            lower[~alive] = -np.inf
-            if n > k:
-                alive &= upper >= np.partition(lower, n - k, axis=1)[:, n - k, None]
-            if alive.sum() <= 8 * k * len(queries):
-                break
-        at, who = np.nonzero(alive)
-        scores = np.concatenate(
-            [
-                (self.rows[who[i : i + 65536]].astype(np.int64) * queries[at[i : i + 65536]].astype(np.int64)).sum(axis=1)
-                for i in range(0, max(1, len(at)), 65536)
-            ]
-        )
-        order = np.lexsort((self.ids[who], -scores, at))
-        at, who, scores = at[order], who[order], scores[order]
-        place = np.arange(len(at)) - np.searchsorted(at, at)
-        best = place < k
-        return at[best], self.ids[who[best]], scores[best]
-
-
-def _blocks(rows: DataFrame, size: int, name: str) -> DataFrame:
-    """``name``, ids, vectors: about ``size`` rows to a block, dealt by a hash of the id."""
-    n = max(1, -(-rows.count() // size))
+        who = np.where(up, self.order[n - stop : n - start][::-1], self.order[start:stop])
+        value = np.where(up, self.sorted[n - stop : n - start][::-1], self.sorted[start:stop])
+        return who, value * q
+
+    def survivors(self, query_id: int, query: np.ndarray, k: int) -> np.ndarray:
+        """Places of the candidates that may be among the k best; all of those are."""
+        n, used = len(self.ids), np.flatnonzero(query)
+        alive = np.flatnonzero(self.ids != query_id)
+        if not len(used) or len(alive) <= 4 * k:
+            return alive
+        part = self if len(used) == len(query) else self._only(used)
+        q = query[used]
+        up = q > 0
+        worst = np.where(up, part.sorted[0], part.sorted[-1]) * q
+        slack = 1e-12 * float(np.abs(q) @ part.reach[: len(q)])  # sums of whole numbers under 2**53 need none
+        seen, unread = np.zeros(n), np.ones((n, len(used)), np.float32)
+        columns, at, stop = np.arange(len(used)), 0, min(n, max(FIRST, k))
+        while True:
+            who, gets = part.stretch(q, up, at, stop)
+            self.read += who.size
+            seen += np.bincount(who.ravel(), weights=gets.ravel(), minlength=n)
+            unread[who, columns] = 0
+            if stop == n:
+                lower = upper = seen[alive]
+            else:
+                left = unread[alive].astype(float)
+                lower, upper = seen[alive] + left @ worst, seen[alive] + left @ gets[-1]
+            best = np.partition(lower, len(alive) - k)[len(alive) - k]
+            alive = alive[upper + slack >= best - slack]
+            if stop == n or len(alive) <= 4 * k:
+                return alive
+            at, stop = stop, min(n, 2 * stop)
+
+    def _only(self, used: np.ndarray) -> Lists:
+        part = object.__new__(Lists)
+        part.ids, part.order, part.sorted, part.reach = self.ids, self.order[:, used], self.sorted[:, used], self.reach[used]
+        return part
+
+    def top(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(places, scores) of the k best, ties to the smaller id."""
+        if float(np.abs(query) @ self.reach) >= 2.0**62:
+            raise ValueError("scores may not fit 64 bits")
+        left = self.survivors(query_id, query, k)
+        scores = (self.rows[left].astype(np.int64) * query.astype(np.int64)).sum(axis=1)
+        order = np.lexsort((self.ids[left], -scores))[:k]
+        return left[order], scores[order]
+
+
+def _blocks(rows: DataFrame, size: int, n: int) -> DataFrame:
+    """``block``, ids, copies, flat (the vectors one after another): about ``size`` rows of ``n`` to a block."""
+    count = max(1, -(-n // size))
     return (
-        rows.withColumn(name, F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int"))
-        .groupBy(name)
-        .agg(F.collect_list(F.struct("vec_id", "parts")).alias("rows"))
-        .select(name, F.col("rows.vec_id").alias("ids"), F.flatten("rows.parts").alias("flat"))
+        rows.withColumn("block", F.pmod(F.xxhash64("vec_id", "parts"), F.lit(count)).cast("int"))
+        .groupBy("block")
+        .agg(F.collect_list(F.struct("vec_id", "copies", "parts")).alias("rows"))
+        .select("block", F.col("rows.vec_id").alias("ids"), F.col("rows.copies").alias("copies"), F.flatten("rows.parts").alias("flat"))
     )
 
 
 def whole_vectors(vectors: DataFrame) -> DataFrame:
-    """vec_id, parts (floor(256 x) of each component as double): the vectors that take part."""
+    """vec_id, parts (floor(256 x) of each component as double), copies: the vectors that take part."""
     rows = (
         vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("e"))
         .where("vec_id is not null and size(e) > 0")
@@ -105,50 +120,49 @@ def whole_vectors(vectors: DataFrame) -> DataFrame:
     sizes = rows.groupBy(F.size("parts").alias("dims")).count().orderBy(F.desc("count"), F.desc("dims")).limit(1)
     dims = sizes.first()
     rows = rows.where(F.size("parts") == (dims["dims"] if dims else 0))
-    return rows.groupBy("vec_id").agg(F.max("parts").alias("parts"))
+    return rows.groupBy("vec_id", "parts").agg(F.count(F.lit(1)).alias("copies"))
 
 
-def top_k(
-    vectors: DataFrame, every: int, k: int, block: int = 4096, query_block: int = 256
-) -> DataFrame:
+def top_k(vectors: DataFrame, every: int, k: int, block: int = 4096, query_block: int = 256) -> DataFrame:
     """query_id, rank, vec_id, score for the rows whose id is divisible by ``every``."""
     rows = store(whole_vectors(vectors), "vectors")
-    candidates = store(_blocks(rows, block, "block"), "vector-blocks")
-    queries = _blocks(rows.where(F.col("vec_id") % every == 0), query_block, "query_block")
-    blocks = candidates.select("block").withColumnRenamed("block", "to_block")
+    n = rows.count()
+    asked = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.max("parts").alias("parts"), F.lit(1).cast("long").alias("copies"))
+    queries = _blocks(asked, query_block, max(1, n // every))
+    count = max(1, -(-n // block))
     # one row for each pair of blocks, not of vectors
-    n_blocks = blocks.agg(F.max("to_block")).first()[0]
-    dealt = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks or 0)))).select(
-        "block", F.col("ids").alias("query_ids"), F.col("flat").alias("query_flat")
-    )
-    n_pairs = (n_blocks or 0) + 1
-    pairs = dealt.join(candidates, "block").repartition(n_pairs, "block").sortWithinPartitions("block")
+    dealt = queries.select(F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("block"), F.lit(1).alias("kind"), "ids", "copies", "flat")
+    held = _blocks(rows, block, n).select("block", F.lit(0).alias("kind"), "ids", "copies", "flat")
+    both = held.unionByName(dealt).repartition(count, "block").sortWithinPartitions("block", "kind")
 
     def run(batches):
-        cached = None
+        at, lists, copies = None, None, None
         for batch in batches:
             for i in range(batch.num_rows):
                 part = batch.slice(i, 1)
-                ids, flat, own, asked = (
-                    part[c].flatten().to_numpy(zero_copy_only=False) for c in ("ids", "flat", "query_ids", "query_flat")
-                )
-                if not len(ids) or not len(own):
-                    continue
-                if cached is None or cached[0] != batch["block"][i].as_py():
-                    cached = (batch["block"][i].as_py(), Lists(ids, flat.reshape(len(ids), -1)))
-                at, v, s = cached[1].top(own, asked.reshape(len(own), -1), k)
-                q = own[at]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.int64())],
-                    names=["query_id", "vec_id", "score"],
-                )
-
-    best = pairs.select("block", "ids", "flat", "query_ids", "query_flat").mapInArrow(
-        run, "query_id long, vec_id long, score long"
-    )
+                ids, many, flat = (part[c].flatten().to_numpy(zero_copy_only=False) for c in ("ids", "copies", "flat"))
+                here = batch["block"][i].as_py()
+                if batch["kind"][i].as_py() == 0:
+                    at, lists, copies = here, Lists(ids, flat.reshape(len(ids), -1)), many
+                elif at == here:
+                    found = [(q, *lists.top(q, v, k)) for q, v in zip(ids.tolist(), flat.reshape(len(ids), -1))]
+                    places = np.concatenate([f[1] for f in found])
+                    times = np.minimum(copies[places], k)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(np.repeat(np.repeat(ids, [len(f[1]) for f in found]), times)),
+                            pa.array(np.repeat(lists.ids[places], times)),
+                            pa.array(np.repeat(np.concatenate([f[2] for f in found]), times)),
+                        ],
+                        names=["query_id", "vec_id", "score"],
+                    )
+
+    best = both.mapInArrow(run, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    out = store(ranked.select("query_id", "rank", "vec_id", "score"), "top")
+    discard(rows)
+    return out
 
 
 def op10_topk(vectors: DataFrame) -> DataFrame:
