@@ -167,7 +167,9 @@ def postings(sigs: DataFrame) -> DataFrame:
         .select("node", F.explode(F.expr(f"slice(lists, 1, size(lists) - {MATCHES - 1})")).alias("l"))
         .select("node", "l.coord", "l.value")
     )
-    return store(kept.join(nodes.select("node", "n", *parts), "node"), "minhash-postings")
+    out = store(kept.join(nodes.select("node", "n", *parts), "node"), "minhash-postings")
+    discard(nodes)
+    return out
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -242,13 +244,17 @@ def confirm(pairs: DataFrame, docs: DataFrame, size: int, share: int, merge: boo
 
 
 def link_near(sigs: DataFrame, docs: DataFrame, size: int, share: int, rounds: int = 3) -> DataFrame:
-    """node, component for the nodes (smallest doc_id of a set) that have a link to another set."""
+    """node, component for the nodes (smallest doc_id of a set) that have a link to another set.
+
+    ``sigs``, a stored table, is deleted once its postings are written.
+    """
     posted = postings(sigs)
+    discard(sigs)
     key = ["coord", "value"]
     nodes = posted.select("node").distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(nodes.hint("merge"), "node", "left_semi")
     texts = store(texts, "candidate-texts").withColumnRenamed("node", "doc_id")
-    joined, rest = None, posted.withColumn("component", F.col("node"))
+    joined, rest, source = None, posted.withColumn("component", F.col("node")), posted
 
     def against(left: DataFrame, right: DataFrame, extra: Column | None = None) -> DataFrame:
         met = (F.col("l.coord") == F.col("r.coord")) & (F.col("l.value") == F.col("r.value"))
@@ -262,6 +268,7 @@ def link_near(sigs: DataFrame, docs: DataFrame, size: int, share: int, rounds: i
             named = rest.drop("component").join(joined, "node", "left")
             named = named.withColumn("component", F.coalesce("component", "node"))
         named = store(named, "named-postings")
+        discard(source)
         counted = named.groupBy(*key, "component").agg(F.count("*").alias("members"))
         turn = F.xxhash64("component", "coord", F.lit(step))
         main = counted.groupBy(*key).agg(
@@ -273,10 +280,13 @@ def link_near(sigs: DataFrame, docs: DataFrame, size: int, share: int, rounds: i
         return out
 
     def with_links(pairs: DataFrame) -> DataFrame:
-        links = store(confirm(pairs, texts, size, share, merge=joined is None), "near-links")
+        found = store(confirm(pairs, texts, size, share, merge=joined is None), "near-links")
+        links = found
         if joined is not None:
-            links = links.unionByName(joined.select(F.col("node").alias("a"), F.col("component").alias("b")))
-        return components(links)
+            links = found.unionByName(joined.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        out = components(links)
+        discard(found, *([joined] if joined is not None else []))
+        return out
 
     for step in range(rounds):
         lists = open_lists(step)
@@ -287,7 +297,8 @@ def link_near(sigs: DataFrame, docs: DataFrame, size: int, share: int, rounds: i
         best = F.max(F.struct(_collisions("l", "r").alias("hits"), F.col("r.node").alias("b"))).alias("best")
         pairs = store(stars.agg(best).select("a", "best.b"), "star-pairs")
         joined = with_links(pairs)
-        rest = lists.drop("main")
+        discard(pairs)
+        rest, source = lists.drop("main"), lists
 
     # what is left: members outside the largest component of a list, against the whole list
     lists = open_lists(rounds)
@@ -297,7 +308,7 @@ def link_near(sigs: DataFrame, docs: DataFrame, size: int, share: int, rounds: i
     pairs = against(lists.where("component <> main"), lists, across)
     pairs = store(pairs.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct(), "cross-pairs")
     out = with_links(pairs)
-    discard(posted, lists, pairs, texts)
+    discard(lists, pairs, texts)
     return out
 
 
@@ -306,9 +317,10 @@ def near_dedup(docs: DataFrame, size: int = 2, share: int = 80) -> DataFrame:
 
     Links documents whose sets of ``size``-word shingles have 100 * intersection >= ``share`` * union.
     """
-    sigs = store(signatures(docs, size), "minhash")
+    wide = store(signatures(docs, size), "minhash")
+    sigs = store(wide.select("doc_id", "n_shingles", "set_key"), "minhash-sets")
     told = sigs.where("doc_id is not null")
-    linked = link_near(told, docs.where("doc_id is not null"), size, share)
+    linked = link_near(wide.where("doc_id is not null"), docs.where("doc_id is not null"), size, share)
     # classes of equal sets, and the rows of one doc_id, are links too
     classes = told.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("node"))
     member = told.where("set_key is not null").select("doc_id", "set_key").distinct()
