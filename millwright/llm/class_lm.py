@@ -77,14 +77,11 @@ class Vocabulary:
         self.n_texts = texts.count()
         row = self.counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
         self.tokens, self.types = row["n"] + self.n_texts, row["v"] + (1 if self.n_texts else 0)
-        top = self.counts.orderBy(F.desc("n"), "word").limit(common).collect()  # bounded by ``common``
+        top = self.frequent(common)
         self.common, self.n = [bytes(r["word"]) for r in top], np.array([r["n"] for r in top], float)
         self.end = len(top) + 1
         self.often = int((self.n >= least).sum())  # common words that get classes
-        outside = self.counts
-        if top:
-            last, word = top[-1]["n"], F.lit(bytearray(top[-1]["word"]))
-            outside = outside.where((F.col("n") < last) | (F.col("n") == last) & (F.col("word") > word))
+        outside = self.counts.where(F.col("n") < self.floor) if top else self.counts
         numbered = outside.where(F.col("n") >= least).withColumn("number", F.monotonically_increasing_id())
         rest = outside.where(F.col("n") < least).withColumn("number", F.lit(None).cast("long"))
         self.outside = store(numbered.unionByName(rest), "word-numbers")
@@ -97,6 +94,26 @@ class Vocabulary:
         self.rare_types = max(0, self.types - 1 - self.often - (self.size - self.end - 1)) if self.n_texts else 0
 
 
+    def frequent(self, common: int) -> list:
+        """The words that occur ``floor`` times or more, the most frequent first: no more than ``common``.
+
+        The floor comes from a histogram of the counts by their eight highest bits, so that only the
+        words above it are collected, not each task's best.
+        """
+        low = F.greatest(F.length(F.bin("n")) - 8, F.lit(0))
+        bins = self.counts.select("n", low.alias("low")).select(F.expr("shiftleft(shiftright(n, low), low)").alias("at"))
+        room, self.floor = common, None
+        for b in bins.groupBy("at").count().orderBy(F.desc("at")).collect():
+            room -= b["count"]
+            if room < 0:
+                break
+            self.floor = b["at"]
+        if self.floor is None:
+            return []
+        found = self.counts.where(F.col("n") >= self.floor).collect()
+        return sorted(found, key=lambda r: (-r["n"], bytes(r["word"])))
+
+
 def encode(docs: DataFrame, v: Vocabulary) -> DataFrame:
     """doc_id, ids (32-bit numbers of the words), and of the words that are not common: ``found`` of them in
     training, ``logs`` (log10 of counts + 0.1) and ``own_logs`` (the same, but log10 of counts for those with a class)."""
