@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -102,6 +101,3 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_filter_audit", filter_audit.ORACLE)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.op13_filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-
-
-query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
