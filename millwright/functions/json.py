@@ -15,10 +15,13 @@ from pyspark.sql import functions as F
 _KEYS, _VALUES, _PLAIN = "__json_keys", "__json_values", "__json_plain"
 
 
-def read_objects(df: DataFrame, text: Column) -> DataFrame:
+def read_objects(df: DataFrame, text: Column, value: str = "string") -> DataFrame:
     """``df`` with the entries of ``text``, for :func:`has_key`, :func:`raw_value`, :func:`is_object`,
     :func:`is_json`; :func:`without_entries` takes them away again.
 
+    Values are read as ``string``, or as ``variant``, which keeps their JSON type (an object nested in
+    a value must not repeat a key then).
+
     Each stage is a projection of its own, so that every parse is evaluated once a row. Only a text
     that is no object is parsed a second time, to tell other JSON values from no JSON.
     """
@@ -26,9 +29,11 @@ def read_objects(df: DataFrame, text: Column) -> DataFrame:
     s = df.select("*", text.alias("__json_text"))
     s = s.select("*", mark.alias("__json_mark"))
     s = s.select("*", F.concat(F.lit("["), "__json_text", F.lit(',{"end":"'), "__json_mark", F.lit('"}]')).alias("__json_in"))
-    s = s.select("*", F.from_json("__json_in", "array<map<string,string>>").alias("__json_doc"))
+    s = s.select("*", F.from_json("__json_in", f"array<map<string,{value}>>").alias("__json_doc"))
     doc = F.col("__json_doc")
-    whole = (F.size(doc) == 2) & (F.get(doc, F.lit(1))["end"] == F.col("__json_mark"))
+    end = F.get(doc, F.lit(1))["end"]
+    end = F.try_variant_get(end, "$", "string") if value == "variant" else end
+    whole = (F.size(doc) == 2) & (end == F.col("__json_mark"))
     s = s.select("*", F.when(whole, F.get(doc, F.lit(0))).alias("__json_map"))
     other = F.from_json("__json_in", "array<string>")
     tail = F.concat(F.lit('{"end":"'), "__json_mark", F.lit('"}'))
@@ -55,6 +60,16 @@ def object_size() -> Column:
     return F.when(is_object(), F.size(_KEYS))
 
 
+def entry_names() -> Column:
+    """The distinct keys; null for no object."""
+    return F.array_distinct(_KEYS)
+
+
+def last_value(name: Column) -> Column:
+    """The last value of the key ``name``, for names that are columns."""
+    return F.get(F.col(_VALUES), (F.array_position(F.col(_KEYS), name) - 1).cast("int"))
+
+
 def has_key(key: str) -> Column:
     return F.coalesce(F.array_position(_KEYS, key) > 0, F.lit(False))
 
