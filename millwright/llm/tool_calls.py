@@ -1,21 +1,30 @@
 """Operator 2: tool-call linking for chat formatting, with DataFrame functions only.
 
 Calls and results are two tables.  Results are hash-joined to calls by (conv_id, call_id).
-A call may name one earlier call that it waits for; calls are ordered topologically by
-their depth in these chains, found by pointer doubling: each round every call jumps
-twice as far, so a chain of n calls takes log2(n) rounds, and no conversation is ever
-gathered into one task.  Arguments are held against the tool's schema (required, unknown and
-wrongly typed parameters).  Messages come out as canonical JSON: keys in order, no
-blanks, parameters sorted by name.
+A call may name several earlier calls that it waits for.  Calls are ordered topologically by depth,
+the length of the longest path to them, in two parts, and no conversation is ever gathered into
+one task:
+
+* calls that wait for just one other form chains.  Pointer doubling finds the start of each chain
+  (a call that waits for none, or for several): each round every call jumps twice as far, so a chain
+  of n calls takes log2(n) rounds;
+* calls that wait for several are settled level by level, as soon as the chain starts before all of
+  theirs are: a round for each level of such calls, over those only.
+
+Arguments are held against the tool's schema (required, unknown and wrongly typed parameters).
+Their values keep their JSON types (``variant``).  Messages come out as canonical JSON: keys in
+UTF-8 order at every depth, no blanks, numbers without trailing zeros, control characters escaped.
 
 Statuses: ``ok``; ``invalid`` (the arguments break the schema); ``unknown_tool``;
-``no_result``; ``orphan`` (a result without a call); ``cycle`` (the calls wait for each other).  A
-call that waits for one that is not there starts a chain.
+``no_result``; ``orphan`` (a result without a call); ``cycle`` (the calls wait for each other, or for
+calls that do).  A call waits for nothing by naming one that is not there.
 
 Defined cases: of repeated calls or results of one id the first counts, by their
-position, then their values; null ids take no part; null, empty or malformed arguments are an
-object without parameters (``invalid`` if one is required); values keep their JSON text, a
-repeated key its last value; an empty table gives no rows; other columns are ignored.
+position, then their values; null ids take no part; null, empty or malformed arguments (text after
+the object, a key repeated inside a nested object) are an object without parameters (``invalid``
+if one is required); of a repeated parameter the last value counts; a parameter that is ``null``
+is one that is missing, but keeps its place in the message; an integer is a number without
+fraction; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,6 +34,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millwright.functions import json as J
+from millwright.functions.expressions import let
 from millwright.llm.common import discard, store
 
 
@@ -35,79 +46,111 @@ def first_of(rows: DataFrame, *values: str) -> DataFrame:
     return told.groupBy("conv_id", "call_id").agg(least).select("conv_id", "call_id", "r.*")
 
 
-def depths(calls: DataFrame) -> DataFrame:
-    """conv_id, call_id, depth: how many calls come before it in its chain; null in a cycle.
+KEY = ["conv_id", "call_id"]
+
+
+def _met(left: str, right: str) -> Column:
+    return (F.col("conv_id") == F.col("to_conv")) & (F.col(left) == F.col(right))
 
-    ``calls``: conv_id, call_id, after.  Each round joins every call with the one it points
-    to; calls whose chain is worked out point nowhere.
+
+def chains(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """conv_id, call_id, start, distance, open: the start of each call's chain and how far it is.
+
+    ``edges``: conv_id, call_id, after.  A start is its own.  Calls still ``open`` at the end go round.
     """
-    here = calls.select("conv_id", "call_id")
-    known = here.withColumnRenamed("call_id", "after")
-    at = calls.join(known, ["conv_id", "after"], "left_semi").select("conv_id", "call_id", "after", F.lit(1).alias("depth"))
-    at = here.join(at, ["conv_id", "call_id"], "left").select(
-        "conv_id", "call_id", "after", F.coalesce("depth", F.lit(0)).alias("depth")
-    )
-    at = store(at, "call-depths")
+    single = edges.groupBy(*KEY).agg(F.min("after").alias("after"), F.count(F.lit(1)).alias("n")).where("n = 1")
+    single = single.select(F.col("conv_id").alias("to_conv"), F.col("call_id").alias("to_id"), "after")
+    at = nodes.join(single, _met("call_id", "to_id"), "left").select(
+        *KEY, F.coalesce("after", "call_id").alias("start"), F.when(F.col("after").isNull(), 0).otherwise(1).cast("long").alias("distance"),
+        F.col("after").isNotNull().alias("open"))
+    at = store(at, "call-chains")
     for _ in range(1 + math.ceil(math.log2(max(2, at.count())))):
-        if not at.where("after is not null").limit(1).count():
+        if not at.where("open").limit(1).count():
             break
-        to = at.select(F.col("conv_id").alias("c2"), F.col("call_id").alias("id2"), F.col("after").alias("after2"), F.col("depth").alias("d2"))
-        met = (F.col("conv_id") == F.col("c2")) & (F.col("after") == F.col("id2"))
-        then = store(
-            at.join(to, met, "left").select(
-                "conv_id", "call_id", F.col("after2").alias("after"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth")
-            ),
-            "call-depths",
-        )
+        to = at.select(F.col("conv_id").alias("to_conv"), F.col("call_id").alias("to_id"), F.col("start").alias("on"),
+                       F.col("distance").alias("further"), F.col("open").alias("still"))
+        ahead = at.where("open").join(to, _met("start", "to_id")).select(
+            *KEY, F.col("on").alias("start"), (F.col("distance") + F.col("further")).alias("distance"), F.col("still").alias("open"))
+        then = store(at.where("not open").unionByName(ahead), "call-chains")
         discard(at)
         at = then
-    return at.select("conv_id", "call_id", F.when(F.col("after").isNull(), F.col("depth")).alias("depth"))
+    return at
 
 
-def arguments(text: str) -> Column:
-    """The parameters as a map from name to JSON text, the last of a repeated key."""
-    parsed = F.coalesce(F.from_json(text, "map<string,string>"), F.create_map().cast("map<string,string>"))
-    entries, names = F.map_entries(parsed), F.array_distinct(F.map_keys(parsed))
-    last = lambda k: F.element_at(F.filter(entries, lambda e: e["key"] == k), -1)["value"]
-    return F.map_from_arrays(names, F.transform(names, last))
+def depths(calls: DataFrame) -> DataFrame:
+    """conv_id, call_id, depth: the longest path of calls before it; null for a call that waits for a cycle.
+
+    ``calls``: conv_id, call_id, after (array of call_ids).
+    """
+    nodes = calls.select(*KEY)
+    known = nodes.select(F.col("conv_id").alias("to_conv"), F.col("call_id").alias("to_id"))
+    edges = calls.select(*KEY, F.explode(F.array_distinct("after")).alias("after")).join(known, _met("after", "to_id"), "left_semi")
+    edges = store(edges, "call-edges")
+    at = chains(nodes, edges)
+    many = edges.groupBy(*KEY).agg(F.count(F.lit(1)).alias("waits")).where("waits > 1")
+    of = at.select(F.col("conv_id").alias("to_conv"), F.col("call_id").alias("to_id"), "start", "distance", "open")
+    # what each call that waits for several waits for: the starts of those chains; what goes round is never settled
+    waiting = edges.join(many, KEY).join(of, _met("after", "to_id")).where("not open").select(
+        *KEY, "waits", "start", (F.col("distance") + 1).alias("steps"))
+    waiting = store(waiting, "call-waits")
+    starts = at.where("start = call_id and not open").join(many.select(*KEY), KEY, "left_anti")
+    settled = store(starts.select(*KEY, F.lit(0).cast("long").alias("depth")), "call-depths")
+    new = settled
+    while waiting.limit(1).count():
+        fresh = new.select(F.col("conv_id").alias("to_conv"), F.col("call_id").alias("to_id"), F.col("depth").alias("from_depth"))
+        # edges whose start is settled count towards their call; the others keep waiting
+        told = waiting.join(fresh, _met("start", "to_id"), "left").select(
+            *KEY, "waits", F.when(F.col("from_depth").isNull(), F.col("start")).alias("start"),
+            F.when(F.col("from_depth").isNull(), F.col("steps")).otherwise(F.col("steps") + F.col("from_depth")).alias("steps"))
+        done = told.groupBy(*KEY, "waits").agg(
+            F.sum(F.when(F.col("start").isNull(), 1).otherwise(0)).alias("ready"), F.max("steps").alias("depth"))
+        new = store(done.where("ready = waits").select(*KEY, "depth"), "call-depths")
+        if not new.limit(1).count():
+            break
+        left = store(told.join(new.select(*KEY), KEY, "left_anti"), "call-waits")
+        discard(waiting)
+        waiting, settled = left, settled.unionByName(new)
+    base = settled.select(F.col("conv_id").alias("to_conv"), F.col("call_id").alias("to_id"), F.col("depth").alias("base"))
+    on = (F.col("conv_id") == F.col("to_conv")) & (F.col("start") == F.col("to_id")) & ~F.col("open")
+    return at.join(base, on, "left").select(*KEY, (F.col("base") + F.col("distance")).alias("depth"))
 
 
 def _kind(value: Column) -> Column:
-    number = value.rlike(r"^-?\d+$")
+    """The JSON type of a variant; null for ``null``."""
+    name = F.schema_of_variant(value)
     return (
-        F.when(number, "integer")
-        .when(value.rlike(r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$"), "number")
-        .when(value.isin("true", "false"), "boolean")
-        .otherwise("string")
+        F.when(name == "STRING", "string").when(name == "BOOLEAN", "boolean")
+        .when(name.rlike(r"^(BIGINT|DECIMAL\(\d+,0\))$"), "integer")
+        .when(name.rlike("^(DECIMAL|DOUBLE|FLOAT)"), "number")
+        .when(name.startswith("OBJECT"), "object").when(name.startswith("ARRAY"), "array")
     )
 
 
-def quoted(text: Column) -> Column:
-    """A JSON string."""
-    out = F.regexp_replace(text, r"([\\\"])", r"\\$1")
-    for raw, name in (("\n", "n"), ("\r", "r"), ("\t", "t")):
-        out = F.replace(out, F.lit(raw), F.lit("\\" + name))
-    out = F.regexp_replace(out, r"[\x00-\x1F]", "")  # other control characters are dropped
-    return F.concat(F.lit('"'), out, F.lit('"'))
+def parameters() -> Column:
+    """Map from each parameter to its ``kind`` and its canonical ``json``, after ``read_objects``."""
+    names = F.coalesce(J.entry_names(), F.array().cast("array<string>"))
+    value = lambda name: let(
+        J.last_value(name), lambda v: F.named_struct(F.lit("kind"), _kind(v), F.lit("json"), F.to_json(v)))
+    return F.map_from_arrays(names, F.transform(names, value))
 
 
-def canonical(params: Column) -> Column:
-    """The parameters sorted by name; numbers and truth values bare, the rest as strings."""
-    entries = F.sort_array(F.map_entries(params))
+def quoted(text: Column) -> Column:
+    """A JSON string; null for null."""
+    return F.to_json(text.cast("variant"))
 
-    def written(e):
-        bare = F.coalesce(_kind(e["value"]) != "string", F.lit(False))
-        value = F.when(e["value"].isNull(), "null").when(bare, e["value"]).otherwise(quoted(e["value"]))
-        return F.concat(quoted(e["key"]), F.lit(":"), value)
 
-    return F.concat(F.lit("{"), F.array_join(F.transform(entries, written), ","), F.lit("}"))
+def canonical(params: Column) -> Column:
+    """The parameters sorted by name."""
+    names = F.sort_array(F.map_keys(params))
+    each = F.transform(names, lambda n: F.concat(quoted(n), F.lit(":"), params[n]["json"]))
+    return F.concat(F.lit("{"), F.array_join(each, ","), F.lit("}"))
 
 
 def problems(params: Column, schema: Column) -> Column:
     """Names of parameters that break the schema (array of struct<name, kind, required>), with the reason."""
     names = F.transform(schema, lambda s: s["name"])
     missing = F.transform(
-        F.filter(schema, lambda s: s["required"] & params[s["name"]].isNull()),
+        F.filter(schema, lambda s: s["required"] & params[s["name"]]["kind"].isNull()),
         lambda s: F.concat(F.lit("missing:"), s["name"]),
     )
     unknown = F.transform(
@@ -115,10 +158,8 @@ def problems(params: Column, schema: Column) -> Column:
     )
 
     def wrong(s):
-        value, want = params[s["name"]], s["kind"]
-        kind = _kind(value)
-        fits = (want == "string") | (kind == want) | ((want == "number") & (kind == "integer"))
-        return value.isNotNull() & ~fits
+        kind, want = params[s["name"]]["kind"], s["kind"]
+        return kind.isNotNull() & (kind != want) & ~((want == "number") & (kind == "integer"))
 
     typed = F.transform(F.filter(schema, wrong), lambda s: F.concat(F.lit("type:"), s["name"]))
     return F.array_sort(F.concat(missing, unknown, typed))
@@ -127,8 +168,9 @@ def problems(params: Column, schema: Column) -> Column:
 def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
     """conv_id, call_id, depth, status, problems, message: one row for each call, and each orphan result.
 
-    ``calls``: conv_id, call_id, position, tool, arguments (JSON text), after; ``results``: conv_id,
-    call_id, position, content; ``schemas``: tool, name, kind, required, one row a parameter.
+    ``calls``: conv_id, call_id, position, tool, arguments (JSON text), after (array of call_ids);
+    ``results``: conv_id, call_id, position, content; ``schemas``: tool, name, kind (string, integer,
+    number, boolean, object or array), required, one row a parameter.
     Order a conversation's messages by depth, then position (nulls last).
     """
     calls = store(first_of(calls, "tool", "arguments", "after"), "calls")
@@ -143,8 +185,9 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
         calls.join(ordered, (F.col("conv_id") == F.col("d_conv")) & (F.col("call_id") == F.col("d_id")))
         .join(results.hint("shuffle_hash"), (F.col("conv_id") == F.col("r_conv")) & (F.col("call_id") == F.col("r_id")), "full")
         .join(tools, F.col("tool") == F.col("schema_tool"), "left")
-        .withColumn("params", arguments("arguments"))
     )
+    read = J.read_objects(whole, F.col("arguments"), "variant")
+    whole = read.select(*whole.columns, parameters().alias("params"))
     called = F.col("d_id").isNotNull()
     broken = F.when(called & F.col("schema").isNotNull(), problems(F.col("params"), F.col("schema")))
     broken = F.coalesce(broken, F.array().cast("array<string>"))
@@ -199,7 +242,7 @@ def op2_tool_calls(conversations: DataFrame) -> DataFrame:
     )
     calls = told.where("role = 'user'").select(
         "conv_id", F.concat(F.lit("call-"), "turn").alias("call_id"), F.col("turn").alias("position"), tool.alias("tool"),
-        F.to_json(said).alias("arguments"), F.concat(F.lit("call-"), F.col("turn") - 2).alias("after"),
+        F.to_json(said).alias("arguments"), F.array(F.concat(F.lit("call-"), F.col("turn") - 2)).alias("after"),
     )
     results = told.where("role = 'assistant'").select(
         "conv_id", F.concat(F.lit("call-"), F.col("turn") - 1).alias("call_id"), F.col("turn").alias("position"), F.col("text").alias("content")
@@ -241,7 +284,7 @@ SELECT conv_id, call_id, position, CAST(depth AS BIGINT) AS depth,
        CASE WHEN called IS NULL THEN 'orphan' WHEN broken THEN 'invalid' WHEN answered IS NULL THEN 'no_result' ELSE 'ok' END AS status,
        CASE WHEN broken THEN 'missing:topic' ELSE '' END AS problems,
        '{"arguments":' || CASE WHEN called IS NULL THEN 'null' ELSE '{"n_chars":' || n || ',"query":' ||
-           CASE WHEN regexp_full_match(q, '-?\d+(\.\d+)?([eE][+-]?\d+)?|true|false') THEN q ELSE CAST(to_json(q) AS VARCHAR) END ||
+           CAST(to_json(q) AS VARCHAR) ||
            CASE WHEN n % 3 > 0 THEN ',"topic":"chat"' ELSE '' END || '}' END ||
        ',"id":"' || call_id || '","result":' || coalesce(CAST(to_json(content) AS VARCHAR), 'null') ||
        ',"tool":' || coalesce('"' || tool || '"', 'null') || '}' AS message

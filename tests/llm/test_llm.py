@@ -1,6 +1,7 @@
 """The llm operators against SQL, brute force, round trips and the cases their docstrings define."""
 
 import hashlib
+import json
 import math
 import random
 import zlib
@@ -146,20 +147,25 @@ def test_run_hash_never_cuts_a_word(marks):
 # --- 2 ---------------------------------------------------------------------------------------------
 
 
+CALLS = "conv_id long, call_id string, position long, tool string, arguments string, after array<string>, depth int"
+
+
 def test_tool_calls(spark):
     calls = spark.createDataFrame(
         [
             (1, "a", 0, "f", '{"n": 1, "s": "x\\"y", "b": true}', None, 5),
-            (1, "b", 1, "f", '{"s": "z"}', "a", 5),
-            (1, "b", 2, "f", '{"n": 2}', "a", 5),
-            (1, "c", 3, "f", '{"n": "two", "q": 1}', "b", 5),
-            (1, "d", 4, "f", "not json", "e", 5),
-            (1, "e", 5, "f", '{"n": 1}', "d", 5),
-            (1, "g", 6, "h", None, "nowhere", 5),
-            (1, "i", 7, "f", '{"n": 3, "n": 4}', None, 5),
+            (1, "b", 1, "f", '{"s": "z"}', ["a"], 5),
+            (1, "b", 2, "f", '{"n": 2}', ["a"], 5),
+            (1, "c", 3, "f", '{"n": "two", "q": 1}', ["b"], 5),
+            (1, "d", 4, "f", "not json", ["e"], 5),
+            (1, "e", 5, "f", '{"n": 1}', ["d"], 5),
+            (1, "g", 6, "h", None, ["nowhere", None], 5),
+            (1, "i", 7, "f", '{"n": 3, "n": 4}', [], 5),
+            (1, "j", 8, "f", '{"n": 1}', ["c", "e"], 5),
+            (1, "k", 9, "f", '{"n": 1}', ["k", "a"], 5),
             (None, "a", 0, "f", "{}", None, 5),
         ],
-        "conv_id long, call_id string, position long, tool string, arguments string, after string, depth int",
+        CALLS,
     )
     results = spark.createDataFrame(
         [(1, "a", 9, "done\n"), (1, "a", 10, "again"), (1, "zz", 11, None), (1, "c", 12, "c"), (1, "g", 13, "")],
@@ -178,20 +184,103 @@ def test_tool_calls(spark):
         "e": ("cycle", None, ""),
         "g": ("unknown_tool", 0, ""),
         "i": ("no_result", 0, ""),
+        "j": ("cycle", None, ""),
+        "k": ("cycle", None, ""),
         "zz": ("orphan", None, ""),
     }
     assert got["a"]["message"] == '{"arguments":{"b":true,"n":1,"s":"x\\"y"},"id":"a","result":"done\\n","tool":"f"}'
     assert got["i"]["message"].startswith('{"arguments":{"n":4},')
+    assert got["zz"]["message"] == '{"arguments":null,"id":"zz","result":null,"tool":null}'
+
+
+#: Arguments, the problems that they have under the schema below, and what they are in the message.
+ARGUMENTS = [
+    ('{"s": "007"}', "", '{"s":"007"}'),
+    ('{"s": "true", "n": "5"}', "type:n", '{"n":"5","s":"true"}'),
+    ('{"s": 7}', "type:s", '{"s":7}'),
+    ('{"s": null, "n": 5}', "missing:s", '{"n":5,"s":null}'),
+    ('{"s": "", "n": 12345678901234567890123}', "", '{"n":12345678901234567890123,"s":""}'),
+    ('{"s": "x", "n": 1.5}', "type:n", '{"n":1.5,"s":"x"}'),
+    ('{"s": "x", "f": 1}', "", '{"f":1,"s":"x"}'),
+    ('{"s": "x", "f": 1.50}', "", '{"f":1.5,"s":"x"}'),
+    ('{"s": "x", "f": "1"}', "type:f", '{"f":"1","s":"x"}'),
+    ('{"s": "x", "o": {"z": [1, {"b": 2, "a": null}], "y": "q\\"\\u0001\\n"}}', "", '{"o":{"y":"q\\"\\u0001\\n","z":[1,{"a":null,"b":2}]},"s":"x"}'),
+    ('{"s": "x", "o": [1]}', "type:o", '{"o":[1],"s":"x"}'),
+    ('{"s": "\\u001f\\u007f/é", "l": []}', "", '{"l":[],"s":"\\u001F\x7f/é"}'),
+    ('{"s": "x", "b": false, "b": "no"}', "type:b", '{"b":"no","s":"x"}'),
+    ('{"s": "x"} trailing', "missing:s", "{}"),
+    ('{"s": "x"}{"s": "x"}', "missing:s", "{}"),
+    ('{"s": "x", "o": {"a": 1, "a": 2}}', "missing:s", "{}"),
+    ("[1]", "missing:s", "{}"),
+    ("null", "missing:s", "{}"),
+    ("", "missing:s", "{}"),
+    (None, "missing:s", "{}"),
+]
+
+
+def test_arguments_keep_their_types(spark):
+    calls = spark.createDataFrame([(1, f"c{i}", i, "f", a, None, 0) for i, (a, _, _) in enumerate(ARGUMENTS)], CALLS)
+    results = spark.createDataFrame([(1, "c0", 1, "\x00\x1b[0m")], "conv_id long, call_id string, position long, content string")
+    kinds = {"s": "string", "n": "integer", "f": "number", "b": "boolean", "o": "object", "l": "array"}
+    schemas = spark.createDataFrame([("f", k, v, k == "s") for k, v in kinds.items()], "tool string, name string, kind string, required boolean")
+    got = {r["position"]: r for r in tool_calls.link(calls, results, schemas).collect()}
+    for i, (text, problems, written) in enumerate(ARGUMENTS):
+        assert got[i]["problems"] == problems, text
+        said = '"\\u0000\\u001B[0m"' if i == 0 else "null"
+        assert got[i]["message"] == f'{{"arguments":{written},"id":"c{i}","result":{said},"tool":"f"}}', text
+        json.loads(got[i]["message"])
+
+
+def brute_depths(after):
+    """Longest paths; None for what waits for a cycle."""
+    out = {}
+    while True:
+        new = {c: 1 + max((out[p] for p in ps), default=-1) for c, ps in after.items() if c not in out and all(p in out for p in ps)}
+        if not new:
+            return {c: out.get(c) for c in after}
+        out |= new
+
+
+def depths_of(spark, after):
+    calls = spark.createDataFrame([(1, c, list(ps)) for c, ps in after.items()], "conv_id long, call_id string, after array<string>")
+    return {r["call_id"]: r["depth"] for r in tool_calls.depths(calls).collect()}
 
 
 def test_tool_call_chain_is_deep(spark):
     n = 300
-    rows = [(1, f"c{i}", i, "f", "{}", f"c{i - 1}") for i in range(n)]
-    calls = spark.createDataFrame(rows, "conv_id long, call_id string, position long, tool string, arguments string, after string")
-    got = tool_calls.depths(calls.select("conv_id", "call_id", "after")).collect()
-    assert {r["call_id"]: r["depth"] for r in got} == {f"c{i}": i for i in range(n)}
-    empty = calls.where("false")
-    assert tool_calls.depths(empty.select("conv_id", "call_id", "after")).count() == 0
+    after = {f"c{i}": [f"c{i - 1}"] if i else [] for i in range(n)}
+    assert depths_of(spark, after) == {f"c{i}": i for i in range(n)}
+    empty = spark.createDataFrame([], "conv_id long, call_id string, after array<string>")
+    assert tool_calls.depths(empty).count() == 0
+
+
+def test_tool_call_graph(spark):
+    """Diamonds with arms of any length, chains between them, a cycle and what hangs off it."""
+    after = {"s": [], "a1": ["s"], "a2": ["a1"], "b": ["s"], "j": ["a2", "b", "b"], "t1": ["j"], "t2": ["t1"], "c": ["j"],
+             "k": ["t2", "c", "s"], "end": ["k"], "x": ["z"], "y": ["x"], "z": ["y"], "w": ["y", "s"], "v": ["w"], "u": ["v", "end"]}
+    want = brute_depths({c: set(ps) for c, ps in after.items()})
+    assert want["end"] == 7 and want["u"] is None
+    assert depths_of(spark, after) == want
+
+
+def test_tool_call_random_graphs(spark):
+    r = random.Random(6)
+    for n in (12, 40):
+        ids = [f"c{i}" for i in range(n)]
+        after = {c: set(r.sample(ids[: i + (r.random() < 0.05)], min(i, r.choice([0, 1, 1, 1, 2, 3])))) for i, c in enumerate(ids)}
+        assert depths_of(spark, after) == brute_depths(after)
+
+
+def test_tool_calls_of_odd_turns(spark):
+    rows = [(1, 0, "user", None), (1, 1, "assistant", "007"), (1, 2, "user", "true x"), (1, 2, "user", "a"), (1, 3, "assistant", "\x01"),
+            (1, 4, "assistant", None), (2, None, "user", "x"), (None, 0, "user", "x"), (3, 0, None, "x"), (3, 5, "user", "w " * 60_000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS depth", "'q' AS status")
+    got = {(r["conv_id"], r["position"]): r for r in tool_calls.op2_tool_calls(df).collect()}
+    assert set(got) == {(1, 0), (1, 2), (1, 4), (3, 5)}
+    assert got[1, 0]["message"] == '{"arguments":{"n_chars":0,"query":""},"id":"call-0","result":"007","tool":"lookup"}'
+    assert got[1, 2]["message"] == '{"arguments":{"n_chars":1,"query":"a","topic":"chat"},"id":"call-2","result":"\\u0001","tool":"lookup"}'
+    assert (got[1, 4]["status"], got[3, 5]["status"], got[1, 2]["depth"]) == ("orphan", "no_result", 1)
+    assert tool_calls.op2_tool_calls(df.where("false")).collect() == []
 
 
 # --- 3 ---------------------------------------------------------------------------------------------
