@@ -3,13 +3,16 @@
 The candidates are dealt into blocks.  A block holds one list for each dimension, sorted by
 component.  For a query each list is sorted by what it adds to the score: from its large end
 where the query's component is positive, from its small end where it is negative; a zero adds
-nothing and its list is never opened.  The lists are read in turn, in stretches that double:
+nothing.  A block of queries reads together: an entry is read once, at either end, for all queries
+that come to it there.  The lists are read in turn, in stretches that double:
 
-* an entry read is added to what is seen of its candidate;
+* the entries of a stretch are added to what each query has seen of their candidates, by one
+  product with a matrix that holds just these entries;
 * a candidate's lower bound takes the least entry of each list that it has not been seen in, its
   upper bound the entry that the list has come to (its frontier);
-* candidates whose upper bound is below the k-th lower bound are out.  Once no more than ``4 * k``
-  are left no outsider can qualify: reading stops, and only their scores are worked out whole.
+* a query's candidates whose upper bound is below its k-th lower bound are out.  Once there are no
+  more than ``4 * k`` a query left no outsider can qualify: reading stops, and only their scores are
+  worked out whole.
 
 ``Lists.read`` counts the entries.  The blocks' winners meet in a ranking by query.  A candidate
 block travels once, to the task that keeps it; the queries' blocks stream past it, so a task holds
@@ -34,68 +37,66 @@ from pyspark.sql import functions as F
 from millwright.llm.common import discard, store
 
 #: Entries of each list in the first stretch.
-FIRST = 64
+FIRST = 128
 
 
 class Lists:
-    """The sorted lists of a block of candidates."""
+    """The sorted lists of a block of candidates, read for many queries at once."""
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray):
         self.ids, self.rows = ids, rows
-        self.order = np.argsort(rows, axis=0, kind="stable").astype(np.int32)
+        self.order = np.argsort(rows, axis=0, kind="stable")
         self.sorted = np.take_along_axis(rows, self.order, axis=0)
         self.reach = np.abs(rows).max(axis=0, initial=0.0)
         self.read = 0
 
-    def stretch(self, q: np.ndarray, up: np.ndarray, start: int, stop: int) -> tuple[np.ndarray, np.ndarray]:
-        """(candidates, what they get) of the entries ``start`` to ``stop`` of each list, a column a list."""
+    def survivors(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> np.ndarray:
+        """Queries x candidates: which candidates may be among a query's k best; all of those are."""
         n = len(self.ids)
-        who = np.where(up, self.order[n - stop : n - start][::-1], self.order[start:stop])
-        value = np.where(up, self.sorted[n - stop : n - start][::-1], self.sorted[start:stop])
-        return who, value * q
-
-    def survivors(self, query_id: int, query: np.ndarray, k: int) -> np.ndarray:
-        """Places of the candidates that may be among the k best; all of those are."""
-        n, used = len(self.ids), np.flatnonzero(query)
-        alive = np.flatnonzero(self.ids != query_id)
-        if not len(used) or len(alive) <= 4 * k:
-            return alive
-        part = self if len(used) == len(query) else self._only(used)
-        q = query[used]
-        up = q > 0
-        worst = np.where(up, part.sorted[0], part.sorted[-1]) * q
-        slack = 1e-12 * float(np.abs(q) @ part.reach[: len(q)])  # sums of whole numbers under 2**53 need none
-        seen, unread = np.zeros(n), np.ones((n, len(used)), np.float32)
-        columns, at, stop = np.arange(len(used)), 0, min(n, max(FIRST, k))
-        while True:
-            who, gets = part.stretch(q, up, at, stop)
-            self.read += who.size
-            seen += np.bincount(who.ravel(), weights=gets.ravel(), minlength=n)
-            unread[who, columns] = 0
+        alive = self.ids[None, :] != query_ids[:, None]
+        most = (np.abs(queries) @ self.reach).max(initial=0.0)
+        kind = np.float32 if most < 2**24 else np.float64  # every partial sum is exact, below 2**53
+        slack = 0.0 if most < 2**53 else 1e-12 * most
+        # (queries' components at this end, order and values from that end on), of the lists opened there
+        ends = []
+        for part, turn in ((np.maximum(queries, 0), -1), (np.minimum(queries, 0), 1)):
+            used = np.flatnonzero(part.any(axis=0))
+            ends.append((part[:, used].astype(kind), self.order[::turn][:, used], self.sorted[::turn][:, used].astype(kind)))
+        unread = [np.ones(order.shape, kind) for _, order, _ in ends]
+        seen, at, stop = np.zeros(alive.shape, kind), 0, min(n, max(FIRST, k))
+        while n > k and alive.sum() > 4 * k * len(queries):
+            for (part, order, value), left in zip(ends, unread):
+                entries = np.zeros(order.shape, kind)
+                np.put_along_axis(entries, order[at:stop], value[at:stop], axis=0)
+                np.put_along_axis(left, order[at:stop], 0, axis=0)
+                seen += part @ entries.T
+                self.read += entries[at:stop].size
+            lower = seen + sum(part @ (left * value[-1]).T for (part, _, value), left in zip(ends, unread))
+            lower[~alive] = -np.inf
+            # what a candidate seen in no list yet can reach at most; while that beats all lower bounds nothing is out
+            open_ = sum(part @ value[stop - 1] for part, _, value in ends)
+            if stop == n or (open_ < lower.max(axis=1)).any():
+                upper = seen + sum(part @ (left * value[stop - 1]).T for (part, _, value), left in zip(ends, unread))
+                best = np.partition(lower, n - k, axis=1)[:, n - k, None]
+                alive &= upper + slack >= best - slack
             if stop == n:
-                lower = upper = seen[alive]
-            else:
-                left = unread[alive].astype(float)
-                lower, upper = seen[alive] + left @ worst, seen[alive] + left @ gets[-1]
-            best = np.partition(lower, len(alive) - k)[len(alive) - k]
-            alive = alive[upper + slack >= best - slack]
-            if stop == n or len(alive) <= 4 * k:
-                return alive
+                break
             at, stop = stop, min(n, 2 * stop)
+        return alive
 
-    def _only(self, used: np.ndarray) -> Lists:
-        part = object.__new__(Lists)
-        part.ids, part.order, part.sorted, part.reach = self.ids, self.order[:, used], self.sorted[:, used], self.reach[used]
-        return part
-
-    def top(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(places, scores) of the k best, ties to the smaller id."""
-        if float(np.abs(query) @ self.reach) >= 2.0**62:
+    def top(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place of the query, place of the candidate, score) of each query's k best, ties to the smaller id."""
+        if len(queries) and float((np.abs(queries) @ self.reach).max()) >= 2.0**62:
             raise ValueError("scores may not fit 64 bits")
-        left = self.survivors(query_id, query, k)
-        scores = (self.rows[left].astype(np.int64) * query.astype(np.int64)).sum(axis=1)
-        order = np.lexsort((self.ids[left], -scores))[:k]
-        return left[order], scores[order]
+        at, who = np.nonzero(self.survivors(query_ids, queries, k))
+        scores = np.concatenate([
+            (self.rows[who[i : i + 65536]].astype(np.int64) * queries[at[i : i + 65536]].astype(np.int64)).sum(axis=1)
+            for i in range(0, max(1, len(at)), 65536)
+        ])
+        order = np.lexsort((self.ids[who], -scores, at))
+        at, who, scores = at[order], who[order], scores[order]
+        best = np.arange(len(at)) - np.searchsorted(at, at) < k
+        return at[best], who[best], scores[best]
 
 
 def _blocks(rows: DataFrame, size: int, n: int) -> DataFrame:
@@ -145,16 +146,11 @@ def top_k(vectors: DataFrame, every: int, k: int, block: int = 4096, query_block
                 if batch["kind"][i].as_py() == 0:
                     at, lists, copies = here, Lists(ids, flat.reshape(len(ids), -1)), many
                 elif at == here:
-                    found = [(q, *lists.top(q, v, k)) for q, v in zip(ids.tolist(), flat.reshape(len(ids), -1))]
-                    places = np.concatenate([f[1] for f in found])
-                    times = np.minimum(copies[places], k)
+                    at_query, place, score = lists.top(ids, flat.reshape(len(ids), -1), k)
+                    times = np.minimum(copies[place], k)
+                    columns = (ids[at_query], lists.ids[place], score)
                     yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.repeat(np.repeat(ids, [len(f[1]) for f in found]), times)),
-                            pa.array(np.repeat(lists.ids[places], times)),
-                            pa.array(np.repeat(np.concatenate([f[2] for f in found]), times)),
-                        ],
-                        names=["query_id", "vec_id", "score"],
+                        [pa.array(np.repeat(c, times), pa.int64()) for c in columns], names=["query_id", "vec_id", "score"]
                     )
 
     best = both.mapInArrow(run, "query_id long, vec_id long, score long")

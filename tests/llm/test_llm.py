@@ -642,36 +642,38 @@ def test_top_k_repeated_rows(spark):
 
 
 def test_lists_are_read_in_turn_and_not_to_their_end():
-    """The entries read are counted: few where scores are told apart early, none of a list with a zero."""
+    """The entries read are counted: few where scores are told apart early, none of a list with a zero, none twice."""
     r = np.random.default_rng(3)
     rows = np.floor(256 * r.normal(size=(4000, 8)))
     rows[:20] += 3000
     lists = topk.Lists(np.arange(4000), rows)
-    query = np.array([300.0, 200, 100, 50, 0, 0, 0, 0])
-    places, scores = lists.top(-1, query, 5)
-    want = np.lexsort((np.arange(4000), -(rows @ query)))[:5]
-    assert places.tolist() == want.tolist() and scores.tolist() == (rows @ query)[want].tolist()
-    assert lists.read == 4 * topk.FIRST < rows.size / 100
+    queries = np.array([[300.0, 200, 100, 50, 0, 0, 0, 0], [10, 20, 40, 80, 0, 0, 0, 0]])
+    at, places, scores = lists.top(np.array([-1, -2]), queries, 5)
+    want = [np.lexsort((np.arange(4000), -(rows @ q)))[:5] for q in queries]
+    assert at.tolist() == [0] * 5 + [1] * 5 and places.tolist() == np.concatenate(want).tolist()
+    assert scores.tolist() == np.concatenate([(rows @ q)[w] for q, w in zip(queries, want)]).tolist()
+    assert lists.read == 4 * topk.FIRST < rows.size / 50
     lists.read = 0
-    lists.top(0, np.floor(256 * r.normal(size=8)), 5)
-    assert topk.FIRST * 8 <= lists.read <= rows.size  # no entry is read twice
+    lists.top(np.array([0]), np.floor(256 * r.normal(size=(1, 8))), 5)
+    assert topk.FIRST * 8 <= lists.read <= rows.size
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.integers(0, 2**32), st.integers(1, 300), st.integers(1, 5), st.integers(1, 6), st.sampled_from([1, 3, 2**26 - 1]))
+@given(st.integers(0, 2**32), st.integers(1, 500), st.integers(1, 5), st.integers(1, 6), st.sampled_from([1, 3, 300, 2**26 - 1]))
 def test_lists_brute_force(seed, n, dims, k, reach):
     r = np.random.default_rng(seed)
-    rows, query = (r.integers(-reach, reach + 1, s).astype(float) for s in ((n, dims), dims))
+    rows, queries = (r.integers(-reach, reach + 1, s).astype(float) for s in ((n, dims), (4, dims)))
     ids = r.permutation(2 * n)[:n]
-    lists = topk.Lists(ids, rows)
-    places, scores = lists.top(int(ids[0]), query, k)
-    exact = [(-sum(int(a) * int(b) for a, b in zip(row, query)), int(i)) for i, row in zip(ids[1:], rows[1:])]
-    assert [(-int(s), int(ids[p])) for p, s in zip(places, scores)] == sorted(exact)[:k]
+    own = np.array([*ids[:2], -5, -6])[:4] if n > 1 else np.array([ids[0], -4, -5, -6])
+    at, places, scores = topk.Lists(ids, rows).top(own, queries, k)
+    for q in range(4):
+        exact = [(-sum(int(a) * int(b) for a, b in zip(row, queries[q])), int(i)) for i, row in zip(ids, rows) if i != own[q]]
+        assert [(-int(s), int(ids[p])) for a, p, s in zip(at, places, scores) if a == q] == sorted(exact)[:k]
 
 
 def test_scores_beyond_64_bits_are_refused():
     with pytest.raises(ValueError):
-        topk.Lists(np.arange(9), np.full((9, 2), 2.0**40)).top(0, np.full(2, 2.0**40), 1)
+        topk.Lists(np.arange(9), np.full((9, 2), 2.0**40)).top(np.array([0]), np.full((1, 2), 2.0**40), 1)
 
 
 def test_top_k_small(spark):
