@@ -57,6 +57,14 @@ def discard(*frames: DataFrame) -> None:
                 path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, or the first longer form of it that is no column yet (whatever the case of letters)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def id_crc(col: str = "doc_id") -> Column:
     """Unsigned crc32 of the id written as text; null for a null id."""
     return F.crc32(F.col(col).cast("string").cast("binary"))

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millwright.llm.common import discard, store
+from millwright.llm.common import discard, store, unused
 
 BLANK = b" \t\n\x0b\x0c\r"
 
@@ -161,16 +161,18 @@ def drop_lines(docs: DataFrame, shortest: int = 20, least: int = 3, batches: int
 def replace_texts(docs: DataFrame, **limits) -> DataFrame:
     """The rows and columns of ``docs``, with the lines gone from ``text`` and ``n_chars`` (if there) made to fit.
 
-    Texts that lose nothing, null ones among them, stay as they are.
+    Texts that lose nothing, null ones among them, stay as they are, and only the others go through
+    Python. Other columns may have any names.
     """
     lost = repeated_keys(docs, *(limits.get(k, v) for k, v in LIMITS.items()))
-    lost = lost.groupBy("doc_id").agg(F.collect_set("key").alias("lost_keys")).withColumnRenamed("doc_id", "lost_id")
+    id_name, keys_name = unused("lost_id", docs.columns), unused("lost_keys", docs.columns)
+    lost = lost.groupBy(F.col("doc_id").alias(id_name)).agg(F.collect_set("key").alias(keys_name))
     shortest = limits.get("shortest", LIMITS["shortest"])
 
     def cut(parts):
         for batch in parts:
             out = []
-            for text, keys in zip(batch["text"].to_pylist(), batch["lost_keys"].to_pylist()):
+            for text, keys in zip(batch["text"].to_pylist(), batch[keys_name].to_pylist()):
                 if keys and text is not None:
                     gone = set(keys)
                     text = "\n".join(x for x in text.split("\n") if line_key(x.encode(), shortest) not in gone)
@@ -180,9 +182,9 @@ def replace_texts(docs: DataFrame, **limits) -> DataFrame:
             names = batch.schema.names
             yield pa.RecordBatch.from_arrays(columns[:-1], names=names[:-1])
 
-    rows = docs.join(lost, docs["doc_id"] == lost["lost_id"], "left").drop("lost_id")
-    whole = rows.where("lost_keys is null").drop("lost_keys")
-    kept = rows.where("lost_keys is not null").mapInArrow(cut, docs.schema)
+    rows = docs.join(lost, docs["doc_id"].cast("long") == lost[id_name], "left").drop(id_name)
+    whole = rows.where(F.col(keys_name).isNull()).drop(keys_name)
+    kept = rows.where(F.col(keys_name).isNotNull()).mapInArrow(cut, docs.schema)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         kept = kept.withColumn("n_chars", F.char_length("text").cast(kind))
