@@ -10,7 +10,7 @@ from millwright.operators import requests as RQ
 from millwright.plans.registry import register, round_doubles
 from millwright.plans.sql import READINGS_LINEITEM, requests_sql, validated_sql, with_readings
 from millwright.sources.readings import readings_from_lineitem
-from millwright.sources.requests import requests_from_events, validated_requests
+from millwright.sources.requests import TURN_ROUTES, requests_from_events, user_turns, validated_requests
 
 _SENSORS = ", ".join(S.SENSORS)
 _R4 = ", ".join(f"round({c}, 4) AS {c}" for c in S.SENSORS)
@@ -39,26 +39,26 @@ def q_normalize_type(spark, sf_dir):
 
 
 _ROUTE_SQL = "CASE " + " ".join(
-    "WHEN " + " OR ".join(f"contains(lower(question), '{w}')" for w in words) + f" THEN '{tool}'"
-    for words, tool in S.ROUTES) + " END"
+    "WHEN " + " OR ".join(f"contains(lower(text), '{w}')" for w in words) + f" THEN '{tool}'"
+    for words, tool in TURN_ROUTES) + " END"
 
 
 @register("route_requests", f"""
-SELECT coalesce({_ROUTE_SQL}, 'none') AS tool, count(*) AS requests FROM ({requests_sql()}) q GROUP BY 1""")
+SELECT coalesce({_ROUTE_SQL}, 'none') AS tool, count(*) AS requests FROM conversations WHERE role = 'user' GROUP BY 1""")
 def q_route_requests(spark, sf_dir):
-    return RQ.route_requests(requests_from_events(spark, sf_dir))
+    """The user's turns by the tool that their words call for."""
+    return RQ.route_requests(user_turns(spark, sf_dir), "text", TURN_ROUTES)
 
 
 @register("dedup_tool_calls", f"""
-SELECT user_id, tool, min(request_id) AS request_id, arg_min(question, request_id) AS question
-FROM (SELECT user_id, request_id, question, {_ROUTE_SQL} AS tool FROM ({requests_sql()}) q) c
-WHERE tool IS NOT NULL GROUP BY user_id, tool""")
+SELECT conv_id, tool, min(turn) AS turn, arg_min(text, turn) AS text
+FROM (SELECT conv_id, turn, text, {_ROUTE_SQL} AS tool FROM conversations WHERE role = 'user') c
+WHERE tool IS NOT NULL GROUP BY conv_id, tool""")
 def q_dedup_tool_calls(spark, sf_dir):
-    """Tool calls of each user (message) in request order; first call per tool kept."""
-    calls = (requests_from_events(spark, sf_dir)
-             .select("user_id", "request_id", "question", RQ.route_column(F.col("question")).alias("tool"))
-             .where(F.col("tool").isNotNull()))
-    return RQ.dedup_tool_calls(calls, "user_id", "request_id", "tool").select("user_id", "tool", "request_id", "question")
+    """Tool calls of each conversation in the order of its turns; first call per tool kept."""
+    calls = user_turns(spark, sf_dir).select("conv_id", "turn", "text", RQ.route_column(F.col("text"), TURN_ROUTES).alias("tool"))
+    calls = calls.where(F.col("tool").isNotNull())
+    return RQ.dedup_tool_calls(calls, "conv_id", "turn", "tool").select("conv_id", "tool", "turn", "text")
 
 
 # --- limits and input quality against the fleet (line-item readings) ------

@@ -52,10 +52,10 @@ SPLIT_HASH = "CAST('0x' || substr(md5(CAST(udi AS VARCHAR)), 1, 8) AS BIGINT)"
 
 
 def requests_sql() -> str:
-    """The request fixture (``request_id, user_id, ts, question, payload``) from the event readings."""
-    from millwright.sources.requests import payload_sql, question_sql
+    """The request fixture (``request_id, user_id, ts, payload``) from the event readings."""
+    from millwright.sources.requests import payload_sql
 
-    return (f"SELECT udi AS request_id, product_id AS user_id, ts, {question_sql()} AS question, "
+    return (f"SELECT udi AS request_id, product_id AS user_id, ts, "
             f"{payload_sql()} AS payload FROM ({READINGS_EVENTS_TS}) r")
 
 
@@ -88,7 +88,7 @@ def validated_sql() -> str:
     norm = (f"coalesce(CASE upper(replace(replace(regexp_replace(raw_type, '^\\s+|\\s+$', '', 'g'), '-', ''), '_', '')) "
             f"{tokens} ELSE '' END, '')")
     return f"""
-SELECT request_id, user_id, ts, question, payload, status, missing, invalid, type,
+SELECT request_id, user_id, ts, payload, status, missing, invalid, type,
   {S.AIR}, {S.PROCESS}, {S.RPM}, {S.TORQUE}, {S.WEAR}, raw_type, malformed,
   has_rpm, has_torque, has_wear, has_airtemp, has_processtemp, has_type FROM (
  SELECT *, CASE WHEN malformed THEN 'malformed' WHEN missing_l <> '' THEN 'missing'
@@ -98,7 +98,7 @@ SELECT request_id, user_id, ts, question, payload, status, missing, invalid, typ
  FROM (
   SELECT *, {missing} AS missing_l, {invalid} AS invalid_l, {norm} AS type FROM (
    SELECT *, {nums} FROM (
-    SELECT request_id, user_id, ts, question, payload, NOT ok AS malformed, {", ".join(fields)} FROM (
+    SELECT request_id, user_id, ts, payload, NOT ok AS malformed, {", ".join(fields)} FROM (
      SELECT *, CASE WHEN keys IS NOT NULL THEN t END AS j FROM (
       SELECT *, CASE WHEN ok AND json_type(t) = 'OBJECT' THEN json_keys(t) END AS keys FROM (
        SELECT *, json_valid(t) AS ok FROM (
