@@ -1,11 +1,13 @@
-"""Order-based operators Spark has no single primitive for: running sums and as-of lookups.
+"""Order-based operators Spark has no single primitive for: running sums, as-of lookups, exact quantiles.
 
-Both split each group's value range into buckets so that no task holds a whole
-group. Bucket boundaries are actual values of the table being ranked, drawn
-from a bounded random sample (the same idea as Spark's range partitioner) and
-applied as a balanced ``CASE`` tree: ``log2(buckets)`` comparisons per row,
-compiled by whole-stage codegen. Groups smaller than ``rows_per_bucket`` get
-no boundary and stay in one bucket, which is the fast path at small scale.
+All split each group's value range into buckets so that no task holds a whole
+group. Bucket boundaries are actual values of the table being ranked: approximate
+quantiles of each group, from one distributed aggregate. The driver holds a number for each
+bucket, and nothing else that grows with the data. Few boundaries are applied as a balanced
+``CASE`` tree, compiled by whole-stage codegen; more than ``TREE`` as two levels, a tree (or array)
+over the starts of chunks and the chunk's array, so the generated code does not grow with them.
+Groups smaller than ``rows_per_bucket`` get no boundary and stay in one bucket, which is the
+fast path at small scale.
 
 * :func:`running_sum` — inclusive prefix sum per group: a window inside each
   bucket plus the offset of the earlier buckets (a table of one row per bucket,
@@ -22,12 +24,14 @@ no boundary and stay in one bucket, which is the fast path at small scale.
 
 from __future__ import annotations
 
+import json
 import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millwright.functions import expressions as X
 from millwright.session import stored
 
 Bounds = dict[tuple, list[float]]
@@ -36,41 +40,41 @@ ROWS_PER_BUCKET = 2_000_000
 PROBES_PER_TASK = 4_000_000
 #: Shares of the probes to a shuffle partition; many small ones even out where they land.
 SPREAD = 64
-OVERSAMPLE = 64
+#: Accuracy of the quantiles for each bucket: a bucket's size is off by a sixteenth or less.
+QUANTILE_ACCURACY = 16
+#: Boundaries that are compiled as literals.
+TREE = 256
 
 
 def range_bounds(df: DataFrame, group_cols: list[str], value_col: str,
-                 rows_per_bucket: int = ROWS_PER_BUCKET, seed: int = 42) -> Bounds:
-    """Per group with more than ``rows_per_bucket`` rows: sorted boundary values.
+                 rows_per_bucket: int = ROWS_PER_BUCKET) -> Bounds:
+    """Per group with more than ``rows_per_bucket`` rows: sorted boundary values, one less than buckets.
 
-    Two small jobs: row counts per group (one row per group reaches the driver)
-    and, only for large groups, a sample of about ``OVERSAMPLE`` values per
-    bucket. Neither grows with the data beyond that.
+    Small jobs: a count, row counts per group (one row per group reaches the driver), and, only
+    for large groups, their approximate quantiles (one number per bucket does).
     """
     if df.count() <= rows_per_bucket:
         return {}
     counts = df.groupBy(*group_cols).count().collect()
-    big = {tuple(r[g] for g in group_cols): r["count"] for r in counts if r["count"] > rows_per_bucket}
+    big = {tuple(r[g] for g in group_cols): -(-r["count"] // rows_per_bucket) for r in counts if r["count"] > rows_per_bucket}
     if not big:
         return {}
-    key = F.concat_ws("\u0001", *[F.col(g).cast("string") for g in group_cols])
-    fractions = {"\u0001".join(str(x) for x in k): min(1.0, OVERSAMPLE / rows_per_bucket) for k in big}
-    sample = (df.select(*group_cols, value_col, key.alias("_k"))
-              .sampleBy("_k", fractions, seed).select(*group_cols, value_col).collect())
-    per: dict[tuple, list[float]] = {}
-    for r in sample:
-        per.setdefault(tuple(r[g] for g in group_cols), []).append(r[value_col])
+    most = max(big.values())
+    shares = _held([i / most for i in range(1, most)])
+    cuts = F.percentile_approx(F.col(value_col).cast("double"), shares, QUANTILE_ACCURACY * most).alias("_cuts")
     bounds: Bounds = {}
-    for k, n in big.items():
-        vals = sorted(v for v in per.get(k, []) if v is not None)
-        nb = math.ceil(n / rows_per_bucket)
-        if not vals or nb <= 1:
-            continue
-        picks = sorted({vals[min(len(vals) - 1, (i * len(vals)) // nb)] for i in range(1, nb)})
-        bounds[k] = picks
+    for r in df.groupBy(*group_cols).agg(cuts).collect():
+        k = tuple(r[g] for g in group_cols)
+        if k in big and r["_cuts"]:
+            bounds[k] = sorted({r["_cuts"][i * most // big[k] - 1] for i in range(1, big[k])})
     return bounds
 
 
+def _held(numbers: list) -> Column:
+    """A constant array (of arrays): one literal text, however many numbers."""
+    return F.from_json(F.lit(json.dumps(numbers)), "array<double>" if isinstance(numbers[0], float) else "array<array<double>>")
+
+
 def _tree(v: Column, bs: list[float], lo: int, hi: int) -> Column:
     """Number of boundaries in ``bs[:hi]`` that are ``<= v``, knowing it is at least ``lo``."""
     if lo >= hi:
@@ -79,14 +83,26 @@ def _tree(v: Column, bs: list[float], lo: int, hi: int) -> Column:
     return F.when(v >= F.lit(bs[mid]), _tree(v, bs, mid + 1, hi)).otherwise(_tree(v, bs, lo, mid))
 
 
+def _upto(v: Column, bs: list[float]) -> Column:
+    """Number of boundaries ``<= v``."""
+    if len(bs) <= TREE:
+        return _tree(v, bs, 0, len(bs))
+    chunk = math.isqrt(len(bs))
+    chunks = [bs[i : i + chunk] for i in range(0, len(bs), chunk)]
+    starts = [c[0] for c in chunks[1:]]
+    below = lambda array: F.size(F.filter(array, lambda x: x <= v))
+    at = _tree(v, starts, 0, len(starts)) if len(starts) <= TREE else below(_held(starts))
+    return X.let(at, lambda t: t * F.lit(chunk) + below(F.get(_held(chunks), t)))
+
+
 def bucket_column(group_cols: list[str], value_col: str, bounds: Bounds) -> Column:
     """Bucket id: how many of the group's boundaries are ``<= value`` (0 for small groups)."""
     if not bounds:
         return F.lit(0)
     expr = None
     for k, bs in bounds.items():
-        cond = reduce(lambda a, b: a & b, [F.col(g) == F.lit(x) for g, x in zip(group_cols, k)])
-        branch = _tree(F.col(value_col), bs, 0, len(bs))
+        cond = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.lit(x)) for g, x in zip(group_cols, k)])
+        branch = _upto(F.col(value_col), bs)
         expr = F.when(cond, branch) if expr is None else expr.when(cond, branch)
     return expr.otherwise(F.lit(0))
 

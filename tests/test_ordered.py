@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from millwright.operators import ordered
 from millwright.operators import risk as RK
@@ -78,3 +79,26 @@ def test_fit_risk_model_forced_buckets_equals_single_bucket(spark):
     ra = sorted((x.udi, x.part, x.risk) for x in RK.calibration_risk(r, a, exact=True).collect())
     rb = sorted((x.udi, x.part, x.risk) for x in RK.calibration_risk(r, b, exact=False).collect())
     assert ra == rb
+
+
+def test_ten_thousand_buckets(spark):
+    """Boundaries by two levels: the generated code and the driver hold no more than a number for each bucket."""
+    rnd = random.Random(5)
+    values = sorted({rnd.uniform(-1e6, 1e6) for _ in range(30_000)})
+    df = spark.createDataFrame([("g", v, 1) for v in values] + [("small", 1.0, 1)], "g string, v double, w int")
+    bounds = ordered.range_bounds(df, ["g"], "v", rows_per_bucket=3)
+    assert list(bounds) == [("g",)] and 9_000 < len(bounds[("g",)]) < 10_000 and set(bounds[("g",)]) <= set(values)
+    bucket = ordered.bucket_column(["g"], "v", bounds)
+    sizes = [r["count"] for r in df.select(bucket.alias("b")).groupBy("b").count().collect()]
+    assert max(sizes) <= 8 and len(sizes) > 9_000
+    plan = df.select(bucket.alias("b"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("CASE WHEN") < 400
+    got = {r.v: r.cum for r in ordered.running_sum(df, ["g"], "v", "w", bounds, "cum").where("g = 'g'").collect()}
+    assert got == {v: i + 1 for i, v in enumerate(values)}
+    knots = df.where("g = 'g'").select("g", "v", F.col("v").alias("hit"), bucket.alias("_b"))
+    probes = [(i, "g", rnd.uniform(-1.1e6, 1.1e6)) for i in range(2000)]
+    out = ordered.asof_backward(spark.createDataFrame(probes, "id long, g string, v double"), knots, ["g"], "v", "hit", bounds, "found")
+    array = np.array(values)
+    for r in out.collect():
+        at = np.searchsorted(array, probes[r.id][2], side="right")
+        assert r.found == (values[at - 1] if at else None)
