@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import re
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -171,6 +172,10 @@ class ByteBpe:
     def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
         return [x for run in runs_of(texts) for x in self.chunks.batch([self.cut(t) for t in run])]
 
+    @cached_property
+    def longest(self) -> int:
+        return max(map(len, self.ranks))
+
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
@@ -188,11 +193,25 @@ class Prefixes:
         for end in range(start + 1, len(self.piece) + 1):
             self.last.append(self.bpe.last_of(self.piece, end, None, self.last))
 
-    def edit(self, start: int, end: int, new: bytes) -> None:
-        """Replace piece[start:end]; prefixes before ``start`` are kept."""
-        rest = self.piece[end:]
-        self.piece, self.last = self.piece[:start], self.last[:start]
-        self.append(new + rest)
+    def edit(self, start: int, end: int, new: bytes) -> int:
+        """Replace piece[start:end]; returns how many prefixes were worked out anew.
+
+        Prefixes before ``start`` are kept.  A prefix's token depends on the bytes and the tokens of as
+        many shorter prefixes as the longest token has bytes; once so many in a row, all of them past
+        the edit, end as they did before, the rest does too and is taken over.
+        """
+        old, rest, reach = self.last, self.piece[end:], self.bpe.longest
+        self.piece, self.last = self.piece[:start], old[:start]
+        self.append(new)
+        at, same = len(self.piece), 0
+        self.piece += rest
+        for i in range(len(rest)):
+            if same >= reach:
+                self.last += old[end + i :]
+                return len(new) + i
+            self.last.append(self.bpe.last_of(self.piece, at + i + 1, None, self.last))
+            same = same + 1 if self.last[-1] == old[end + i] else 0
+        return len(new) + len(rest)
 
     def ids(self) -> list[int]:
         out, end = [], len(self.last)

@@ -510,6 +510,25 @@ def test_prefixes_append_and_edit(bpe):
     assert bpe.encode_piece(long) == bpe.merge(long)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.binary(min_size=0, max_size=400), st.binary(max_size=12), st.data())
+def test_edits_equal_encoding_anew(bpe, raw, new, data):
+    piece = (b"the plain words of a longer piece 12345 " * 8) + raw
+    start = data.draw(st.integers(0, len(piece)))
+    end = data.draw(st.integers(start, min(len(piece), start + 9)))
+    p = bpe_bytes.Prefixes(bpe, piece)
+    p.edit(start, end, new)
+    whole = bpe_bytes.Prefixes(bpe, piece[:start] + new + piece[end:])
+    assert p.piece == whole.piece and p.last == whole.last and p.ids() == whole.ids()
+
+
+def test_an_edit_works_out_its_neighbourhood_only(bpe):
+    piece = b"some words that go on and on, " * 2000
+    p = bpe_bytes.Prefixes(bpe, piece)
+    assert p.edit(100, 103, b"xyz") < 3 + 4 * bpe.longest < len(piece) / 10
+    assert p.ids() == bpe_bytes.Prefixes(bpe, p.piece).ids()
+
+
 def test_byte_bpe_odd(bpe, odd, none):
     got = Counter(tuple(r) for r in bpe_bytes.op7_byte_bpe(odd, BPE, P.PATTERN).collect())
     sha = lambda b: hashlib.sha256(b).hexdigest()
