@@ -46,13 +46,15 @@ def hourly_kpis(readings: DataFrame, watermark: str = "2 hours") -> DataFrame:
                     (F.col("failures").cast("double") * 100.0 / F.col("operations")).alias("failure_rate"))
 
 
-def run_hourly_kpis(spark: SparkSession, sf_dir: str, checkpoint: str, sink_table: str = "hourly_kpis"):
-    """Run the hourly KPI stream to completion over the files present (``availableNow``) into a memory table.
+def run_hourly_kpis(spark: SparkSession, sf_dir: str, checkpoint: str, out: str) -> DataFrame:
+    """Run the hourly KPI stream to completion over the files present (``availableNow``), appending to the
+    Parquet folder ``out``, and read that back.
 
-    ``checkpoint`` must be a folder on shared storage (the query's progress and state live there).
+    Both folders must be on shared storage: the query's progress and state live in ``checkpoint``, and
+    the file sink's log in ``out`` makes each hour appear once even if a run is repeated after a failure.
     """
     q = (hourly_kpis(flagged_readings(event_stream(spark, sf_dir)))
-         .writeStream.outputMode("append").format("memory").queryName(sink_table)
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+         .writeStream.outputMode("append").format("parquet")
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out))
     q.awaitTermination()
-    return spark.table(sink_table)
+    return spark.read.parquet(out)
