@@ -185,11 +185,8 @@ def maintenance_schedule(df: DataFrame, thresholds=None) -> DataFrame:
     quantile = method == "quantile"
     spark = df.sparkSession
     tiers = literal_table(spark, [
-        (0, "URGENT", f"Tool wear >= {urgent:.2f} min ({'Q95' if quantile else 'fallback'})", S.TIER_ACTIONS["URGENT"]),
-        (1, "HIGH", f"Tool wear >= {high:.2f} and < {urgent:.2f} min ({'Q80-Q95' if quantile else 'fallback range'})",
-         S.TIER_ACTIONS["HIGH"]),
-        (2, "ROUTINE", f"Tool wear < {high:.2f} min", S.TIER_ACTIONS["ROUTINE"])],
-        ["pos", "tier", "condition", "action"])
+        (i, tier, words.format(high=high, urgent=urgent, of=S.TIER_RANGES[tier][0 if quantile else 1]), S.TIER_ACTIONS[tier])
+        for i, (tier, words) in enumerate(S.TIER_CONDITIONS.items())], ["pos", "tier", "condition", "action"])
     counts = (
         _with_sensors(df).select(tier_expr(F.col(S.WEAR), F.lit(high), F.lit(urgent)).alias("tier"))
         .groupBy("tier").agg(F.count(F.lit(1)).alias("units"))
@@ -207,27 +204,18 @@ def limit_violations(df: DataFrame, limits: DataFrame | None = None) -> DataFram
     """Per sensor: rows below ``lo`` or above ``hi`` of the (rounded) operating limits.
 
     Limits default to the dataset's own; pass another snapshot's to compare.
-    One scan: each sensor's bounds are scalar subqueries over the five-row
-    limits table and every sensor's violations are a conditional sum in the
-    same aggregate.
+    The bounds, at most a pair for each sensor, are taken as values; every sensor's violations are
+    then a conditional sum in one aggregate.
     """
     df = _with_sensors(df)
     lim = limits if limits is not None else operating_limits(df)
-    bounds = {}
-    for c in S.SENSORS:
-        one = lim.where(F.col("sensor") == c)
-        bounds[c] = (one.select(F.max("lo")).scalar(), one.select(F.max("hi")).scalar())
-    counts = df.agg(*[
-        F.sum(F.when((F.col(c) < bounds[c][0]) | (F.col(c) > bounds[c][1]), 1).otherwise(0)).cast("bigint").alias(c)
-        for c in S.SENSORS
-    ])
-    rows = [F.struct(F.lit(c).alias("sensor"), F.col(c).alias("violations")) for c in S.SENSORS]
-    v = counts.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
-    return (
-        lim.join(F.broadcast(v), "sensor")
-        .select("pos", "sensor", "sensor_name", "lo", "hi", F.coalesce("violations", F.lit(0).cast("bigint")).alias("violations"))
-        .orderBy("pos")
-    )
+    rows = [r.asDict() for r in lim.select("pos", "sensor", "sensor_name", "lo", "hi").collect()]
+    if not rows:
+        return lim.select("pos", "sensor", "sensor_name", "lo", "hi", F.lit(0).cast("bigint").alias("violations"))
+    out = [F.struct(*[F.lit(r[k]).alias(k) for k in ("pos", "sensor", "sensor_name", "lo", "hi")],
+                    F.coalesce(F.sum(F.when((F.col(r["sensor"]) < r["lo"]) | (F.col(r["sensor"]) > r["hi"]), 1).otherwise(0)), F.lit(0))
+                    .cast("bigint").alias("violations")) for r in rows]
+    return df.agg(F.array(*out).alias("rows")).select(F.inline("rows")).orderBy("pos")
 
 
 def dataset_profile(df: DataFrame) -> DataFrame:

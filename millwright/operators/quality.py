@@ -74,10 +74,10 @@ def reliability_warnings(df: DataFrame) -> DataFrame:
     """Text warnings from ``out_of_range`` and ``high_z`` (after :func:`assess_quality`)."""
     return df.select(
         "*",
-        F.transform("out_of_range", lambda o: F.format_string("%s=%.2f outside [%.2f, %.2f]",
+        F.transform("out_of_range", lambda o: F.format_string(S.RANGE_WARNING,
                                                                o["feature"], o["value"], o["min"], o["max"]))
         .alias("range_warnings"),
-        F.transform("high_z", lambda h: F.format_string("%s z=%.2f", h["feature"], h["z_score"])).alias("z_warnings"),
+        F.transform("high_z", lambda h: F.format_string(S.Z_WARNING, h["feature"], h["z_score"])).alias("z_warnings"),
     )
 
 

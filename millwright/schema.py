@@ -78,6 +78,16 @@ TIER_ACTIONS = {
     "HIGH": "Schedule accelerated inspection",
     "ROUTINE": "Schedule within next maintenance window",
 }
+# Condition text of a tier, and what its range is called with fitted and with fallback thresholds.
+TIER_CONDITIONS = {
+    "URGENT": "Tool wear >= {urgent:.2f} min ({of})",
+    "HIGH": "Tool wear >= {high:.2f} and < {urgent:.2f} min ({of})",
+    "ROUTINE": "Tool wear < {high:.2f} min",
+}
+TIER_RANGES = {"URGENT": ("Q95", "fallback"), "HIGH": ("Q80-Q95", "fallback range"), "ROUTINE": ("", "")}
+# Texts of reliability warnings: feature and value, with the range or the z-score.
+RANGE_WARNING = "%s=%.2f outside [%.2f, %.2f]"
+Z_WARNING = "%s z=%.2f"
 # Anomaly scoring.
 HIGH_Z = 3.0
 Z_SCALE = 4.0

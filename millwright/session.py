@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
-def local_session(cores: int = 8, shuffle_partitions: int = 8, app: str = "millwright") -> SparkSession:
+def local_session(cores: int = 8, shuffle_partitions: int = 8, app: str = "millwright",
+                  memory: str = "8g") -> SparkSession:
     """A local session for tests and the bench (UI off, AQE on, UTC)."""
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -28,7 +29,7 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, app: str = "millw
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.driver.memory", "16g")
+        .config("spark.driver.memory", memory)
         # Constraint inference grows combinatorially on the wide as-of plans
         # (a struct of every column carried through union + window + join);
         # with it on, planning a failure-mode lookup of an in-memory table

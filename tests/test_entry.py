@@ -7,7 +7,8 @@ import __spark_entry__ as E
 from conftest import SF_SMALL
 
 FAST = ["kpis", "patterns", "diagnosis", "maintenance_schedule", "ecdf_risk", "ecdf_lookup", "failure_modes",
-        "validate_requests", "check_limits", "roc_auc", "scaled_features"]
+        "validate_requests", "check_limits", "roc_auc", "scaled_features", "hdf_risk", "train_test_split", "limit_violations",
+        "reliability_warnings", "model_metrics", "model_comparison", "best_model", "route_requests", "dedup_tool_calls"]
 
 
 def test_entry_runs(spark):
@@ -22,7 +23,7 @@ def test_every_oracle_has_a_query():
 
 def test_parity_small(spark):
     con = duckdb.connect()
-    for t in ("lineitem", "events"):
+    for t in ("lineitem", "events", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{os.path.join(SF_SMALL, t + '.parquet')}')")
     qs, orc = E.queries(), E.oracle_sql()
     for name in FAST:
