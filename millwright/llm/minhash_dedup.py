@@ -8,9 +8,9 @@ each coordinate with probability s, so those at 0.8 or more collide in at least
 Only prefixes are merged: a document's coordinates are ordered by the length of
 their lists, and its ``MATCHES - 1`` longest are skipped.  Two documents that share
 ``MATCHES`` coordinates then still meet in one of the others.  The skipped lists are
-probed instead: each posting carries a byte of every coordinate, and the collisions
+probed instead: a document's body holds a byte of every coordinate, and the collisions
 of a pair are counted from these bytes (a byte can only add collisions).  It also
-carries an odd sketch of the set, a bit for the parity of the shingles hashed to it: two
+holds an odd sketch of the set, a bit for the parity of the shingles hashed to it: two
 sketches differ in no more bits than their sets in shingles, which rules out most pairs
 that are only rather alike.  Pairs above the threshold are confirmed on their full sets.
 
@@ -126,7 +126,6 @@ def _collisions(a: str, b: str) -> Column:
 
 
 ODD = [f"o{i}" for i in range(SKETCH // 64)]
-BODY = ["node", "n", *PARTS, *ODD]
 
 
 def _alike(a: str, b: str, share: int) -> Column:
@@ -149,8 +148,8 @@ def _alike(a: str, b: str, share: int) -> Column:
     )
 
 
-def postings(sigs: DataFrame) -> DataFrame:
-    """coord, value, and the body: each node under its prefix of lists that have company."""
+def postings(sigs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, coord, value: each node under its prefix of lists that have company; the bodies of the nodes)."""
     parts = [_packed("sig", i).alias(p) for i, p in enumerate(PARTS)]
     parts += [F.col("odd")[i].alias(o) for i, o in enumerate(ODD)]
     nodes = sigs.where(F.size("sig") > 0).groupBy("set_key").agg(
@@ -167,9 +166,11 @@ def postings(sigs: DataFrame) -> DataFrame:
         .select("node", F.explode(F.expr(f"slice(lists, 1, size(lists) - {MATCHES - 1})")).alias("l"))
         .select("node", "l.coord", "l.value")
     )
-    out = store(kept.join(nodes.select("node", "n", *parts), "node"), "minhash-postings")
+    posted = store(kept, "minhash-postings")
+    held = nodes.select("node", "n", *parts).join(posted.select("node").distinct(), "node", "left_semi")
+    bodies = store(held, "minhash-bodies")
     discard(nodes)
-    return out
+    return posted, bodies
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -248,15 +249,16 @@ def link_near(sigs: DataFrame, docs: DataFrame, size: int, share: int, rounds: i
 
     ``sigs``, a stored table, is deleted once its postings are written.
     """
-    posted = postings(sigs)
+    posted, bodies = postings(sigs)
     discard(sigs)
     key = ["coord", "value"]
-    nodes = posted.select("node").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(nodes.hint("merge"), "node", "left_semi")
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(bodies.select("node").hint("merge"), "node", "left_semi")
     texts = store(texts, "candidate-texts").withColumnRenamed("node", "doc_id")
     joined, rest, source = None, posted.withColumn("component", F.col("node")), posted
 
     def against(left: DataFrame, right: DataFrame, extra: Column | None = None) -> DataFrame:
+        """Alike pairs of one list. Postings travel without bodies; these are joined here, for this one comparison."""
+        left, right = (x.join(bodies, "node") for x in (left, right))
         met = (F.col("l.coord") == F.col("r.coord")) & (F.col("l.value") == F.col("r.value"))
         met = met & (F.col("l.node") != F.col("r.node")) & _alike("l", "r", share)
         return left.alias("l").join(right.alias("r"), met if extra is None else met & extra)
@@ -290,10 +292,9 @@ def link_near(sigs: DataFrame, docs: DataFrame, size: int, share: int, rounds: i
 
     for step in range(rounds):
         lists = open_lists(step)
-        hub = lists.where("component = main").groupBy(*key).agg(
-            F.min(F.struct(F.xxhash64("node", "coord", F.lit(step)), *BODY)).alias("c")
-        )
-        stars = against(lists.where("component <> main"), hub.select(*key, "c.*")).groupBy(F.col("l.node").alias("a"))
+        turn = F.struct(F.xxhash64("node", "coord", F.lit(step)), "node")
+        hub = lists.where("component = main").groupBy(*key).agg(F.min(turn).alias("c")).select(*key, "c.node")
+        stars = against(lists.where("component <> main"), hub).groupBy(F.col("l.node").alias("a"))
         best = F.max(F.struct(_collisions("l", "r").alias("hits"), F.col("r.node").alias("b"))).alias("best")
         pairs = store(stars.agg(best).select("a", "best.b"), "star-pairs")
         joined = with_links(pairs)
@@ -308,7 +309,7 @@ def link_near(sigs: DataFrame, docs: DataFrame, size: int, share: int, rounds: i
     pairs = against(lists.where("component <> main"), lists, across)
     pairs = store(pairs.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct(), "cross-pairs")
     out = with_links(pairs)
-    discard(lists, pairs, texts)
+    discard(lists, pairs, texts, bodies)
     return out
 
 
