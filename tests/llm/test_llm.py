@@ -637,6 +637,42 @@ def test_held_out_recall(spark):
     assert all_ > 50 and found >= 0.95 * all_
 
 
+def test_every_finding_is_learned_from(spark, monkeypatch):
+    """No finding is left out of the fit or the calibration, and the threshold keeps the recall over all of them."""
+    r = random.Random(12)
+    line = lambda i: ("password=" + "".join(r.choices("0123456789abcdef", k=20)) if i % 2 else f"Some-Hyphenated-Words{i}")
+    docs = docs_of(spark, [f"x {line(i)} y {line(i + 1)} z" for i in range(3600)])
+    monkeypatch.setattr(secrets, "SHARD", 500)
+    passed = {}
+    epoch, calibrate = secrets._epoch, secrets.calibrate
+
+    def one(net, rows, shards, at):
+        passed["fit"] = rows.count(), shards
+        epoch(net, rows, shards, at)
+
+    def last(net, rows, n, *rest):
+        passed["calibrate"] = rows.count()
+        calibrate(net, rows, n, *rest)
+        p = net.probabilities([x.window for x in rows.where("label = 1").collect()])
+        passed["found"] = (p >= net.threshold - 1e-9).sum() / n[1]
+
+    monkeypatch.setattr(secrets, "_epoch", one)
+    monkeypatch.setattr(secrets, "calibrate", last)
+    net = secrets.train(docs, folds=3)
+    n = {x.fold: x["count"] for x in secrets.findings(docs, 3).groupBy("fold").count().collect()}
+    assert passed["fit"] == (n[secrets.FIT], -(-n[secrets.FIT] // 500)) and passed["calibrate"] == n[secrets.CALIBRATE]
+    assert passed["found"] >= 0.95 and sum(n.values()) == 7200
+    again = secrets.train(docs, folds=3)
+    assert all((again.p[k] == net.p[k]).all() for k in net.p) and again.threshold == pytest.approx(net.threshold, rel=1e-9)
+
+
+def test_ranks_are_exact(spark):
+    r = random.Random(4)
+    z = [r.choice([r.gauss(0, 5), 1.5, -2.0, 1e-9 * r.random()]) for _ in range(3000)]
+    rows = spark.createDataFrame([(x,) for x in z], "z double")
+    assert [secrets._ranked(rows, k) for k in (0, 700, 1500, 2999)] == [sorted(z)[k] for k in (0, 700, 1500, 2999)]
+
+
 def test_char_net_gradients():
     net = secrets.CharNet()
     codes = secrets.coded(["a password=XyZ 12 34".ljust(secrets.WIDTH), "plain words only".ljust(secrets.WIDTH)])
