@@ -57,7 +57,8 @@ class _Scans:
 
     def __enter__(self):
         store = self.spark._jsparkSession.sharedState().statusStore()
-        self.before = store.executionsCount()
+        runs = store.executionsList()  # only the last ones are retained, so their count is no next number
+        self.before = max([runs.apply(i).executionId() + 1 for i in range(runs.size())], default=0)
         return self
 
     def __exit__(self, *_):

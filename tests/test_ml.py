@@ -1,6 +1,7 @@
 """Exact stratified split, early stopping, every fit, grouped metrics, saved state."""
 
 import random
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,8 @@ from pyspark.sql import functions as F
 from millwright import schema as S
 from millwright.operators import metrics, ml, report, state
 from millwright.operators.features import feature_matrix
+from millwright.plans import ml_queries
+from millwright.plans.registry import state_path
 from millwright.sources.readings import readings_from_events
 
 SMALL = "/root/testdata/sf0.001"
@@ -73,6 +76,30 @@ def test_selected_models_unscaled_and_unknown(readings):
         ml.train_suite(readings, ["Nothing"])
 
 
+def test_a_query_fits_the_models_that_it_needs(spark, monkeypatch):
+    """One model's query fits that one; what a later query needs is taken from the store, in the models' own order."""
+    fitted = []
+    fit = ml.fit_model
+    monkeypatch.setattr(ml, "fit_model", lambda name, *rest: fitted.append(name) or fit(name, *rest))
+    monkeypatch.setattr(ml_queries, "state_path", lambda spark, sf_dir, name, own=uuid.uuid4().hex: state_path(spark, sf_dir, f"{own}-{name}"))
+    row = ml_queries._model_row("Decision Tree")(spark, SMALL).collect()
+    assert fitted == ["Decision Tree"] and [(r.model, r.pos) for r in row] == [("Decision Tree", 3)]
+    both = ml_queries.fitted_suite(spark, SMALL, ["Decision Tree", "Logistic Regression"])
+    assert fitted == ["Decision Tree", "Logistic Regression"] and list(both.models) == ["Logistic Regression", "Decision Tree"]
+    whole = ml.train_suite(readings_from_events(spark, SMALL), ["Decision Tree", "Logistic Regression"])
+    key = lambda s: {r.model: tuple(r)[2:] for r in s.metrics.collect()}
+    assert key(both) == key(whole) and both.best == whole.best and both.scaler == whole.scaler and both.n_train == whole.n_train
+
+
+def test_one_file_is_fitted_by_many_tasks(spark, monkeypatch):
+    df = spark.range(1000, numPartitions=1).selectExpr("id AS udi", "id * 1.5D AS x")
+    monkeypatch.setattr(ml, "TASK_ROWS", 100)
+    many = ml.dealt(df)
+    assert many.rdd.getNumPartitions() == 10 and sorted(map(tuple, many.collect())) == sorted(map(tuple, df.collect()))
+    monkeypatch.setattr(ml, "TASK_ROWS", 1000)
+    assert ml.dealt(df) is df
+
+
 def test_no_leakage_column(readings):
     """What the models see does not change with the mode columns that the label is made of."""
     flipped = readings.select(*[(1 - F.col(c)).alias(c) if c in S.MODE_COLS else F.col(c) for c in readings.columns])
