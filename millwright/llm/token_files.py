@@ -35,21 +35,32 @@ from millwright.session import ensure_checkpoint_dir
 SIZES = np.array([[(c >> 2 * i & 3) + 1 for i in range(4)] for c in range(256)], np.int64)
 
 
-def encode_values(values: np.ndarray) -> tuple[bytes, bytes]:
-    """Control and data bytes of unsigned 32-bit values."""
+def encode_rows(values: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Control bytes, where each row's begin and the last row's end, and the same of the data bytes.
+
+    ``values``: unsigned 32-bit values of all rows one after another; ``n``: how many each row has.
+    """
     v = np.ascontiguousarray(values, "<u4")
     size = 1 + (v > 0xFF).astype(np.uint8) + (v > 0xFFFF) + (v > 0xFFFFFF)
-    padded = np.zeros(-(-len(v) // 4) * 4, np.uint8)
-    padded[: len(v)] = size - 1
+    quads = -(-n // 4)
+    padded = np.zeros(4 * int(quads.sum()), np.uint8)
+    before = np.cumsum(4 * quads - n) - (4 * quads - n)  # unused places of the rows before
+    padded[np.arange(len(v)) + np.repeat(before, n)] = size - 1
     control = padded[0::4] | padded[1::4] << 2 | padded[2::4] << 4 | padded[3::4] << 6
     data = v.view(np.uint8).reshape(-1, 4)[np.arange(4) < size[:, None]]
-    return control.tobytes(), data.tobytes()
+    ends = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])[_cuts(n)]
+    return control, _cuts(quads), data, ends
 
 
-def decode_values(control: bytes, data: bytes, n: int) -> np.ndarray:
-    size = SIZES[np.frombuffer(control, np.uint8)].ravel()[:n]
+def decode_rows(control: np.ndarray, data: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The values of all rows one after another, from their control and data bytes, which follow each other."""
+    quads = -(-n // 4)
+    used, ends = np.ones(4 * len(control), bool), np.cumsum(4 * quads)
+    for i in (1, 2, 3):
+        used[(ends - i)[4 * quads - n >= i]] = False
+    size = SIZES[control].ravel()[used]
     start = np.cumsum(size) - size
-    raw = np.concatenate([np.frombuffer(data, np.uint8), np.zeros(4, np.uint8)])
+    raw = np.concatenate([data, np.zeros(4, np.uint8)])
     out = raw[start].astype(np.uint32)
     for i in (1, 2, 3):
         at = np.flatnonzero(size > i)
@@ -57,55 +68,93 @@ def decode_values(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
+def encode_values(values: np.ndarray) -> tuple[bytes, bytes]:
+    """Control and data bytes of unsigned 32-bit values."""
+    control, _, data, _ = encode_rows(values, np.array([len(values)]))
+    return control.tobytes(), data.tobytes()
+
+
+def decode_values(control: bytes, data: bytes, n: int) -> np.ndarray:
+    return decode_rows(np.frombuffer(control, np.uint8), np.frombuffer(data, np.uint8), np.array([n]))
+
+
+def _cuts(n: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(n)])
+
+
+def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column's rows one after another, and how many each row has; no row is null."""
+    if not len(column):
+        return np.empty(0, np.uint8), np.empty(0, np.int64)
+    column = column.cast(pa.large_binary())
+    _, ends, held = column.buffers()
+    ends = np.frombuffer(ends, np.int64)[column.offset : column.offset + len(column) + 1]
+    return (np.frombuffer(held, np.uint8)[ends[0] : ends[-1]] if ends[-1] > ends[0] else np.empty(0, np.uint8)), np.diff(ends)
+
+
+def column_of(held: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """A binary column of rows that end where ``cuts`` says."""
+    rows = pa.LargeBinaryArray.from_buffers(
+        pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(held))]
+    )
+    return rows.cast(pa.binary())
+
+
+def parts_of(batches, rows: int = 512):
+    """The batches in slices of some rows, as their temporary arrays are several times as large."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 #: How the tokenizer cuts lower-cased words of printable ASCII and Latin-1 letters (no "<", which
 #: could begin a special token): the fixed pattern of its pre-tokenizer over these characters.
 PLAIN = re.compile("[!-;=-~ß-öø-ÿ]+")
-PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9\\n]+|\\n")
 #: Byte-level alphabet: bytes without a printable Latin-1 character take the code points from 256 on.
 _SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
 ALPHABET = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+SHOWN = {b: c for b, c in ALPHABET.items() if b != 10}
 
 
 class WordEncoder:
     """Asks the library for each new word once.
 
-    A word of ``PLAIN`` characters is cut as the tokenizer does, and its BPE model asked for
-    each new piece; every other word goes through the whole tokenizer.
+    Words of ``PLAIN`` characters are cut as the tokenizer does, all that are new at once, and its
+    BPE model asked for each new piece; every other word goes through the whole tokenizer.
     """
 
     def __init__(self, tok, limit: int = 900_000):
         self.tok, self.model = tok, tok.model
-        self.pieces: dict[str, list[int]] = {}
+        self.pieces = Ragged(self.models, 300_000)
         self.words = Ragged(self.many, limit)
 
-    def piece(self, piece: str) -> list[int]:
-        shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(ALPHABET)
-        ids = [t.id for t in self.model.tokenize(shown)]
-        if len(piece) <= 64:
-            if len(self.pieces) > 300_000:
-                self.pieces.clear()
-            self.pieces[piece] = ids
-        return ids
-
-    def many(self, chunks: list[bytes]) -> list[list[int]]:
-        out, rest, pieces = [], [], self.pieces
-        for chunk in chunks:
-            word = chunk.decode()
-            if not chunk.isascii():
-                word = word.lower()
-            if not PLAIN.fullmatch(word):
-                rest.append((len(out), chunk))
-                out.append([])
-                continue
-            cut = [word] if chunk.isalpha() else PIECES.findall(word)
-            ids = pieces.get(cut[0]) or self.piece(cut[0])
-            for p in cut[1:]:
-                ids = ids + (pieces.get(p) or self.piece(p))
-            out.append(ids)
-        found = self.tok.encode_batch_fast([c.decode() for _, c in rest], add_special_tokens=False)
-        for (i, _), e in zip(rest, found):
-            out[i] = e.ids
-        return out
+    def models(self, pieces: list[str]) -> list[list[int]]:
+        """What the BPE model makes of pieces in its alphabet; a line feed stands between words and has no ids."""
+        shown = "\n".join("" if p == "\n" else p for p in pieces)
+        if not shown.isascii():
+            shown = shown.encode().decode("latin-1").translate(SHOWN)
+        return [[t.id for t in self.model.tokenize(p)] if p else [] for p in shown.split("\n")]
+
+    def many(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all chunks one after another, and how many each has; chunks hold no line feed."""
+        whole = b"\n".join(chunks).decode()
+        lower = whole if whole.isascii() else "\n".join(w if w.isascii() else w.lower() for w in whole.split("\n"))
+        cut = lower.split("\n")
+        plain = np.fromiter(map(bool, map(PLAIN.fullmatch, cut)), bool, len(cut))
+        rest = np.flatnonzero(~plain).tolist()
+        if rest:
+            lower = "\n".join(w if p else "" for w, p in zip(cut, plain.tolist()))
+        found = PIECES.findall(lower + "\n")
+        flat, sizes = self.pieces.together(found)
+        ends = np.flatnonzero(np.fromiter(map("\n".__eq__, found), bool, len(found)))
+        lens = np.diff(np.cumsum(sizes)[ends], prepend=0)
+        if rest:
+            others = [e.ids for e in self.tok.encode_batch_fast([chunks[i].decode() for i in rest], add_special_tokens=False)]
+            parts = np.split(flat, np.cumsum(lens)[rest])  # a chunk of the rest has no ids yet
+            flat = np.concatenate([x for p, o in zip(parts, [*others, []]) for x in (p, np.array(o, np.uint32))])
+            lens[rest] = [len(o) for o in others]
+        return flat, lens
 
 
 _LOADED: dict = {}
@@ -157,9 +206,8 @@ def id_counts(tokens: DataFrame, vocab: int) -> DataFrame:
 
     def run(batches):
         total = np.zeros(vocab, np.int64)
-        for batch in batches:
-            for x in batch["ids"].to_pylist():
-                total += np.bincount(np.frombuffer(x, "<u4"), minlength=vocab)[:vocab]
+        for part in parts_of(batches):
+            total += np.bincount(bytes_of(part["ids"])[0].view("<u4"), minlength=vocab)[:vocab]
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["id", "n"])
 
@@ -183,15 +231,15 @@ def write_files(tokens: DataFrame, folder: str, vocab: int, files: int) -> None:
 
     def code(batches):
         rank = shared.value
-        for batch in batches:
-            ids = [np.frombuffer(x, "<u4") for x in batch["ids"].to_pylist()]
-            coded = [encode_values(rank[x]) for x in ids]
+        for part in parts_of(batches):
+            ids, n = bytes_of(part["ids"])
+            control, control_cuts, data, data_cuts = encode_rows(rank[ids.view("<u4")], n // 4)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch["doc_id"],
-                    pa.array([len(x) for x in ids], pa.int64()),
-                    pa.array([c for c, _ in coded], pa.binary()),
-                    pa.array([d for _, d in coded], pa.binary()),
+                    part["doc_id"],
+                    pa.array(n // 4, pa.int64()),
+                    column_of(control, control_cuts),
+                    column_of(data, data_cuts),
                 ],
                 names=["doc_id", "n_tokens", "control", "data"],
             )
@@ -244,12 +292,12 @@ def read_files(spark: SparkSession, folder: str) -> DataFrame:
 
     def run(batches):
         offsets, ids = shared.value
-        for b in batches:
-            rows = zip(b["control"].to_pylist(), b["data"].to_pylist(), b["n_tokens"].to_pylist())
-            back = [ids[decode_values(c, d, n)].astype("<u4").tobytes() for c, d, n in rows]
+        for b in parts_of(batches):
+            n = b["n_tokens"].to_numpy()
+            back = ids[decode_rows(bytes_of(b["control"])[0], bytes_of(b["data"])[0], n)].astype("<u4")
             start = [offsets[f] + s for f, s in zip(b["file"].to_pylist(), b["local_start"].to_pylist())]
             yield pa.RecordBatch.from_arrays(
-                [b["doc_id"], pa.array(start, pa.int64()), b["n_tokens"], pa.array(back, pa.binary())],
+                [b["doc_id"], pa.array(start, pa.int64()), b["n_tokens"], column_of(back.view(np.uint8), _cuts(4 * n))],
                 names=["doc_id", "start", "n_tokens", "ids"],
             )
 

@@ -883,3 +883,28 @@ def test_stages_on_an_empty_table(spark, none, name):
 
     out = dict(corpus_pipeline.STAGES)[name](spark, none, SMALL)
     assert out.collect() == [] and (name == "byte_bpe" or out.columns == none.columns)
+
+
+def test_rows_of_values_are_coded_together():
+    """Several rows at once, some without values and some not a multiple of four, also from a slice of the columns."""
+    rows = [[], [1], [255, 256, 70_000, 2**32 - 1, 0], [7] * 8, [], [300] * 3]
+    n = np.array([len(x) for x in rows])
+    control, control_cuts, data, data_cuts = token_files.encode_rows(np.concatenate(rows).astype(np.uint32), n)
+    columns = [token_files.column_of(control, control_cuts), token_files.column_of(data, data_cuts)]
+    assert list(zip(*(c.to_pylist() for c in columns))) == [token_files.encode_values(np.array(x, np.uint32)) for x in rows]
+    for k in range(len(rows) + 1):
+        held = [token_files.bytes_of(c.slice(k))[0] for c in columns]
+        assert token_files.decode_rows(*held, n[k:]).tolist() == [v for x in rows[k:] for v in x]
+
+
+def test_many_words_at_once_are_encoded_as_the_tokenizer_does():
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(WORDS)
+    odd = ["don't", "a1b2", "É!x", "q" * 70, "é" * 80, "<|endoftext|>x", "日本", "Σσς", "x--'s", "\x1cu", "12"]
+    text = " ".join(odd * 2)
+    enc = token_files.WordEncoder(tok)
+    flat, lens = enc.many(token_files.chunks(text))
+    assert flat.tolist() == tok.encode(text, add_special_tokens=False).ids
+    assert len(lens) == 2 * len(odd) and lens.sum() == len(flat)
+    assert enc.words.ids(token_files.chunks(text)).tolist() == flat.tolist()
