@@ -38,7 +38,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millwright.llm.common import discard, held_out, store, words
+from millwright.llm.common import discard, held_out, released, store, words
+from millwright.llm.token_files import decode_values, encode_values
 
 MU = 20.0
 #: Words that occur less often share the rare class.
@@ -190,9 +191,10 @@ def _log(x: np.ndarray) -> np.ndarray:
 
 
 def contexts(coded: DataFrame, of: np.ndarray, end: int, total: int, blocks: int) -> DataFrame:
-    """block, codes, n: for each block of words (number mod ``blocks``) and task, what stands beside its words.
+    """block, size, control, data: for each block of words (number mod ``blocks``) and task, what stands beside its words.
 
     A code is (place in the block * 2 + side) * total + class of the neighbour; block -1 has the class by class counts.
+    The ``size`` codes, each less the one before, and then how often each occurs are packed by ``encode_values``.
     """
     shared, width = coded.sparkSession.sparkContext.broadcast(of), 2 * total
 
@@ -216,13 +218,28 @@ def contexts(coded: DataFrame, of: np.ndarray, end: int, total: int, blocks: int
         code = code // width // blocks * width + code % width
         cuts = np.searchsorted(block, np.arange(blocks + 1)).tolist()
         full = [b for b in range(blocks) if cuts[b] < cuts[b + 1]]
-        cut = lambda x: [x[cuts[b] : cuts[b + 1]].tobytes() for b in full]
+        packed = [_packed(code[cuts[b] : cuts[b + 1]], n[cuts[b] : cuts[b + 1]]) for b in full]
         yield pa.RecordBatch.from_arrays(
-            [pa.array([-1, *full]), pa.array([b"", *cut(code)]), pa.array([grid.tobytes(), *cut(n)])],
-            names=["block", "codes", "n"],
+            [
+                pa.array([-1, *full], pa.int64()),
+                pa.array([len(grid), *(cuts[b + 1] - cuts[b] for b in full)], pa.int64()),
+                pa.array([b"", *(c for c, _ in packed)], pa.binary()),
+                pa.array([grid.tobytes(), *(d for _, d in packed)], pa.binary()),
+            ],
+            names=["block", "size", "control", "data"],
         )
 
-    return coded.select("ids").mapInArrow(run, "block long, codes binary, n binary")
+    return coded.select("ids").mapInArrow(run, "block long, size long, control binary, data binary")
+
+
+def _packed(code: np.ndarray, n: np.ndarray) -> tuple[bytes, bytes]:
+    """Ascending codes and their counts in a byte or two each."""
+    return encode_values(np.concatenate([np.diff(code, prepend=0), n]))
+
+
+def _unpacked(size: int, control: bytes, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    both = decode_values(control, data, 2 * size).astype(np.int64)
+    return np.cumsum(both[:size]), both[size:]
 
 
 def exchange(coded: DataFrame, v: Vocabulary, clustered: int, classes: int, rounds: int, block: int = 4096):
@@ -237,8 +254,8 @@ def exchange(coded: DataFrame, v: Vocabulary, clustered: int, classes: int, roun
     for step in range(rounds + 1):
         found = store(contexts(coded, of, end, total, blocks), "class-contexts")
         counts = np.zeros((total, total))
-        for r in found.where("block = -1").select("n").collect():
-            counts += np.frombuffer(r["n"], np.int64).reshape(total, total)
+        for r in found.where("block = -1").select("data").collect():
+            counts += np.frombuffer(r["data"], np.int64).reshape(total, total)
         likely = float(_log(counts).sum() - _log(counts.sum(0)).sum() - _log(counts.sum(1)).sum())
         rise = math.inf if best is None else likely - best[0]
         if rise > 0 or step < 3:  # all words have had their first move after two rounds
@@ -247,9 +264,10 @@ def exchange(coded: DataFrame, v: Vocabulary, clustered: int, classes: int, roun
             discard(found)
             return best[1:]
         shared = sc.broadcast((of, counts, blocks, often, end, step))
-        new = found.where("block >= 0").groupBy("block").applyInArrow(_mover(shared), "block long, cls binary")
+        with released(coded.sparkSession):
+            new = found.where("block >= 0").groupBy("block").applyInArrow(_mover(shared), "block long, cls binary").collect()
         of = of.copy()
-        for r in new.collect():
+        for r in new:
             of[r["block"] :: blocks] = np.frombuffer(r["cls"], of.dtype)
         discard(found)
         shared.unpersist()
@@ -263,8 +281,9 @@ def _mover(shared):
         at = table["block"][0].as_py()
         own = of[at::blocks]
         m = np.zeros(len(own) * 2 * len(counts))
-        for code, n in zip(table["codes"].to_pylist(), table["n"].to_pylist()):
-            m[np.frombuffer(code, np.int64)] += np.frombuffer(n, np.int64)  # a code comes once
+        for part in zip(*(table[c].to_pylist() for c in ("size", "control", "data"))):
+            code, n = _unpacked(*part)
+            m[code] += n  # a code comes once
         m = m.reshape(len(own), 2, len(counts))
         number = at + blocks * np.arange(len(own))
         free = (number % 2 != step % 2) & (number > 0) & ((number <= often) | (number > end))
@@ -276,6 +295,15 @@ def _mover(shared):
     return move
 
 
+def _risen(left: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """What the terms of ``left`` gain by ``more`` in each column; logarithms are taken only where there is more."""
+    out = np.zeros_like(left)
+    i, j = np.nonzero(more)
+    was = left[i, :, j]
+    out[i, :, j] = _log(was + more[i, j, None]) - _log(was)
+    return out
+
+
 def _moved(a: np.ndarray, after: np.ndarray, before: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The best classes of words against fixed counts; ``a``: their classes, ``after``, ``before``: counts with each class."""
     i = np.arange(len(a))
@@ -288,8 +316,7 @@ def _moved(a: np.ndarray, after: np.ndarray, before: np.ndarray, counts: np.ndar
     out[i, a] -= n_out
     into[i, a] -= n_in
     # bringing it to c changes row c and column c; the corner is counted with the row
-    was = _log(left)
-    gain = (_log(left + after[:, None, :]) - was).sum(2) + (_log(left + before[:, :, None]) - was).sum(1)
+    gain = _risen(left, after).sum(2) + _risen(left.transpose(0, 2, 1), before).transpose(0, 2, 1).sum(1)
     gain -= _log(out + n_out[:, None]) - _log(out) + _log(into + n_in[:, None]) - _log(into)
     gain[:, :2] = -np.inf
     best = gain.argmax(1)

@@ -15,6 +15,7 @@ import public_tokenizers as P
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from millwright.llm import (
     bpe_bytes,
@@ -29,7 +30,7 @@ from millwright.llm import (
     toxicity,
 )
 from millwright.llm import queries as Q
-from millwright.llm.common import RunHash, held_out, words
+from millwright.llm.common import RunHash, held_out, store, words
 
 SMALL = "/root/testdata/sf0.001"
 BPE = P.path("byte_bpe_multi_50k.tiktoken")
@@ -908,3 +909,25 @@ def test_many_words_at_once_are_encoded_as_the_tokenizer_does():
     assert flat.tolist() == tok.encode(text, add_special_tokens=False).ids
     assert len(lens) == 2 * len(odd) and lens.sum() == len(flat)
     assert enc.words.ids(token_files.chunks(text)).tolist() == flat.tolist()
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+        return {f for f in files.split("\n") if "/shuffle_" in f}
+
+    before = shuffled()
+    kept = store(spark.range(50_000).groupBy((F.col("id") % 1_009).alias("k")).count(), "test-shuffles")
+    end = time.time() + 20
+    while (left := shuffled() - before) and time.time() < end:  # they are removed in the background
+        time.sleep(0.2)
+    assert not left and kept.count() == 1_009
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_contexts_are_packed_without_loss():
+    code = np.array([0, 3, 4, 70_000, 278_527])
+    n = np.array([1, 2**20, 255, 256, 9])
+    got = class_lm._unpacked(5, *class_lm._packed(code, n))
+    assert [x.tolist() for x in got] == [code.tolist(), n.tolist()]
+    assert [len(x) for x in class_lm._unpacked(0, *class_lm._packed(code[:0], n[:0]))] == [0, 0]
