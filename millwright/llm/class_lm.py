@@ -12,8 +12,8 @@ all others are joined with the table of counts, once: from then on texts are sto
 numbers of words.  What is broadcast besides the common words is a byte, the class, for
 each word that has one, and the class by class counts.
 
-Exchange: given the classes, a pass over the numbers says how often each word stands before
-and after each class; these counts go by blocks of words to the tasks that look for the
+Exchange: given the classes, a pass over the numbers says how often each word that may move stands
+before and after each class; these counts go by blocks of words to the tasks that look for the
 class of each word that raises the likelihood of the class bigrams most.  Half of the words
 (another half each time) move at once, until the likelihood stops rising; the classes of
 the highest likelihood count.  The ``clustered`` most frequent words start out in classes, the others
@@ -32,14 +32,16 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millwright.llm.common import discard, held_out, released, store, words
-from millwright.llm.token_files import decode_values, encode_values
+from millwright.llm.token_files import decode_values, encode_values, parts_of
 
 MU = 20.0
 #: Words that occur less often share the rare class.
@@ -128,7 +130,7 @@ def encode(docs: DataFrame, v: Vocabulary) -> DataFrame:
                 ids, rest = [], []
                 for text in part["text"].to_pylist():
                     own = words(text)
-                    p = np.fromiter((place.get(w, 0) for w in own), np.int32, len(own))
+                    p = np.fromiter(map(place.get, own, repeat(0)), np.int32, len(own))
                     ids.append(p.tobytes())
                     rest.append([own[i] for i in np.flatnonzero(p == 0).tolist()])
                 yield pa.RecordBatch.from_arrays(
@@ -140,10 +142,13 @@ def encode(docs: DataFrame, v: Vocabulary) -> DataFrame:
         offsets = shared.value[1]
         for batch in batches:
             ids = []
-            for own, at, number in zip(*(batch[c].to_pylist() for c in ("ids", "at", "number"))):
-                if at:
-                    p, m = np.frombuffer(own, np.int32).copy(), np.array(number, np.int64)
-                    p[np.flatnonzero(p == 0)[at]] = offsets[m >> 33] + (m & (1 << 33) - 1)
+            at, m = (batch[c].flatten().to_numpy(zero_copy_only=False) for c in ("at", "number"))
+            number = offsets[m >> 33] + (m & (1 << 33) - 1)
+            cuts = np.cumsum([0, *(x or 0 for x in pc.list_value_length(batch["at"]).to_pylist())]).tolist()
+            for own, lo, hi in zip(batch["ids"].to_pylist(), cuts, cuts[1:]):
+                if lo < hi:
+                    p = np.frombuffer(own, np.int32).copy()
+                    p[np.flatnonzero(p == 0)[at[lo:hi]]] = number[lo:hi]
                     own = p.tobytes()
                 ids.append(own)
             yield pa.RecordBatch.from_arrays(
@@ -157,7 +162,7 @@ def encode(docs: DataFrame, v: Vocabulary) -> DataFrame:
     log = F.log10(F.coalesce("n", F.lit(0)) + 0.1)
     known = F.collect_list(F.when(F.col("number").isNotNull(), F.struct("at", "number")))
     joined = (
-        asked.join(v.outside, "word", "left")
+        asked.join(v.outside.hint("shuffle_hash"), "word", "left")
         .groupBy(F.col("row_id").alias("joined_id"))
         .agg(
             F.count("n").alias("found"),
@@ -190,39 +195,67 @@ def _log(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1.0))
 
 
-def contexts(coded: DataFrame, of: np.ndarray, end: int, total: int, blocks: int) -> DataFrame:
-    """block, size, control, data: for each block of words (number mod ``blocks``) and task, what stands beside its words.
+def _free(number: np.ndarray, often: int, end: int, step: int) -> np.ndarray:
+    """The words that a step may move: every other one of those with a class, the others in the next step."""
+    return (number % 2 != step % 2) & (number > 0) & ((number <= often) | (number > end))
 
-    A code is (place in the block * 2 + side) * total + class of the neighbour; block -1 has the class by class counts.
-    The ``size`` codes, each less the one before, and then how often each occurs are packed by ``encode_values``.
+
+def _by_block(number: np.ndarray, blocks: int) -> np.ndarray:
+    """Ascending numbers in order of their blocks; small keys are sorted by radix."""
+    return number[np.argsort((number % blocks).astype(np.uint16 if blocks <= 2**16 else np.int64), kind="stable")]
+
+
+def contexts(coded: DataFrame, of: np.ndarray, often: int, end: int, total: int, blocks: int, step: int) -> DataFrame:
+    """block, size, control, data: for each block of words (number mod ``blocks``) and task, what stands beside its
+    words that this step may move.
+
+    A code is (place in the block * 2 + side) * total + class of the neighbour; block -1 has the class by class counts
+    of all words. The ``size`` codes, each less the one before, and then how often each occurs are packed by
+    ``encode_values``. Words are counted in rows that are in order of their blocks, so that codes need no sort.
     """
     shared, width = coded.sparkSession.sparkContext.broadcast(of), 2 * total
 
+    def added(dense, codes):
+        return dense + np.bincount(np.concatenate(codes), minlength=len(dense)) if codes else dense
+
     def run(batches):
         cls = shared.value
-        grid, dense, others = np.zeros(total * total, np.int64), np.zeros((end + 1) * width, np.int64), []
-        for batch in batches:
+        free = np.flatnonzero(_free(np.arange(len(cls)), often, end, step))
+        common = int(np.searchsorted(free, end))
+        rows = np.concatenate([_by_block(free[:common], blocks), _by_block(free[common:], blocks)])
+        first = np.full(len(cls), -1, np.int64)  # code of each word's row
+        first[rows] = width * np.arange(len(rows))
+        grid, dense = np.zeros(total * total, np.int64), np.zeros(common * width, np.int64)
+        waiting, others = [], []
+        for batch in parts_of(batches):
             p = stream(batch["ids"].to_pylist(), end)
-            c = cls[p].astype(np.int64)
-            grid += np.bincount(c[:-1] * total + c[1:], minlength=len(grid))
-            for side, word, beside in ((0, p[:-1], c[1:]), (1, p[1:], c[:-1])):
-                code, common = word * width + side * total + beside, word <= end
-                dense += np.bincount(code[common], minlength=len(dense))
-                others.append(code[~common])
+            c = cls[p]
+            grid += np.bincount(c[:-1] * np.int64(total) + c[1:], minlength=len(grid))
+            code = first[p]
+            at = np.flatnonzero(code >= 0)  # never the first or last place, which are ends
+            code = code[at]
+            code = np.concatenate([code + c[at + 1], code + total + c[at - 1]])
+            few = code < len(dense)
+            waiting.append(code[few])
+            others.append(code[~few])
+            if sum(map(len, waiting)) > len(dense):
+                dense, waiting = added(dense, waiting), []
+        dense = added(dense, waiting)
         code = np.flatnonzero(dense)
-        more, n = np.unique(np.concatenate([np.empty(0, np.int64), *others]), return_counts=True)
-        code, n = np.concatenate([code, more]), np.concatenate([dense[code], n])
-        block = code // width % blocks
-        order = np.argsort(block, kind="stable")
-        code, n, block = code[order], n[order], block[order]
-        code = code // width // blocks * width + code % width
-        cuts = np.searchsorted(block, np.arange(blocks + 1)).tolist()
-        full = [b for b in range(blocks) if cuts[b] < cuts[b + 1]]
-        packed = [_packed(code[cuts[b] : cuts[b + 1]], n[cuts[b] : cuts[b + 1]]) for b in full]
+        found = [(code, dense[code]), np.unique(np.concatenate([np.empty(0, np.int64), *others]), return_counts=True)]
+        parts = []
+        for code, n in found:
+            row = code // width
+            number = rows[row]
+            cuts = np.searchsorted(number % blocks, np.arange(blocks + 1)).tolist()
+            parts.append((number // blocks * width + code - row * width, n, cuts))
+        each = [tuple(np.concatenate([x[i][x[2][b] : x[2][b + 1]] for x in parts]) for i in (0, 1)) for b in range(blocks)]
+        full = [b for b in range(blocks) if len(each[b][0])]
+        packed = [_packed(*each[b]) for b in full]
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array([-1, *full], pa.int64()),
-                pa.array([len(grid), *(cuts[b + 1] - cuts[b] for b in full)], pa.int64()),
+                pa.array([len(grid), *(len(each[b][0]) for b in full)], pa.int64()),
                 pa.array([b"", *(c for c, _ in packed)], pa.binary()),
                 pa.array([grid.tobytes(), *(d for _, d in packed)], pa.binary()),
             ],
@@ -252,7 +285,7 @@ def exchange(coded: DataFrame, v: Vocabulary, clustered: int, classes: int, roun
     blocks = 2 * (v.size // block) + 1  # odd, so that each has words of both halves
     end, often, best = v.end, v.often, None
     for step in range(rounds + 1):
-        found = store(contexts(coded, of, end, total, blocks), "class-contexts")
+        found = store(contexts(coded, of, often, end, total, blocks, step), "class-contexts")
         counts = np.zeros((total, total))
         for r in found.where("block = -1").select("data").collect():
             counts += np.frombuffer(r["data"], np.int64).reshape(total, total)
@@ -286,7 +319,7 @@ def _mover(shared):
             m[code] += n  # a code comes once
         m = m.reshape(len(own), 2, len(counts))
         number = at + blocks * np.arange(len(own))
-        free = (number % 2 != step % 2) & (number > 0) & ((number <= often) | (number > end))
+        free = _free(number, often, end, step)
         new = own.copy()
         for i in np.array_split(np.flatnonzero(free), -(-len(own) // 256)):
             new[i] = _moved(own[i].astype(np.int64), m[i, 0], m[i, 1], counts)

@@ -47,9 +47,13 @@ def encode_rows(values: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarr
     before = np.cumsum(4 * quads - n) - (4 * quads - n)  # unused places of the rows before
     padded[np.arange(len(v)) + np.repeat(before, n)] = size - 1
     control = padded[0::4] | padded[1::4] << 2 | padded[2::4] << 4 | padded[3::4] << 6
-    data = v.view(np.uint8).reshape(-1, 4)[np.arange(4) < size[:, None]]
-    ends = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])[_cuts(n)]
-    return control, _cuts(quads), data, ends
+    ends = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+    data = np.empty(ends[-1], np.uint8)
+    data[ends[:-1]] = v.astype(np.uint8)
+    for i in (1, 2, 3):
+        at = np.flatnonzero(size > i)
+        data[ends[at] + i] = (v[at] >> np.uint32(8 * i)).astype(np.uint8)
+    return control, _cuts(quads), data, ends[_cuts(n)]
 
 
 def decode_rows(control: np.ndarray, data: np.ndarray, n: np.ndarray) -> np.ndarray:

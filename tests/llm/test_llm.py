@@ -931,3 +931,33 @@ def test_contexts_are_packed_without_loss():
     got = class_lm._unpacked(5, *class_lm._packed(code, n))
     assert [x.tolist() for x in got] == [code.tolist(), n.tolist()]
     assert [len(x) for x in class_lm._unpacked(0, *class_lm._packed(code[:0], n[:0]))] == [0, 0]
+
+
+def test_contexts_count_only_words_that_may_move(spark):
+    """A step's contexts: all neighbours of every other word with a class, from many batches, and the class pairs of all."""
+    rng = np.random.default_rng(3)
+    often, end, size, total, blocks = 6, 9, 40, 5, 3
+    texts = [rng.integers(0, size, n).astype(np.int32) for n in (0, 1, 7, 300, 1200, 2)]
+    texts = [t[t != end] for t in texts]
+    of = np.where(np.arange(size) == end, 1, np.arange(size) % 4 % total).astype(np.uint8)
+    coded = spark.createDataFrame([(bytearray(t.tobytes()),) for t in texts], "ids binary").repartition(2)
+    for step in (0, 1):
+        pairs, want = np.zeros((total, total), int), {}
+        for t in texts:
+            line = [end, *t.tolist(), end]
+            for a, b in zip(line, line[1:]):
+                pairs[of[a], of[b]] += 1
+                for word, side, beside in ((a, 0, b), (b, 1, a)):
+                    if word % 2 != step % 2 and 0 < word and (word <= often or word > end):
+                        key = word % blocks, (word // blocks * 2 + side) * total + int(of[beside])
+                        want[key] = want.get(key, 0) + 1
+        got, grid = {}, 0
+        for r in class_lm.contexts(coded, of, often, end, total, blocks, step).collect():
+            if r.block < 0:
+                grid = grid + np.frombuffer(r["data"], np.int64).reshape(total, total)
+                continue
+            code, n = class_lm._unpacked(r["size"], r["control"], r["data"])
+            assert (np.diff(code) > 0).all()
+            for c, k in zip(code.tolist(), n.tolist()):
+                got[r.block, c] = got.get((r.block, c), 0) + k
+        assert got == want and (grid == pairs).all()
