@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from millwright.llm.common import MIX, MIX2, RunHash, discard, store
 
 COORDS, MATCHES = 32, 14
-SKETCH = 1024
+SKETCH = 512
 _rng = np.random.default_rng(20240607)
 SEEDS = _rng.integers(1, 2**63, COORDS).astype(np.uint64)
 FACTORS = _rng.integers(1, 2**63, COORDS).astype(np.uint64) | np.uint64(1)

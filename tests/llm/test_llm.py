@@ -961,3 +961,18 @@ def test_contexts_count_only_words_that_may_move(spark):
             for c, k in zip(code.tolist(), n.tolist()):
                 got[r.block, c] = got.get((r.block, c), 0) + k
         assert got == want and (grid == pairs).all()
+
+
+def test_postings_are_narrow_and_sketches_still_tell_sets_apart():
+    """A posting's body has at most 120 bytes; by its sketch a pair at 0.8 stays and one at 0.5 goes."""
+    assert 8 * len(minhash_dedup.BODY) <= 120
+    rng = np.random.default_rng(5)
+    for n in (60, 200, 500):
+        whole = rng.integers(1, 2**63, 3 * n).astype(np.uint64)
+        for similarity, stays in ((0.8, True), (0.5, False)):
+            both = -int(-2 * n * similarity // (1 + similarity))
+            a, b = whole[:n], np.concatenate([whole[:both], whole[n : 2 * n - both]])
+            x, y = (minhash_dedup.odd_sketch(np.unique(s)) for s in (a, b))
+            differ = sum(int(v).bit_count() for v in (x ^ y).view(np.uint64))
+            mean = minhash_dedup.SKETCH / 2 * (1 - np.exp(2 * n / 9 * (-2 / minhash_dedup.SKETCH)))
+            assert (differ <= min(2 * n / 9, mean + 6 * mean**0.5) + 1e-6) == stays
