@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millwright.llm.common import Ragged, rarer_gc, runs_of
+from millwright.llm.common import Ragged, remembered, runs_of
 
 SCHEMA = "doc_id long, ids array<int>, decoded binary"
 #: Splitting before a space and a plain character never cuts a match of the pattern:
@@ -221,15 +221,9 @@ class Prefixes:
         return out[::-1]
 
 
-_LOADED: dict = {}
-
-
 def encoder(path: str, pattern: str) -> ByteBpe:
     """One encoder for each Python worker and vocabulary."""
-    if (path, pattern) not in _LOADED:
-        _LOADED[path, pattern] = ByteBpe(load_ranks(path), pattern)
-        rarer_gc()
-    return _LOADED[path, pattern]
+    return remembered((path, pattern), lambda: ByteBpe(load_ranks(path), pattern))
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, decode: bool = True, rows: int = 64) -> DataFrame:

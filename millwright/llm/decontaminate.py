@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millwright.llm.common import MIX, MIX2, RunHash, store
+from millwright.llm.common import MIX, MIX2, RunHash, forget, store, texts_of
 
 WALKS, SAMPLES, PICK = 6, 6, 3
 STEPS = 2.0  # steps of a walk for each word of an item that are sampled from, at most
@@ -204,11 +204,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.2, block: int
         shared = spark.sparkContext.broadcast(Items([i for i, _ in rows], [t for _, t in rows], share))
 
         def run(batches, shared=shared):
+            forget()
             own = shared.value
             for batch in batches:
                 found = [
                     (i, own.ids[p], e, len(own.words[p]), s)
-                    for i, t in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist())
+                    for i, t in zip(batch["doc_id"].to_pylist(), texts_of(batch))
                     for p, e, s in (own.leaks(word_hashes(t)) if own.ids else ())
                 ]
                 columns = list(zip(*found)) if found else [()] * 5

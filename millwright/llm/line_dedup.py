@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millwright.llm.common import discard, store, unused
+from millwright.llm.common import discard, forget, store, texts_of, unused
 
 BLANK = b" \t\n\x0b\x0c\r"
 
@@ -41,9 +41,10 @@ def line_keys(docs: DataFrame, shortest: int) -> DataFrame:
     """key, doc_id: the keys of each document, once each."""
 
     def run(batches):
+        forget()
         for batch in batches:
             keys, ids = [], []
-            for i, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
+            for i, text in zip(batch["doc_id"].to_pylist(), texts_of(batch)):
                 own = {line_key(x, shortest) for x in text.encode().split(b"\n")} - {None}
                 keys += own
                 ids += [i] * len(own)
@@ -126,6 +127,7 @@ def drop_lines(docs: DataFrame, shortest: int = 20, least: int = 3, batches: int
     )
 
     def run(parts):
+        forget()
         for batch in parts:
             n, dropped, kept = [], [], []
             for text, lost in zip(batch["text"].to_pylist(), batch["lost_keys"].to_pylist()):
@@ -170,6 +172,7 @@ def replace_texts(docs: DataFrame, **limits) -> DataFrame:
     shortest = limits.get("shortest", LIMITS["shortest"])
 
     def cut(parts):
+        forget()
         for batch in parts:
             out = []
             for text, keys in zip(batch["text"].to_pylist(), batch[keys_name].to_pylist()):

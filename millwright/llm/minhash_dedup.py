@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millwright.llm.common import MIX, MIX2, RunHash, discard, store
+from millwright.llm.common import MIX, MIX2, RunHash, discard, forget, store
 
 COORDS, MATCHES = 32, 14
 SKETCH = 512
@@ -77,6 +77,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
     """doc_id, n_shingles, set_key (128-bit hash of the set, null if empty), sig, odd (the sketch)."""
 
     def run(batches):
+        forget()
         for batch in batches:
             ids = batch["doc_id"].to_pylist()
             for lo in range(0, len(ids), 512):
@@ -216,6 +217,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, size: int, share: int, merge: boo
     )
 
     def run(batches):
+        forget()
         here, sets = None, []
         for batch in batches:
             out = []

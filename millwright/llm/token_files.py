@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millwright.llm.common import Ragged, discard, rarer_gc, runs_of, store, words
+from millwright.llm.common import Ragged, discard, remembered, runs_of, store, words
 from millwright.session import ensure_checkpoint_dir
 
 SIZES = np.array([[(c >> 2 * i & 3) + 1 for i in range(4)] for c in range(256)], np.int64)
@@ -161,22 +161,16 @@ class WordEncoder:
         return flat, lens
 
 
-_LOADED: dict = {}
-
-
 def word_encoder(path: str) -> Ragged:
     """Encodes runs of bytes between ASCII blanks, each on its own.
 
     Only for tokenizers that lower-case, drop white space and never look across it,
     as those of vocabularies with word ends ("</w>").
     """
-    if path not in _LOADED:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
 
-        _LOADED[path] = WordEncoder(Tokenizer.from_file(path)).words
-        rarer_gc()
-    return _LOADED[path]
+    return remembered(path, lambda: WordEncoder(Tokenizer.from_file(path)).words)
 
 
 def chunks(text: str | None) -> list[bytes]:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millwright.llm.common import MIX, MIX2, RunHash, held_out, store
+from millwright.llm.common import MIX, MIX2, RunHash, forget, held_out, store, texts_of
 
 BITS = 20
 SHARDS = 2
@@ -112,9 +112,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, folds: int = 5,
         start = spark.sparkContext.broadcast((z, n))
 
         def run(batches, start=start):
+            forget()
             model, dealt = Ftrl(start.value[0].copy(), start.value[1].copy()), []
             for batch in batches:
-                for place, label, text in zip(*(batch[c].to_pylist() for c in ("place", "label", "text"))):
+                for place, label, text in zip(batch["place"].to_pylist(), batch["label"].to_pylist(), texts_of(batch)):
                     dealt.append((place, label, np.unique(features(text)).astype(np.int32)))
             if not dealt:
                 return
@@ -146,12 +147,13 @@ def scores(docs: DataFrame, model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 2**BITS weights
 
     def run(batches):
+        forget()
         at, w, bias = shared.value
         dense = np.zeros(2**BITS, np.float32)
         dense[at] = w
         for batch in batches:
             out = []
-            for text in batch["text"].to_pylist():
+            for text in texts_of(batch):
                 f = features(text)
                 hit = np.unique(f[dense[f] != 0])
                 out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, float(dense[hit].sum()) + bias)))))
