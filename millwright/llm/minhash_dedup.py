@@ -151,25 +151,30 @@ def _alike(a: str, b: str, share: int) -> Column:
 
 
 def postings(sigs: DataFrame) -> DataFrame:
-    """coord, value, and the body: each node under its prefix of lists that have company."""
+    """coord, value, and the body: each node under its prefix of lists that have company.
+
+    ``sigs``, a stored table, is deleted once its nodes are written.
+    """
     parts = [_packed("sig", i).alias(p) for i, p in enumerate(PARTS)]
     parts += [F.col("odd")[i].alias(o) for i, o in enumerate(ODD)]
     nodes = sigs.where(F.size("sig") > 0).groupBy("set_key").agg(
         F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("odd").alias("odd")
     )
     nodes = store(nodes.drop("set_key"), "minhash-nodes")
+    discard(sigs)
     posted = nodes.select("node", F.posexplode("sig").alias("coord", "value"))
     lists = posted.groupBy("coord", "value").agg(F.count("*").alias("length")).where("length > 1")
+    # stored, so that the shuffles of all coordinates are gone before those with company are dealt by node
+    met = store(posted.join(lists, ["coord", "value"]), "met-postings")
     kept = (
-        posted.join(lists, ["coord", "value"])
-        .groupBy("node")
+        met.groupBy("node")
         .agg(F.sort_array(F.collect_list(F.struct("length", "coord", "value"))).alias("lists"))
         .where(F.size("lists") >= MATCHES)
         .select("node", F.explode(F.expr(f"slice(lists, 1, size(lists) - {MATCHES - 1})")).alias("l"))
         .select("node", "l.coord", "l.value")
     )
     out = store(kept.join(nodes.select("node", "n", *parts), "node"), "minhash-postings")
-    discard(nodes)
+    discard(nodes, met)
     return out
 
 
@@ -194,27 +199,40 @@ def components(links: DataFrame) -> DataFrame:
             return links.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
+#: Bits of the map of wanted ids; as words of 64 it is what is broadcast, at any number of ids.
+MAP_BITS = 2**23
+
+
+def wanted(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``texts`` whose id's bit is set in a map of ``ids``: all that are wanted and a few others.
+
+    It spares the other texts the way through a shuffle.
+    """
+    place = F.pmod(F.xxhash64("id"), F.lit(MAP_BITS))
+    word, bit = F.shiftright(place, 6), F.expr("shiftleft(1L, cast(place % 64 as int))")
+    found = ids.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
+    mapped = texts.select("*", place.alias("place"))
+    mine = (word == F.col("word")) & (F.col("bits").bitwiseAND(bit) != 0)
+    return mapped.join(F.broadcast(found), mine, "left_semi").drop("place")
+
+
 def confirm(pairs: DataFrame, docs: DataFrame, size: int, share: int, merge: bool = False, spread: int = 256) -> DataFrame:
     """a, b of the pairs (a, b) whose full sets qualify.
 
     A text travels once for each of its pairs: as member to its hub b, whose text
-    comes first.  With ``merge`` the joins with the texts are merge joins at every size.  A hub with more than ``spread`` members is copied to several salts.
+    comes first.  With ``merge`` the join with the texts is a merge join at every size.  A hub with more than ``spread`` members is copied to several salts.
     """
     hubs = pairs.groupBy(F.col("b").alias("hub")).agg(F.count("*").alias("members"))
     hubs = hubs.withColumn("salts", F.ceil(F.col("members") / spread).cast("int"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    texts = texts.hint("merge") if merge else texts
-    members = (
-        pairs.join(hubs, pairs["b"] == hubs["hub"])
-        .select("a", "hub", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"))
-        .join(texts, F.col("a") == F.col("id"))
-        .select("hub", "salt", "a", "text")
-    )
-    centres = (
-        hubs.join(texts, F.col("hub") == F.col("id"))
-        .select("hub", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "text")
-        .select("hub", "salt", F.lit(None).cast("long").alias("a"), "text")
+    members = pairs.join(hubs, pairs["b"] == hubs["hub"]).select(
+        F.col("a").alias("id"), "hub", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"), "a"
     )
+    salts = F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")
+    centres = hubs.select(F.col("hub").alias("id"), "hub", salts, F.lit(None).cast("long").alias("a"))
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+    texts = wanted(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), ids)
+    texts = texts.hint("merge") if merge else texts
+    sent = members.unionByName(centres).join(texts, "id")
 
     def run(batches):
         forget()
@@ -237,8 +255,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, size: int, share: int, merge: boo
             )
 
     return (
-        members.unionByName(centres)
-        .repartition("hub", "salt")
+        sent.repartition("hub", "salt")
         .sortWithinPartitions("hub", "salt", F.col("a").asc_nulls_first())
         .select("hub", "a", "text")
         .mapInArrow(run, "a long, b long")
@@ -248,14 +265,10 @@ def confirm(pairs: DataFrame, docs: DataFrame, size: int, share: int, merge: boo
 def link_near(sigs: DataFrame, docs: DataFrame, size: int, share: int, rounds: int = 3) -> DataFrame:
     """node, component for the nodes (smallest doc_id of a set) that have a link to another set.
 
-    ``sigs``, a stored table, is deleted once its postings are written.
+    ``sigs``, a stored table, is deleted once its nodes are written.
     """
     posted = postings(sigs)
-    discard(sigs)
     key = ["coord", "value"]
-    nodes = posted.select("node").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(nodes.hint("merge"), "node", "left_semi")
-    texts = store(texts, "candidate-texts").withColumnRenamed("node", "doc_id")
     joined, rest, source = None, posted.withColumn("component", F.col("node")), posted
 
     def against(left: DataFrame, right: DataFrame, extra: Column | None = None) -> DataFrame:
@@ -282,7 +295,7 @@ def link_near(sigs: DataFrame, docs: DataFrame, size: int, share: int, rounds: i
         return out
 
     def with_links(pairs: DataFrame) -> DataFrame:
-        found = store(confirm(pairs, texts, size, share, merge=joined is None), "near-links")
+        found = store(confirm(pairs, docs, size, share, merge=joined is None), "near-links")
         links = found
         if joined is not None:
             links = found.unionByName(joined.select(F.col("node").alias("a"), F.col("component").alias("b")))
@@ -310,7 +323,7 @@ def link_near(sigs: DataFrame, docs: DataFrame, size: int, share: int, rounds: i
     pairs = against(lists.where("component <> main"), lists, across)
     pairs = store(pairs.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct(), "cross-pairs")
     out = with_links(pairs)
-    discard(lists, pairs, texts)
+    discard(lists, pairs)
     return out
 
 

@@ -1004,3 +1004,12 @@ def test_a_worker_holds_the_tables_of_one_operator_at_a_time(spark):
     bpe_bytes.encode_documents(docs, BPE, P.PATTERN).collect()
     toxicity.op5_toxicity(docs, labels).collect()
     assert [r["n"] for r in spark.range(1).coalesce(1).mapInArrow(left, "n long").collect()] == [0]
+
+
+def test_only_wanted_texts_are_sent_to_be_confirmed(spark):
+    """The map of ids passes all wanted rows, repeated ones too, and hardly any other."""
+    texts = spark.createDataFrame([(i, f"text {i}") for i in range(2000)] + [(7, "again")], "id long, text string")
+    ids = spark.createDataFrame([(7,), (7,), (1999,), (-5,)], "id long")
+    got = sorted(tuple(r) for r in minhash_dedup.wanted(texts, ids).collect())
+    assert {(7, "again"), (7, "text 7"), (1999, "text 1999")} <= set(got) and len(got) < 10
+    assert not minhash_dedup.wanted(texts, ids.where("false")).collect()
