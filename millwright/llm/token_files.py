@@ -113,18 +113,19 @@ def parts_of(batches, rows: int = 512):
 
 #: How the tokenizer cuts lower-cased words of printable ASCII and Latin-1 letters (no "<", which
 #: could begin a special token): the fixed pattern of its pre-tokenizer over these characters.
-PLAIN = re.compile("[!-;=-~ß-öø-ÿ]+")
+#: ``OTHER`` finds runs of what such words do not hold.
+OTHER = re.compile("[^!-;=-~ß-öø-ÿ\n]+")
 PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9\\n]+|\\n")
 #: Byte-level alphabet: bytes without a printable Latin-1 character take the code points from 256 on.
 _SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
 ALPHABET = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _SHOWN)}
-SHOWN = {b: c for b, c in ALPHABET.items() if b != 10}
+SHOWN = np.array([ALPHABET.get(b, b) if b != 10 else b for b in range(256)], "<u4")
 
 
 class WordEncoder:
     """Asks the library for each new word once.
 
-    Words of ``PLAIN`` characters are cut as the tokenizer does, all that are new at once, and its
+    Plain words are cut as the tokenizer does, all that are new at once, and its
     BPE model asked for each new piece; every other word goes through the whole tokenizer.
     """
 
@@ -137,18 +138,21 @@ class WordEncoder:
         """What the BPE model makes of pieces in its alphabet; a line feed stands between words and has no ids."""
         shown = "\n".join("" if p == "\n" else p for p in pieces)
         if not shown.isascii():
-            shown = shown.encode().decode("latin-1").translate(SHOWN)
+            shown = SHOWN[np.frombuffer(shown.encode(), np.uint8)].tobytes().decode("utf-32-le")
         return [[t.id for t in self.model.tokenize(p)] if p else [] for p in shown.split("\n")]
 
     def many(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all chunks one after another, and how many each has; chunks hold no line feed."""
         whole = b"\n".join(chunks).decode()
-        lower = whole if whole.isascii() else "\n".join(w if w.isascii() else w.lower() for w in whole.split("\n"))
+        lower = whole if whole.isascii() else whole.lower()  # a line feed ends a word for the final sigma too
         cut = lower.split("\n")
-        plain = np.fromiter(map(bool, map(PLAIN.fullmatch, cut)), bool, len(cut))
-        rest = np.flatnonzero(~plain).tolist()
+        ends = np.cumsum(np.fromiter(map(len, cut), np.int64, len(cut)) + 1)
+        odd = np.fromiter((m.start() for m in OTHER.finditer(lower)), np.int64)
+        rest = np.unique(np.searchsorted(ends, odd, side="right")).tolist()
         if rest:
-            lower = "\n".join(w if p else "" for w, p in zip(cut, plain.tolist()))
+            for i in rest:
+                cut[i] = ""
+            lower = "\n".join(cut)
         found = PIECES.findall(lower + "\n")
         flat, sizes = self.pieces.together(found)
         ends = np.flatnonzero(np.fromiter(map("\n".__eq__, found), bool, len(found)))

@@ -1013,3 +1013,14 @@ def test_only_wanted_texts_are_sent_to_be_confirmed(spark):
     got = sorted(tuple(r) for r in minhash_dedup.wanted(texts, ids).collect())
     assert {(7, "again"), (7, "text 7"), (1999, "text 1999")} <= set(got) and len(got) < 10
     assert not minhash_dedup.wanted(texts, ids.where("false")).collect()
+
+
+@pytest.mark.parametrize("word", ["ΑΣ", "ΑΣ.", "straße", "ÿ", "é<b", "Ünïted's", "İx", "日本", "a b", "x y", "n'est"])
+def test_new_words_are_cut_as_alone(word):
+    """Words that are new together get the ids each gets by itself, whatever their letters."""
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(WORDS)
+    text = f"plain {word} and {word}9 {word.lower()} end"
+    want = [i for w in text.split(" ") for i in tok.encode(w, add_special_tokens=False).ids]
+    assert token_files.word_encoder(WORDS).ids(token_files.chunks(text)).tolist() == want
