@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millwright import schema as S
-from millwright.operators import metrics
+from millwright.operators import metrics, trees
 from millwright.operators.features import feature_matrix
 from millwright.session import stored
 
@@ -211,6 +211,9 @@ def fit_early(train: DataFrame, rest: dict, max_iter: int = 300, step: int = 10,
 def fit_model(name: str, train: DataFrame, n_train: int):
     """One of the five classifiers, fitted on ``train`` (``udi, label, features``)."""
     est = estimator(name, n_train)
+    if isinstance(est, RandomForestClassifier):
+        return trees.fit_forest(train, len(S.FEATURES), S.UDI, est.getNumTrees(), est.getMaxDepth(), est.getMaxBins(),
+                                math.ceil(math.sqrt(len(S.FEATURES))), est.getSeed())
     if isinstance(est, MultilayerPerceptronClassifier):
         return fit_early(train, dict(layers=est.getLayers(), featuresCol="features", labelCol="label"), est.getMaxIter())[0]
     return est.fit(train)
