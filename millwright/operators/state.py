@@ -25,11 +25,12 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from millwright.operators import fleet, ml, quality, risk
+from millwright.operators.perceptron import PerceptronModel
 from millwright.operators.trees import ForestModel
 
 MODEL_KINDS = {c.__name__: c for c in (
     DecisionTreeClassificationModel, GBTClassificationModel, LogisticRegressionModel,
-    MultilayerPerceptronClassificationModel, RandomForestClassificationModel, ForestModel)}
+    MultilayerPerceptronClassificationModel, RandomForestClassificationModel, ForestModel, PerceptronModel)}
 
 
 @dataclass

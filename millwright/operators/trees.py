@@ -16,12 +16,14 @@ tasks, as Spark's own forest does, they are hundreds of times larger than the ro
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,6 +31,9 @@ from pyspark.sql import functions as F
 
 from millwright.session import stored
 
+# workers need not have this package: its functions travel with the tasks
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: Values of a feature's summary; more than these are thinned to equal shares of the rows.
 POINTS = 16_384
 #: Rows of one block at most, and rows that a task grows a subtree of at most.
@@ -77,11 +82,11 @@ def cuts(summary: Summary, bins: int) -> np.ndarray:
     return np.array(out)
 
 
-def _columns(batch: pa.RecordBatch, n: int) -> list[np.ndarray]:
+def columns_of(batch: pa.RecordBatch, n: int) -> list[np.ndarray]:
     return [batch.column(f"x{i}").to_numpy(zero_copy_only=False) for i in range(n)]
 
 
-def _split_features(df: DataFrame, n: int) -> list[Column]:
+def split_features(df: DataFrame, n: int) -> list[Column]:
     v = vector_to_array("features")
     return [v[i].alias(f"x{i}") for i in range(n)]
 
@@ -93,7 +98,7 @@ def fit_cuts(train: DataFrame, n: int, bins: int) -> list[np.ndarray]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got: list[Summary | None] = [None] * n
         for batch in batches:
-            for i, x in enumerate(_columns(batch, n)):
+            for i, x in enumerate(columns_of(batch, n)):
                 one = thinned(*np.unique(x, return_counts=True), most)
                 got[i] = merged(got[i], one, most) if got[i] else one
         rows = [(i, *(a.astype("float64").tobytes() for a in s)) for i, s in enumerate(got) if s]
@@ -105,7 +110,7 @@ def fit_cuts(train: DataFrame, n: int, bins: int) -> list[np.ndarray]:
         both = merged(*((np.frombuffer(v), np.frombuffer(c)) for v, c in (a, b)), most)
         return both[0].tobytes(), both[1].tobytes()
 
-    parts = train.select(*_split_features(train, n)).mapInArrow(count, "f int, v binary, n binary")
+    parts = train.select(*split_features(train, n)).mapInArrow(count, "f int, v binary, n binary")
     found = dict(parts.rdd.map(lambda r: (r[0], (bytes(r[1]), bytes(r[2])))).reduceByKey(join, n).collect())
     empty = (b"", b"")
     return [cuts((np.frombuffer(v), np.frombuffer(c)), bins) for v, c in (found.get(i, empty) for i in range(n))]
@@ -137,7 +142,7 @@ def blocks(train: DataFrame, cut: list[np.ndarray], id_column: str) -> DataFrame
         held, rows = [], 0
         for batch in batches:
             held.append((batch.column("k").to_numpy().view(np.uint64), batch.column("y").to_numpy().astype(np.uint8),
-                         binned(_columns(batch, n), cut)))
+                         binned(columns_of(batch, n), cut)))
             rows += batch.num_rows
             if rows >= most:
                 yield block(held)
@@ -147,6 +152,8 @@ def blocks(train: DataFrame, cut: list[np.ndarray], id_column: str) -> DataFrame
 
     def block(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
         key, y, x = (np.concatenate(c) for c in zip(*held))
+        if y.max() > 1:
+            raise ValueError("labels other than 0 and 1")
         order = np.argsort(key, kind="stable")
         key, y, x = key[order], y[order], x[order]
         first = np.maximum.accumulate(np.where(np.append(True, key[1:] != key[:-1]), np.arange(len(key)), 0))
@@ -155,7 +162,7 @@ def blocks(train: DataFrame, cut: list[np.ndarray], id_column: str) -> DataFrame
                                           pa.schema([("n", pa.int32()), ("key", pa.binary()), ("y", pa.binary()), ("x", pa.binary())]))
 
     rows = train.select(F.xxhash64(id_column, "label", vector_to_array("features")).alias("k"), F.col("label").cast("int").alias("y"),
-                        *_split_features(train, n))
+                        *split_features(train, n))
     return stored(rows.mapInArrow(pack, BLOCK), "binned")
 
 
@@ -474,12 +481,11 @@ class ArrayModel:
     def transform(self, df: DataFrame) -> DataFrame:
         """Adds ``probability`` (a vector) and ``prediction`` to a table with ``features``."""
         if self._sent is None:
-            self._sent = df.sparkSession.sparkContext.broadcast((type(self), self.arrays))
-        sent = self._sent
+            self._sent = df.sparkSession.sparkContext.broadcast(self.arrays)
+        sent, kind = self._sent, type(self)
 
         def score(v: pd.Series) -> pd.Series:
-            kind, arrays = sent.value
-            return pd.Series(kind(**arrays).p1(np.stack(v.to_numpy())) if len(v) else [], dtype="float64")
+            return pd.Series(kind(**sent.value).p1(np.stack(v.to_numpy())) if len(v) else [], dtype="float64")
 
         score.__annotations__ = {"v": pd.Series, "return": pd.Series}
         p = F.pandas_udf(score, "double")(vector_to_array("features"))
