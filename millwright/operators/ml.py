@@ -217,6 +217,8 @@ def fit_model(name: str, train: DataFrame, n_train: int):
     if isinstance(est, RandomForestClassifier):
         return trees.fit_forest(train, len(S.FEATURES), S.UDI, est.getNumTrees(), est.getMaxDepth(), est.getMaxBins(),
                                 math.ceil(math.sqrt(len(S.FEATURES))), est.getSeed())
+    if isinstance(est, GBTClassifier):
+        return trees.fit_boosted(train, len(S.FEATURES), S.UDI, est.getMaxIter(), est.getMaxDepth(), est.getMaxBins(), est.getStepSize())
     if isinstance(est, MultilayerPerceptronClassifier):
         return fit_early(train, dict(layers=est.getLayers(), seed=est.getSeed()), est.getMaxIter())[0]
     return est.fit(train)

@@ -26,11 +26,11 @@ from pyspark.sql import functions as F
 
 from millwright.operators import fleet, ml, quality, risk
 from millwright.operators.perceptron import PerceptronModel
-from millwright.operators.trees import ForestModel
+from millwright.operators.trees import BoostedModel, ForestModel
 
 MODEL_KINDS = {c.__name__: c for c in (
     DecisionTreeClassificationModel, GBTClassificationModel, LogisticRegressionModel,
-    MultilayerPerceptronClassificationModel, RandomForestClassificationModel, ForestModel, PerceptronModel)}
+    MultilayerPerceptronClassificationModel, RandomForestClassificationModel, BoostedModel, ForestModel, PerceptronModel)}
 
 
 @dataclass

@@ -1,4 +1,4 @@
-"""Random forest over binned rows: levels of large nodes by Spark, everything below them in one task.
+"""Trees over binned rows. Random forest: levels of large nodes by Spark, everything below them in one task.
 
 * Bins: at most ``bins`` a feature, cut as Spark's own trees cut them, but from the counts of all
   rows (summaries of at most ``POINTS`` values that can be merged) and not from a sample.
@@ -23,7 +23,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import cloudpickle
+from pyspark import StorageLevel, cloudpickle
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -546,3 +546,157 @@ def fit_forest(train: DataFrame, n: int, id_column: str, trees: int, depth: int,
     """A forest of ``trees`` trees on ``train`` (id, ``label``, ``features`` of ``n`` numbers), ``k`` features a split."""
     cut = fit_cuts(train, n, bins)
     return ForestModel.of(cut, grow_forest(blocks(train, cut, id_column), n, bins, trees, depth, k, seed), n)
+
+
+# --- boosted trees ---------------------------------------------------------------------------------
+
+#: Bins that features counted together have at most.
+JOINT_BINS = 4096
+
+
+def joint(widths: list[int], most: int = JOINT_BINS) -> list[list[int]]:
+    """Features in runs whose numbers of bins multiply to at most ``most``: one histogram counts a run."""
+    out, size = [], 0
+    for i, w in enumerate(widths):
+        if out and size * w <= most:
+            out[-1].append(i)
+            size *= w
+        else:
+            out.append([i])
+            size = w
+    return out
+
+
+def routed(t: Tree, x: np.ndarray) -> np.ndarray:
+    """The node of each row of a small tree; ``x`` has a row for each feature."""
+    at = np.zeros(x.shape[1], np.int16)
+    for i in np.flatnonzero(t.feature >= 0):
+        at = np.where(at == i, np.int16(t.left[i]) + (x[t.feature[i]] > t.cut[i]), at)
+    return at
+
+
+def residual(y: np.ndarray, margin: np.ndarray) -> np.ndarray:
+    """Downhill of the log loss ``2 log(1 + exp(-2 y F))`` for labels -1 and 1."""
+    with np.errstate(over="ignore"):
+        return 4.0 * y / (1.0 + np.exp(2.0 * y * margin))
+
+
+def sums(x: np.ndarray, code: list[np.ndarray], runs: list[list[int]], widths: list[int], slot: np.ndarray | None, m: int,
+         target: np.ndarray, bins: int) -> np.ndarray:
+    """Rows and sums of ``target`` by (node, feature, bin); ``slot`` is the row's node, ``m`` where it is none of them."""
+    out = np.zeros((2, m, len(widths), bins))
+    for run, c in zip(runs, code):
+        shape = [widths[i] for i in run]
+        size = int(np.prod(shape))
+        at = c if slot is None else slot * size + c
+        for k, w in enumerate((None, target)):
+            h = np.bincount(at, w, (m + 1) * size)[:m * size].reshape(m, *shape)
+            for j, i in enumerate(run):
+                out[k, :, i, :widths[i]] = h.sum(axis=tuple(a for a in range(1, len(shape) + 1) if a != j + 1))
+    return out
+
+
+def best_cuts(hist: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Variance gain, feature and bin of each node's best split, with rows and sums left of it and in the node."""
+    whole = hist[:, :, 0].sum(axis=2)
+    upto = np.cumsum(hist, axis=3)[..., :-1]
+    n, s = upto
+    rest_n, rest_s = whole[0][:, None, None] - n, whole[1][:, None, None] - s
+    with np.errstate(divide="ignore", invalid="ignore"):
+        score = s * s / n + rest_s * rest_s / rest_n
+        score[(n < 1) | (rest_n < 1)] = -np.inf
+        at, i = score.reshape(len(whole[0]), -1).argmax(axis=1), np.arange(len(whole[0]))
+        feature, cut = np.divmod(at, hist.shape[3] - 1)
+        gain = (score[i, feature, cut] - whole[1] ** 2 / whole[0]) / whole[0]
+    return gain, feature, cut, upto[:, i, feature, cut], whole
+
+
+class BoostedModel(ArrayModel):
+    """Boosted regression trees; ``value`` is what a leaf adds to the margin."""
+
+    @property
+    def featureImportances(self):
+        share = self.arrays["gains"].sum(axis=0)
+        return Vectors.dense(share / (share.sum() or 1.0))
+
+    def margin(self, x: np.ndarray) -> np.ndarray:
+        a = self.arrays
+        x = binned(list(x.T), np.split(a["cuts"], a["cut_ends"][:-1])).T.copy()
+        out, first = np.zeros(x.shape[1]), 0
+        for end in a["ends"].tolist():
+            here = slice(first, end)
+            out += a["value"][here][routed(Tree(a["feature"][here], a["cut"][here], a["left"][here], None, None), x)]
+            first = end
+        return out
+
+    def p1(self, x: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return 1.0 / (1.0 + np.exp(-2.0 * self.margin(x)))
+
+
+def fit_boosted(train: DataFrame, n: int, id_column: str, trees: int, depth: int, bins: int, rate: float) -> BoostedModel:
+    """Gradient boosting of the log loss as Spark does it: the first tree is fitted to the labels, each next one, at
+    ``rate``, to the residuals. A level is one job over kept blocks; the first also adds the last tree to the margins."""
+    cut = fit_cuts(train, n, bins)
+    widths = [len(c) + 1 for c in cut]
+    runs = joint(widths)
+    table = blocks(train, cut, id_column)
+
+    def begin(block):
+        _, y, x = _read(block)
+        x = x.T.copy()
+        code = [np.ravel_multi_index([x[i].astype(np.int64) for i in run], [widths[i] for i in run]).astype(np.uint16) for run in runs]
+        return x, code, y.astype(np.int8) * np.int8(2) - np.int8(1), np.zeros(len(y))
+
+    rows = table.rdd.map(begin).coalesce(table.sparkSession.sparkContext.defaultParallelism).persist(StorageLevel.MEMORY_AND_DISK)
+    done: list[tuple[Tree, np.ndarray]] = []
+    gains = np.zeros((trees, n))
+    for k in range(trees):
+        if k:
+            before, (last, value) = rows, done[-1]
+            rows = before.map(_adder(last, value)).persist(StorageLevel.MEMORY_AND_DISK)
+        t, stats, open_nodes = Tree(np.full(1, -1, np.int8), np.zeros(1, np.uint8), np.zeros(1, np.int32), None, None), np.zeros((2, 1)), [0]
+        for _ in range(depth):
+            parts = rows.mapPartitions(_counter(t, open_nodes, runs, widths, k, bins)).collect()
+            gain, feature, where, left, whole = best_cuts(np.sum(parts, axis=0))
+            if len(t.feature) == 1:
+                stats[:] = whole
+                if not whole[0, 0]:
+                    raise ValueError("no training rows")
+            ok = np.flatnonzero(gain > LEAST_GAIN)
+            s = np.array(open_nodes)[ok]
+            t.feature[s], t.cut[s], t.left[s] = feature[ok], where[ok], len(t.feature) + 2 * np.arange(len(s))
+            gains[k] += np.bincount(feature[ok], gain[ok] * whole[0, ok], n)
+            below = np.stack([left[:, ok], whole[:, ok] - left[:, ok]], axis=2).reshape(2, -1)
+            open_nodes = list(range(len(t.feature), len(t.feature) + below.shape[1]))
+            t = Tree(np.append(t.feature, np.full(below.shape[1], -1, np.int8)), np.append(t.cut, np.zeros(below.shape[1], np.uint8)),
+                     np.append(t.left, np.zeros(below.shape[1], np.int32)), None, None)
+            stats = np.append(stats, below, axis=1)
+            if not open_nodes:
+                break
+        if k:
+            before.unpersist()
+        done.append((t, stats[1] / stats[0] * (rate if k else 1.0)))
+    rows.unpersist()
+    one = lambda f: np.concatenate([f(t) for t, _ in done])
+    return BoostedModel(**packed_cuts(cut), ends=np.cumsum([len(t.feature) for t, _ in done]), feature=one(lambda t: t.feature),
+                        cut=one(lambda t: t.cut), left=one(lambda t: t.left), value=np.concatenate([v for _, v in done]), gains=gains)
+
+
+def _adder(t: Tree, value: np.ndarray):
+    return lambda row: (*row[:3], row[3] + value[routed(t, row[0])])
+
+
+def _counter(t: Tree, nodes: list[int], runs: list[list[int]], widths: list[int], k: int, bins: int):
+    """The summed histograms of the open ``nodes`` of a part's rows, for the ``k``-th tree."""
+    def count(part):
+        m = len(nodes)
+        out = np.zeros((2, m, len(widths), bins))
+        slots = np.full(len(t.feature), m)
+        slots[nodes] = np.arange(m)
+        for x, code, y, margin in part:
+            target = residual(y, margin) if k else y.astype(np.float64)
+            out += sums(x, code, runs, widths, slots[routed(t, x)] if len(t.feature) > 1 else None, m, target, bins)
+        return [out]
+
+    return count
